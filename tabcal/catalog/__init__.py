@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("cleaning", "columns")
+SECTIONS = ("cleaning", "columns", "profiles", "evaluation")
 
 
 def load_registry():

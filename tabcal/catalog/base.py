@@ -76,7 +76,8 @@ SPLIT_SQL = (
 SPLIT_LINES = LINES + f", sl AS (SELECT *, {SPLIT_SQL} AS split FROM lines)\n"
 
 # Closed-form predictions: two fixed rules, so metrics can be checked exactly without training.
-RULES = {"flat": "2000 * l_quantity + 250", "taxed": "1900 * l_quantity * (1 + l_tax)"}
+# The target is a seventh of the price, so no average of it is a short decimal (rounding ties).
+RULES = {"flat": "290 * l_quantity + 35", "taxed": "270 * l_quantity * (1 + l_tax)"}
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,21 +85,20 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     from tabcal.operators.splits import random_split
 
     d = random_split(lines(spark, sf), "row_id", FRACTIONS, SEED)
-    both = d.select("*", F.explode(F.array(*[
+    both = d.select("*", (F.col("l_extendedprice") / 7).alias("target"), F.explode(F.array(*[
         F.struct(F.lit(m).alias("model"), F.expr(e).cast("double").alias("predicted")) for m, e in RULES.items()
     ])).alias("_m")).select("*", "_m.model", "_m.predicted")
     return prediction_table(
-        both, row_id="row_id", actual="l_extendedprice", predicted="predicted",
+        both, row_id="row_id", actual="target", predicted="predicted",
         labels={"policy": F.lit("all"), "experiment": F.lit("closed_form"), "exploratory": F.lit(False), "model": F.col("model"), "split": F.col("split")},
         carry=["l_suppkey", "l_quantity", "l_returnflag", "amount", "discount", "l_tax"],
     )
 
 
 PRED = SPLIT_LINES + """, pr AS (SELECT 'all' AS policy, 'closed_form' AS experiment, false AS exploratory, m.model, split, row_id,
- l_extendedprice AS Actual, p AS Predicted, l_extendedprice - p AS Residual, abs(l_extendedprice - p) AS AbsoluteError,
- (l_extendedprice - p) * (l_extendedprice - p) AS SquaredError, l_suppkey, l_quantity, l_returnflag, amount, discount, l_tax
- FROM (SELECT *, 'flat' AS model, (2000 * l_quantity + 250)::DOUBLE AS p FROM sl
-       UNION ALL SELECT *, 'taxed', (1900 * l_quantity * (1 + l_tax))::DOUBLE FROM sl) m)
+ y AS Actual, p AS Predicted, y - p AS Residual, abs(y - p) AS AbsoluteError, (y - p) * (y - p) AS SquaredError, l_suppkey, l_quantity, l_returnflag, amount, discount, l_tax
+ FROM (SELECT *, l_extendedprice / 7 AS y, 'flat' AS model, (290 * l_quantity + 35)::DOUBLE AS p FROM sl
+       UNION ALL SELECT *, l_extendedprice / 7, 'taxed', (270 * l_quantity * (1 + l_tax))::DOUBLE FROM sl) m)
 """
 
 METRIC_SQL = """count(*) AS n_rows, avg(AbsoluteError) AS MAE, sqrt(avg(SquaredError)) AS RMSE,

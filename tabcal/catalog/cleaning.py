@@ -274,11 +274,11 @@ def _(spark, sf):
     return lines(spark, sf).select("row_id", R.temperature_regime(F.col("amount")).alias("regime"))
 
 
-@query("safe_ratio_s21", LINES + "SELECT row_id, round(CASE WHEN abs(amount) > 1e-9 THEN l_extendedprice / amount END, 6) AS safe, round(l_discount / (l_tax + 1e-8::DOUBLE), 4) AS shifted FROM lines")
+@query("safe_ratio_s21", LINES + "SELECT row_id, CASE WHEN abs(amount) > 1e-9 THEN l_extendedprice / amount END AS safe, l_discount / (l_tax + 1e-8::DOUBLE) AS shifted FROM lines")
 def _(spark, sf):
     return lines(spark, sf).select(
-        "row_id", r(X.safe_ratio(F.col("l_extendedprice"), F.col("amount"))).alias("safe"),
-        r(X.epsilon_ratio(F.col("l_discount"), F.col("l_tax")), 4).alias("shifted"))
+        "row_id", X.safe_ratio(F.col("l_extendedprice"), F.col("amount")).alias("safe"),
+        X.epsilon_ratio(F.col("l_discount"), F.col("l_tax")).alias("shifted"))
 
 
 @query("log_features_s22", LINES + "SELECT row_id, round(ln(1 + l_quantity), 9) AS log_l_quantity, round(ln(1 + l_tax), 9) AS log_l_tax FROM lines")
@@ -294,13 +294,15 @@ REP_SQL = LINES + """, f AS (SELECT row_id, l_quantity, l_discount, l_tax, l_lin
 
 
 @query("interaction_features_s23", REP_SQL + """, round(tb * la, 6) AS binder_age, round(wb * la, 6) AS water_binder_age, round(l_quantity * la, 6) AS main_age,
- round(l_discount * la, 9) AS admixture_age, round(l_quantity * price_k, 4) AS main_water, round(tb * price_k, 4) AS binder_water FROM g""")
+ round(l_discount * la, 9) AS admixture_age, l_quantity * price_k AS main_water, tb * price_k AS binder_water FROM g""")
 def _(spark, sf):
     d = lines(spark, sf).select("row_id", "l_quantity", "l_discount", "l_tax", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("price_k"))
     out = X.represent(d, "interactions", **REPRESENT)
     keep = ["row_id", "total_binder", "water_to_main", "water_to_binder", "admixture_to_binder", "l_tax_to_binder", "binder_age",
             "water_binder_age", "main_age", "admixture_age", "main_water", "binder_water"]
-    return rounded(out.select(*keep), 6, admixture_to_binder=9, l_tax_to_binder=9, admixture_age=9, main_water=4, binder_water=4)
+    exact = ["main_water", "binder_water"]  # one multiplication: equal to the bit in both engines
+    digits = {"admixture_to_binder": 9, "l_tax_to_binder": 9, "admixture_age": 9}
+    return out.select(*[F.col(c) if c in ("row_id", *exact) else r(c, digits.get(c, 6)).alias(c) for c in keep])
 
 
 @query("representation_s24", REP_SQL + " FROM g")
@@ -319,13 +321,16 @@ def _(spark, sf):
 
 @query("composite_ratios_s26", LINES + """, t AS (SELECT row_id, l_quantity, l_tax, l_extendedprice, l_linenumber, amount + l_quantity AS tb, l_quantity AS scm, discount + l_discount AS tf FROM lines)
  SELECT row_id, round(tb, 6) AS total_binder, round(scm, 6) AS total_scm, round(tf, 6) AS total_fiber_amount,
- round(CASE WHEN abs(tb) > 1e-9 THEN l_extendedprice / tb END, 6) AS water_binder_ratio, round(CASE WHEN abs(tb) > 1e-9 THEN scm / tb END, 9) AS scm_binder_ratio,
+ CASE WHEN abs(tb) > 1e-9 THEN l_extendedprice / tb END AS water_binder_ratio, round(CASE WHEN abs(tb) > 1e-9 THEN scm / tb END, 9) AS scm_binder_ratio,
  round(CASE WHEN abs(tb) > 1e-9 THEN l_linenumber / tb END, 9) AS sand_binder_ratio, round(CASE WHEN abs(tb) > 1e-9 THEN l_tax / tb END, 9) AS superplasticizer_binder_ratio,
  round(CASE WHEN abs(tb) > 1e-9 THEN tf / tb END, 9) AS fiber_binder_ratio FROM t""")
 def _(spark, sf):
     d = lines(spark, sf).select("row_id", "amount", "l_quantity", "discount", "l_discount", "l_tax", "l_extendedprice", "l_linenumber")
     out = X.composite_ratios(d, binder=["amount", "l_quantity"], fibers=["discount", "l_discount"], water="l_extendedprice", sand="l_linenumber", admixture="l_tax")
-    return rounded(out.drop("l_tax", "l_extendedprice", "l_linenumber"), 9, total_binder=6, total_scm=6, total_fiber_amount=6, water_binder_ratio=6)
+    digits = {"total_binder": 6, "total_scm": 6, "total_fiber_amount": 6}
+    return out.drop("l_tax", "l_extendedprice", "l_linenumber").select(*[
+        F.col(c) if c in ("row_id", "water_binder_ratio") else r(c, digits.get(c, 9)).alias(c)
+        for c in out.columns if c not in ("l_tax", "l_extendedprice", "l_linenumber")])
 
 
 @query("right_closed_bins_s27", """SELECT o_orderkey, CASE WHEN v <= 120 THEN '<=120' WHEN v <= 150 THEN '120-150' WHEN v <= 180 THEN '150-180' WHEN v > 180 THEN '>180' END AS bin

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabcal.operators.evaluate import medians, point_aggregates
 from tabcal.operators.scale import (
-    attach, average_rank, exact_quantiles, order_statistics, value_ranks,
+    attach, average_rank, exact_quantiles, order_statistics, safe_corr, value_ranks,
 )
 
 WIDTH_TOLERANCE = 1e-8  # fixed value: relative width spread that still counts as constant
@@ -126,8 +126,7 @@ def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str, out: str
     for column, rank in ((left, "_rl"), (right, "_rr")):
         ranked = value_ranks(rows, keys, column, bounded=bounded).select(*keys, column, "ties", average_rank().alias(rank))
         rows = attach(rows, ranked, [*keys, column], size_col="ties").drop("ties")
-    varied = (F.stddev_pop("_rl") > 0) & (F.stddev_pop("_rr") > 0)
-    return rows.groupBy(*keys).agg(F.when(varied, F.corr("_rl", "_rr")).alias(out))
+    return rows.groupBy(*keys).agg(safe_corr("_rl", "_rr").alias(out))
 
 
 def interval_metrics(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from tabcal.functions.text import number_column, to_number
-from tabcal.operators.scale import attach, exact_quantiles, unpivot_numeric, with_scalars
+from tabcal.operators.scale import attach, condition, exact_quantiles, unpivot_numeric, with_scalars
 
 CHUNK = 100  # columns per aggregate, to stay inside code generation limits
 
@@ -149,19 +149,19 @@ def ablate(df: DataFrame, *, prefixes: Sequence[str] = (), substrings: Sequence[
     ])
 
 
-def trim_bounds(df: DataFrame, target: str, train: Column, lower: float, upper: float) -> DataFrame:
+def trim_bounds(df: DataFrame, target: str, train: Column | str, lower: float, upper: float) -> DataFrame:
     """Target quantiles of the training rows."""
     return exact_quantiles(df.where(train), [], target, {"lower_threshold": lower, "upper_threshold": upper})
 
 
-def trim_train_target(df: DataFrame, target: str, train: Column, lower: float, upper: float) -> DataFrame:
+def trim_train_target(df: DataFrame, target: str, train: Column | str, lower: float, upper: float) -> DataFrame:
     """Drop training rows outside the train quantiles (ends included); other rows stay."""
     bounded = with_scalars(df, trim_bounds(df, target, train, lower, upper))
     inside = F.col(target).between(F.col("lower_threshold"), F.col("upper_threshold"))
-    return bounded.where(~train | inside).drop("lower_threshold", "upper_threshold")
+    return bounded.where(~condition(train) | inside).drop("lower_threshold", "upper_threshold")
 
 
-def trim_audit(df: DataFrame, target: str, train: Column, lower: float, upper: float) -> DataFrame:
+def trim_audit(df: DataFrame, target: str, train: Column | str, lower: float, upper: float) -> DataFrame:
     rows = with_scalars(df.where(train), trim_bounds(df, target, train, lower, upper))
     inside = F.coalesce(F.col(target).between(F.col("lower_threshold"), F.col("upper_threshold")), F.lit(False))
     return rows.agg(
@@ -172,7 +172,7 @@ def trim_audit(df: DataFrame, target: str, train: Column, lower: float, upper: f
     )
 
 
-def within_sd(df: DataFrame, columns: Sequence[str], train: Column, width: float = 5.0) -> DataFrame:
+def within_sd(df: DataFrame, columns: Sequence[str], train: Column | str, width: float = 5.0) -> DataFrame:
     """Keep rows inside mean +/- width sd (train bounds) in every column; NULL fails, as NaN does."""
     bounds = df.where(train).agg(
         *[F.avg(c).alias(f"_a_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabcal.functions.rules import MISSING_GAP
 from tabcal.operators.columns import null_shares
 from tabcal.operators.evaluate import medians
-from tabcal.operators.scale import attach, exact_quantiles, unpivot_numeric, unpivot_text, with_scalars
+from tabcal.operators.scale import attach, condition, exact_quantiles, unpivot_numeric, unpivot_text, with_scalars
 
 INFREQUENT = "__infrequent__"
 MIN_FREQUENCY = 10  # fixed value: rarer train categories are grouped
@@ -135,7 +135,7 @@ def group_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str]) -> Da
 
 
 def target_encode(
-    df: DataFrame, *, column: str, target: str, train: Column, fold: str, out: str, folds: int, cross_fit: bool = True
+    df: DataFrame, *, column: str, target: str, train: Column | str, fold: str, out: str, folds: int, cross_fit: bool = True
 ) -> DataFrame:
     """Empirical-Bayes target encoding, out of fold for training rows.
 
@@ -144,7 +144,7 @@ def target_encode(
     ``cross_fit=False`` scores training rows with the all-train value as well.
     """
     label = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_GAP))
-    rows = df.withColumn("_cat", label).withColumn("_train", train)
+    rows = df.withColumn("_cat", label).withColumn("_train", condition(train))
     centre = df.where(train).agg(F.avg(target).alias("_mu"))
     fitted = with_scalars(rows.where("_train"), centre).select("_cat", fold, (F.col(target) - F.col("_mu")).alias("_y"))
     sums = fitted.groupBy("_cat", fold).agg(
@@ -193,7 +193,7 @@ def polynomial_powers(width: int, degree: int) -> list[tuple[int, ...]]:
     return expand(width - 1, degree)[1:]
 
 
-def scale_vector(df: DataFrame, train: Column, vector: str, out: str) -> DataFrame:
+def scale_vector(df: DataFrame, train: Column | str, vector: str, out: str) -> DataFrame:
     """Standardise a vector column with population sd of the training rows."""
     width = F.size(vector_to_array(vector))
     cells = df.where(train).select(F.posexplode(vector_to_array(vector)).alias("i", "x"))
@@ -223,7 +223,7 @@ class TablePreprocessor:
     target: str = "target"
     fold: str = "fold"
     folds: int = 5
-    train: Column = field(default_factory=lambda: F.col("split") == "train")
+    train: Column | str = "split = 'train'"
     categories: dict[str, list[str]] = field(default_factory=dict)
     output_columns: list[str] = field(default_factory=list)
 

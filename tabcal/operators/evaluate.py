@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabcal.operators.scale import attach, exact_quantiles, unpivot_numeric
+from tabcal.operators.scale import attach, exact_quantiles, safe_corr, unpivot_numeric
 
 METRICS = ("n_rows", "MAE", "RMSE", "R2", "R", "Bias", "MedianAE")
 
@@ -41,10 +41,9 @@ def point_aggregates() -> list[Column]:
         .when(spread > 0, 1 - F.try_divide(sse, spread))
         .otherwise(F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     )
-    varied = (F.stddev_pop("Actual") > 0) & (F.stddev_pop("Predicted") > 0)
     return [
         n.alias("n_rows"), F.avg("AbsoluteError").alias("MAE"), F.sqrt(F.avg("SquaredError")).alias("RMSE"),
-        r2.alias("R2"), F.when(varied, F.corr("Actual", "Predicted")).alias("R"), F.avg("Residual").alias("Bias"),
+        r2.alias("R2"), safe_corr("Actual", "Predicted").alias("R"), F.avg("Residual").alias("Bias"),
     ]
 
 

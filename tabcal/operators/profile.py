@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabcal.operators.columns import null_shares
-from tabcal.operators.scale import attach, exact_quantiles, unpivot_numeric, unpivot_text, with_scalars
+from tabcal.operators.scale import attach, exact_quantiles, safe_corr, unpivot_numeric, unpivot_text, with_scalars
 
 LOW_CARDINALITY_MAX = 10  # fixed value
 MEDIUM_CARDINALITY_MAX = 20  # fixed value
@@ -167,7 +167,7 @@ def value_counts(df: DataFrame, column: str, *, with_null: bool = True) -> DataF
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair, each pair on the rows where both are known."""
     pairs = list(combinations(columns, 2))
-    aggregates = [F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)]
+    aggregates = [safe_corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)]
     ones = [F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(f"_d{i}") for i, c in enumerate(columns)]
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(*aggregates, *ones)
     cell = lambda a, b, v: F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), v.alias("r"))
@@ -178,7 +178,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target)).alias(f"_c{i}") for i, c in enumerate(features)])
+    numbers = df.select(target, *[F.col(c).cast("double").alias(c) for c in features])
+    wide = numbers.agg(*[safe_corr(c, target).alias(f"_c{i}") for i, c in enumerate(features)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias("r")) for i, c in enumerate(features)
     ])))

@@ -27,6 +27,11 @@ def null_safe(keys: Sequence[str], prefix: str) -> Column:
     return condition
 
 
+def condition(c: Column | str) -> Column:
+    """A condition given as a Column or as SQL text."""
+    return F.expr(c) if isinstance(c, str) else c
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row table (a global aggregate) to every row."""
     return df.crossJoin(F.broadcast(one_row))
@@ -228,6 +233,12 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
 
 
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson correlation on rows where both are known; NULL (not an error) without spread."""
+    left, right = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(left) * F.stddev_pop(right))
+
+
 def unpivot_numeric(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(ids, column, value) with every value as a double."""
     return df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
