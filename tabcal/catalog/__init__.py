@@ -2,7 +2,7 @@
 
 import importlib
 
-SECTIONS = ("cleaning", "columns", "profiles", "evaluation")
+SECTIONS = ("cleaning", "columns", "profiles", "evaluation", "modelling")
 
 
 def load_registry():

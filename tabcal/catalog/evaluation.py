@@ -390,10 +390,10 @@ def _(spark, sf):
     return rounded(K.interval_metrics(stored_intervals(spark, sf)), 5, UncertaintyErrorSpearman=6)
 
 
-@query("group_interval_metrics_c9", IV + f"SELECT l_suppkey, {KEYS}, n_rows, {round_sql(INTERVAL_COLUMNS, 5)} FROM (SELECT l_suppkey, {KEYS}, {INTERVAL_SQL} FROM iv GROUP BY l_suppkey, {KEYS})")
+@query("group_interval_metrics_c9", IV + f"SELECT l_suppkey, {KEYS}, n_rows, {round_sql(INTERVAL_COLUMNS, 7)} FROM (SELECT l_suppkey, {KEYS}, {INTERVAL_SQL} FROM iv GROUP BY l_suppkey, {KEYS})")
 def _(spark, sf):
     out = K.interval_metrics(stored_intervals(spark, sf), [*K.METRIC_KEYS, "l_suppkey"], bounded=False, with_spearman=False)
-    return rounded(out.drop("UncertaintyErrorSpearman"), 5)
+    return rounded(out.drop("UncertaintyErrorSpearman"), 7)
 
 
 @query("micro_macro_intervals_a23", IV + ", " + SPEAR + f""", gm AS (SELECT l_suppkey, {KEYS}, {INTERVAL_SQL} FROM iv GROUP BY l_suppkey, {KEYS})
