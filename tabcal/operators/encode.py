@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabcal.functions.rules import MISSING_GAP
 from tabcal.operators.columns import null_shares
 from tabcal.operators.evaluate import medians
-from tabcal.operators.scale import attach, condition, exact_quantiles, unpivot_numeric, unpivot_text, with_scalars
+from tabcal.operators.scale import attach, condition, exact_quantiles, pin, unpivot_numeric, unpivot_text, with_scalars
+from tabcal.session import durable
 
 INFREQUENT = "__infrequent__"
 MIN_FREQUENCY = 10  # fixed value: rarer train categories are grouped
@@ -33,45 +34,62 @@ def fill_statistics(train: DataFrame, columns: Sequence[str], how: str) -> DataF
     raise ValueError(f"unknown imputation: {how}")
 
 
-def impute(df: DataFrame, train: DataFrame, columns: Sequence[str], how: str = "median") -> DataFrame:
-    rows = with_scalars(df, fill_statistics(train, columns, how))
+def apply_fill(df: DataFrame, fills: DataFrame, columns: Sequence[str]) -> DataFrame:
+    rows = with_scalars(df, fills)
     return _replace(rows, {c: F.coalesce(F.col(c).cast("double"), F.col(f"_f_{c}")) for c in columns}).select(*df.columns)
 
 
+def impute(df: DataFrame, train: DataFrame, columns: Sequence[str], how: str = "median") -> DataFrame:
+    return apply_fill(df, fill_statistics(train, columns, how), columns)
+
+
 def missing_indicators(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """0/1 columns, only for columns with NULLs in training (one small aggregate decides the schema)."""
     flagged = [r["column"] for r in null_shares(train, columns).where("missing > 0").collect()]
     return df.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in columns if c in flagged])
 
 
+def scale_statistics(train: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+    """One row: centre ``_c_x`` and unit ``_u_x`` per column (zero spread gives unit 1).
+
+    standard: mean and population sd; robust: exact median and interquartile range;
+    minmax: minimum and range.
+    """
+    if how == "standard":
+        raw = train.agg(*[f for c in columns for f in (F.avg(c).alias(f"_c_{c}"), F.stddev_pop(c).alias(f"_u_{c}"))])
+    elif how == "minmax":
+        raw = train.agg(*[f for c in columns for f in (F.min(c).alias(f"_c_{c}"), (F.max(c) - F.min(c)).alias(f"_u_{c}"))])
+    elif how == "robust":
+        long = unpivot_numeric(train, [], columns)
+        q = exact_quantiles(long, ["column"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, bounded=True)
+        pick = lambda c, v: F.max(F.when(F.col("column") == c, v))
+        raw = q.agg(*[
+            f for c in columns
+            for f in (pick(c, F.col("q2")).alias(f"_c_{c}"), pick(c, F.col("q3") - F.col("q1")).alias(f"_u_{c}"))
+        ])
+    else:
+        raise ValueError(f"unknown scaling: {how}")
+    unit = lambda c: F.when(F.col(f"_u_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_u_{c}"))
+    return raw.select(*[f for c in columns for f in (F.col(f"_c_{c}"), unit(c).alias(f"_u_{c}"))])
+
+
+def apply_scale(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    rows = with_scalars(df, stats)
+    return _replace(rows, {c: (F.col(c) - F.col(f"_c_{c}")) / F.col(f"_u_{c}") for c in columns}).select(*df.columns)
+
+
 def standardize(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Population sd; a constant column is only centred."""
-    stats = train.agg(
-        *[F.avg(c).alias(f"_a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
-    )
-    rows = with_scalars(df, stats)
-    unit = lambda c: F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
-    return _replace(rows, {c: (F.col(c) - F.col(f"_a_{c}")) / unit(c) for c in columns}).select(*df.columns)
+    return apply_scale(df, scale_statistics(train, columns, "standard"), columns)
 
 
 def robust_scale(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Centre on the exact median, divide by the interquartile range."""
-    long = unpivot_numeric(train, [], columns)
-    q = exact_quantiles(long, ["column"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, bounded=True)
-    pick = lambda c, v: F.max(F.when(F.col("column") == c, F.col(v)))
-    stats = q.agg(*[pick(c, v).alias(f"_{v}_{c}") for c in columns for v in ("q1", "q2", "q3")])
-    rows = with_scalars(df, stats)
-    span = lambda c: F.col(f"_q3_{c}") - F.col(f"_q1_{c}")
-    unit = lambda c: F.when(span(c) == 0, F.lit(1.0)).otherwise(span(c))
-    return _replace(rows, {c: (F.col(c) - F.col(f"_q2_{c}")) / unit(c) for c in columns}).select(*df.columns)
+    return apply_scale(df, scale_statistics(train, columns, "robust"), columns)
 
 
 def min_max_scale(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    stats = train.agg(*[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns])
-    rows = with_scalars(df, stats)
-    span = lambda c: F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-    unit = lambda c: F.when(span(c) == 0, F.lit(1.0)).otherwise(span(c))
-    return _replace(rows, {c: (F.col(c) - F.col(f"_lo_{c}")) / unit(c) for c in columns}).select(*df.columns)
+    return apply_scale(df, scale_statistics(train, columns, "minmax"), columns)
 
 
 def train_categories(train: DataFrame, columns: Sequence[str], *, drop_first: bool = False) -> dict[str, list[str]]:
@@ -135,13 +153,15 @@ def group_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str]) -> Da
 
 
 def target_encode(
-    df: DataFrame, *, column: str, target: str, train: Column | str, fold: str, out: str, folds: int, cross_fit: bool = True
+    df: DataFrame, *, column: str, target: str, train: Column | str, fold: str, out: str, folds: int, cross_fit: bool = True,
+    keep: bool = False,
 ) -> DataFrame:
     """Empirical-Bayes target encoding, out of fold for training rows.
 
     The category mean is shrunk to the overall mean by n / (n + within variance / overall
     variance).  Only (category, fold) sums are shuffled; leaving a fold out is a subtraction.
-    ``cross_fit=False`` scores training rows with the all-train value as well.
+    ``cross_fit=False`` scores training rows with the all-train value as well.  ``keep=True``
+    stores the fitted category table, for use inside longer jobs.
     """
     label = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_GAP))
     rows = df.withColumn("_cat", label).withColumn("_train", condition(train))
@@ -156,8 +176,10 @@ def target_encode(
     per_category = sums.groupBy("_cat").agg(
         F.sum("n").alias("_size"), F.array(*[triple(f) for f in range(folds)], everything).alias("_per")
     )
-    overall = sums.agg(F.array(*[triple(f) for f in range(folds)], everything).alias("_tot"))
-    joined = with_scalars(attach(rows, per_category, ["_cat"], size_col="_size"), with_scalars(overall, centre))
+    overall = with_scalars(sums.agg(F.array(*[triple(f) for f in range(folds)], everything).alias("_tot")), centre)
+    if keep:
+        per_category, overall = durable(per_category), pin(overall)
+    joined = with_scalars(attach(rows, per_category, ["_cat"], size_col="_size"), overall)
     slot = F.when(F.col("_train"), F.col(fold)).otherwise(F.lit(folds)) if cross_fit else F.lit(folds)
     cat = F.element_at(F.col("_per"), (slot + 1).cast("int"))
     tot = F.element_at(F.col("_tot"), (slot + 1).cast("int"))
@@ -228,37 +250,35 @@ class TablePreprocessor:
     output_columns: list[str] = field(default_factory=list)
 
     def fit_transform(self, df: DataFrame, *, cross_fit: bool = True) -> DataFrame:
-        out = df
+        # statistics come from the input rows, and are pinned, so steps do not recompute each other
+        source, out, numeric = df.where(self.train), df, list(self.numeric)
+        flags, hot = [], []
+        if self.indicators:
+            flagged = [r["column"] for r in null_shares(source, numeric).where("missing > 0").collect()]
+            flags = [f"{c}_missing" for c in numeric if c in flagged]
+            out = out.select("*", *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in numeric if c in flagged])
+        if numeric:
+            fills = pin(fill_statistics(source, numeric, "median"))
+            out = apply_fill(out, fills, numeric)
+            if self.scaling != "none":
+                out = apply_scale(out, pin(scale_statistics(apply_fill(source, fills, numeric), numeric, self.scaling)), numeric)
         if self.grouped:
-            out = group_rare(out, rare_category_map(out.where(self.train), self.grouped), self.grouped)
+            rare = pin(rare_category_map(source, self.grouped))
+            out, source = group_rare(out, rare, self.grouped), group_rare(source, rare, self.grouped)
+        labels = [*self.one_hot_columns, *self.grouped]
+        if labels:
+            self.categories = train_categories(source, labels)
+            hot = [f"{c}={v}" for c, values in self.categories.items() for v in values]
+            kept = [F.col(c).alias(f"_keep_{c}") for c in labels]
+            out = one_hot(out.select("*", *kept), self.categories).withColumnsRenamed({f"_keep_{c}": c for c in labels})
         for c in self.encoded:
             out = target_encode(
                 out, column=c, target=self.target, train=self.train, fold=self.fold, out=f"{c}_encoded",
-                folds=self.folds, cross_fit=cross_fit,
+                folds=self.folds, cross_fit=cross_fit, keep=True,
             )
         encoded = [f"{c}_encoded" for c in self.encoded]
-        numeric = list(self.numeric)
-        if self.indicators:
-            before = set(out.columns)
-            out = missing_indicators(out, out.where(self.train), numeric)
-            flags = [c for c in out.columns if c not in before]
-        else:
-            flags = []
-        if numeric:
-            out = impute(out, out.where(self.train), numeric, "median")
-        scale = {"standard": standardize, "robust": robust_scale, "minmax": min_max_scale}.get(self.scaling)
-        if scale is not None and numeric:
-            out = scale(out, out.where(self.train), numeric)
         if encoded:
-            out = standardize(out, out.where(self.train), encoded)
-        hot: list[str] = []
-        labels = [*self.one_hot_columns, *self.grouped]
-        if labels:
-            self.categories = train_categories(out.where(self.train), labels)
-            kept = [F.col(c).alias(f"_keep_{c}") for c in labels]
-            out = one_hot(out.select("*", *kept), self.categories)
-            out = out.withColumnsRenamed({f"_keep_{c}": c for c in labels})
-            hot = [f"{c}={v}" for c, values in self.categories.items() for v in values]
+            out = apply_scale(out, pin(scale_statistics(out.where(self.train), encoded, "standard")), encoded)
         self.output_columns = [*encoded, *numeric, *flags, *hot]
         vector = array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in self.output_columns]))
         return out.withColumn("features", vector)

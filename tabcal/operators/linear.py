@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabcal.operators import kernels
-from tabcal.operators.scale import attach, with_scalars
+from tabcal.operators.scale import attach, pin, with_scalars
 
 cloudpickle.register_pickle_by_value(kernels)
 
@@ -105,7 +105,8 @@ def score(df: DataFrame, fitted: DataFrame, keys: Sequence[str], features: Seque
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], target: str, kind: str, **params) -> DataFrame:
-    return fit(cross_products(df, [], [*features, target]), [], features, kind, **params)
+    """Fit on all given rows; the result is one pinned row of coefficients."""
+    return pin(fit(pin(cross_products(df, [], [*features, target])), [], features, kind, **params))
 
 
 def coefficient_table(fitted: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -37,6 +37,14 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
+def pin(one_row: DataFrame) -> DataFrame:
+    """A fitted one-row table (statistics, a d x d matrix) computed now and kept as literals.
+
+    Fitting is an action in any case; pinning stops later steps from recomputing the fit.
+    """
+    return one_row.sparkSession.createDataFrame(one_row.collect(), one_row.schema)
+
+
 def attach(
     df: DataFrame,
     stats: DataFrame,
@@ -101,18 +109,16 @@ def _bracketed_counts(df, keys, value, ranks, size_stats, bounded):
     names = list(ranks)
     shares = [ranks[n][0] for n in names]
     rows = attach(df, size_stats, keys, size_col="_n", bounded=bounded)
-    wanted = []
-    for i, name in enumerate(names):
-        low = F.when(F.col("_n") > WHOLE_GROUP_ROWS, F.col("_sk")[2 * i])
-        high = F.when(F.col("_n") > WHOLE_GROUP_ROWS, F.col("_sk")[2 * i + 1])
-        wanted.append(
-            F.struct(
-                F.lit(i).alias("w"),
-                (low.isNotNull() & (F.col(value) < low)).alias("below"),
-                (high.isNotNull() & (F.col(value) > high)).alias("above"),
-            )
-        )
-    spread = rows.select(*keys, value, "_n", F.explode(F.array(*wanted)).alias("_w")).where(~F.col("_w.above"))
+    large, v = F.col("_n") > WHOLE_GROUP_ROWS, F.col(value)
+    position = lambda w, low, high: F.struct(
+        w.alias("w"), (large & (v < low)).alias("below"), (large & (v > high)).alias("above")
+    )
+    if len(names) <= 8:
+        wanted = F.array(*[position(F.lit(i), F.col("_sk")[2 * i], F.col("_sk")[2 * i + 1]) for i in range(len(names))])
+    else:  # one lambda instead of one expression per rank keeps the generated code small
+        numbers = F.sequence(F.lit(0), F.lit(len(names) - 1))
+        wanted = F.transform(numbers, lambda i: position(i, F.get("_sk", 2 * i), F.get("_sk", 2 * i + 1)))
+    spread = rows.select(*keys, value, "_n", F.explode(wanted).alias("_w")).where(~F.col("_w.above"))
     counted = spread.groupBy(
         *keys,
         F.col("_w.w").alias("_w"),

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tabcal.operators import bootstrap as B, calibrate as K, linear as L
-from tabcal.operators.ordering import union_ragged
-from tabcal.operators.scale import attach, with_scalars
+from tabcal.operators.scale import attach, pin, with_scalars
 from tabcal.session import durable
 
 SD_FLOOR = 1e-8
@@ -37,38 +36,57 @@ def interval_methods(
     Methods: split conformal around the elastic net; Bayesian ridge with its own sd; the same
     sd conformalised; residual-bootstrap percentiles; those percentiles conformalised.
     """
-    train = df.where("role = 'train'")
-    others = df.where("role <> 'train'")
-    shown = [c for c in carry]
-    base = lambda scored: scored.select(
-        F.col(row_id).cast("string").alias("row_id"), "role", F.col(target).alias("Actual"), F.col("prediction").alias("Predicted"),
-        F.greatest(F.coalesce("prediction_sd", F.lit(0.0)), F.lit(SD_FLOOR)).alias("sd"), *shown,
-    )
-    sums = L.cross_products(train, [], [*features, target])
-    net = base(L.score(others, L.fit(sums, [], features, "elastic_net", **elastic_net), [], features))
-    bayes = base(L.score(others, L.fit(sums, [], features, "bayesian_ridge"), [], features))
+    train, others = df.where("role = 'train'"), df.where("role <> 'train'")
+    sums = pin(L.cross_products(train, [], [*features, target]))
+    net = pin(L.fit(sums, [], features, "elastic_net", **elastic_net))
+    bayes = pin(L.fit(sums, [], features, "bayesian_ridge"))
     boot = B.ResidualBootstrap(train, row_id=row_id, features=features, target=target, repetitions=repetitions, seed=seed, **elastic_net)
-    paths = durable(boot.distribution(others, "row_id"))  # used once per coverage level
-    held = lambda d: d.where("role = 'heldout'")
-    fit_rows = lambda d: d.where("role = 'calibration'")
-    out = []
-    for coverage in coverages:
-        alpha = 1 - coverage
-        error = F.abs(F.col("Actual") - F.col("Predicted"))
-        q = K.conformal_quantiles(fit_rows(net).select(error.alias("s")), [], "s", [alpha]).select("q_hat")
-        out.append(_frame(_around(attach(held(net), q, []), F.col("q_hat")), "split_conformal", "elastic_net", scheme, coverage, shown))
-        width = K.normal_half_width(F.col("sd"), coverage)
-        out.append(_frame(_around(held(bayes), width), "bayesian_native", "bayesian_ridge", scheme, coverage, shown, "sd"))
-        q = K.conformal_quantiles(fit_rows(bayes).select((error / F.col("sd")).alias("s")), [], "s", [alpha]).select("q_hat")
-        out.append(_frame(
-            _around(attach(held(bayes), q, []), F.col("q_hat") * F.col("sd")), "bayesian_conformalized", "bayesian_ridge", scheme, coverage, shown, "sd"
-        ))
-        bounds = B.bootstrap_bounds(paths, "row_id", coverage).drop("Predicted")
-        raw = net.join(bounds, "row_id")
-        out.append(_frame(held(raw), "bootstrap_percentile", "elastic_net", scheme, coverage, shown))
-        widened = K.conformalize(fit_rows(raw), held(raw), [], alpha)
-        out.append(_frame(widened, "bootstrap_conformalized", "elastic_net", scheme, coverage, shown))
-    return union_ragged(out)
+    spread = B.bounds_per_level(boot.distribution(others, "row_id"), "row_id", coverages)
+    first = L.score(others, net, [], features).drop("prediction_sd").withColumnRenamed("prediction", "net")
+    both = L.score(first, bayes, [], features)
+    scored = durable(both.select(
+        F.col(row_id).cast("string").alias("row_id"), "role", F.col(target).alias("Actual"), "net", F.col("prediction").alias("bayes"),
+        F.greatest("prediction_sd", F.lit(SD_FLOOR)).alias("sd"), *carry,
+    ).join(spread, "row_id"))  # used for the quantiles and for the tables
+
+    actual = F.col("Actual")
+    score = lambda method, level, value: F.struct(F.lit(method).alias("method"), F.lit(level).cast("int").alias("level"), value.alias("score"))
+    scores = scored.where("role = 'calibration'").select(F.inline(F.array(
+        score("split_conformal", -1, F.abs(actual - F.col("net"))),
+        score("bayesian_conformalized", -1, F.abs(actual - F.col("bayes")) / F.col("sd")),
+        *[score("bootstrap_conformalized", i, K.nonconformity(actual, F.col(f"lower_{i}"), F.col(f"upper_{i}"))) for i in range(len(coverages))],
+    )))
+    alphas = [1 - c for c in coverages]
+    found = K.conformal_quantiles(scores, ["method", "level"], "score", alphas, bounded=True).collect()  # methods x levels
+    q = {(row.method, row.level, round(row.alpha, 12)): row.q_hat for row in found}
+
+    tables = []
+    for i, coverage in enumerate(coverages):
+        key = round(1 - coverage, 12)
+        around = lambda centre, width: K.symmetric_bounds(F.col(centre), width)
+        half = lambda bounds: (bounds[1] - bounds[0]) / 2
+        split_q = F.lit(q["split_conformal", -1, key])
+        bayes_q = F.lit(q["bayesian_conformalized", -1, key])
+        boot_q = F.lit(q["bootstrap_conformalized", i, key])
+        raw = (F.col(f"lower_{i}"), F.col(f"upper_{i}"))
+        for method, model, centre, bounds, uncertain in (
+            ("split_conformal", "elastic_net", "net", around("net", split_q), None),
+            ("bayesian_native", "bayesian_ridge", "bayes", around("bayes", K.normal_half_width(F.col("sd"), coverage)), F.col("sd")),
+            ("bayesian_conformalized", "bayesian_ridge", "bayes", around("bayes", bayes_q * F.col("sd")), F.col("sd")),
+            ("bootstrap_percentile", "elastic_net", "net", raw, None),
+            ("bootstrap_conformalized", "elastic_net", "net", (raw[0] - boot_q, raw[1] + boot_q), None),
+        ):
+            tables.append(F.struct(
+                F.lit(method).alias("method"), F.lit(model).alias("model"), F.lit(float(coverage)).alias("nominal_coverage"),
+                F.col(centre).alias("Predicted"), bounds[0].alias("Lower"), bounds[1].alias("Upper"),
+                (half(bounds) if uncertain is None else uncertain).alias("uncertainty"),
+            ))
+    rows = scored.where("role = 'heldout'").select("row_id", "role", "Actual", *carry, F.explode(F.array(*tables)).alias("_t"))
+    flat = rows.select("row_id", "role", "Actual", *carry, "_t.*")
+    return K.interval_table(flat, carry=carry, uncertainty="uncertainty", labels={
+        "method": F.col("method"), "model": F.col("model"), "evaluation_scheme": F.lit(scheme), "split": F.col("role"),
+        "nominal_coverage": F.col("nominal_coverage"),
+    })
 
 
 def coverage_curve(intervals: DataFrame) -> DataFrame:

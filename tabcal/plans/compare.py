@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabcal.operators import columns as C, linear as L
 from tabcal.operators.evaluate import best_row, experiment_delta, prediction_table, regression_metrics
 from tabcal.operators.ordering import union_ragged
+from tabcal.operators.scale import pin
 
 METRIC_KEYS = ("policy", "experiment", "exploratory", "model", "split")
 
@@ -22,16 +23,18 @@ def linear_predictions(
 
     All models share one pass of cross products over the training rows.
     """
-    sums = L.cross_products(df.where(train), [], [*features, target])
-    parts = []
+    sums = pin(L.cross_products(df.where(train), [], [*features, target]))
+    options = []
     for name, (kind, params) in models.items():
-        scored = L.score(df, L.fit(sums, [], features, kind, **params), [], features)
-        parts.append(prediction_table(
-            scored, row_id=row_id, actual=target, predicted="prediction", carry=carry,
-            labels={"policy": F.lit(policy), "experiment": F.lit(experiment), "exploratory": F.lit(False),
-                    "model": F.lit(name), "split": F.col("split")},
-        ))
-    return union_ragged(parts)
+        one = L.fit(sums, [], features, kind, **params).first()
+        guess = sum((F.col(c).cast("double") * float(w) for c, w in zip(features, one.coef)), F.lit(float(one.intercept)))
+        options.append(F.struct(F.lit(name).alias("model"), guess.alias("prediction")))
+    both = df.select("*", F.explode(F.array(*options)).alias("_m"))
+    return prediction_table(
+        both.select(*df.columns, "_m.model", "_m.prediction"), row_id=row_id, actual=target, predicted="prediction", carry=carry,
+        labels={"policy": F.lit(policy), "experiment": F.lit(experiment), "exploratory": F.lit(False),
+                "model": F.col("model"), "split": F.col("split")},
+    )
 
 
 def tune_linear(train: DataFrame, *, fold: str, features: Sequence[str], target: str, grids: dict[str, list[dict]]) -> DataFrame:
