@@ -336,18 +336,17 @@ IV = Q_SQL + """, mi AS (SELECT 'split_conformal' AS method, pr.*, Predicted - q
 
 
 def intervals(spark, sf):
+    """Two conformal methods on the test rows; their quantiles come from one job over the validation rows."""
     p = predictions(spark, sf)
-    test = p.where("split = 'test'")
-    scores = calibration_scores(spark, sf)
-    plain = K.conformal_quantiles(scores, ["model"], "AbsoluteError", [0.1], bounded=True).select("model", "q_hat")
-    scaled = K.conformal_quantiles(scores, ["model"], "ns", [0.1], bounded=True).select("model", "q_hat")
     spread = F.greatest(100 * (1 + F.col("l_quantity")), F.lit(1e-8))
-    both = None
-    for method, q, width in (("split_conformal", plain, F.col("q_hat")), ("normalised_conformal", scaled, F.col("q_hat") * spread)):
-        lo, hi = K.symmetric_bounds(F.col("Predicted"), width)
-        part = attach(test, q, ["model"], bounded=True).select("*", F.lit(method).alias("method"), lo.alias("Lower"), hi.alias("Upper"))
-        both = part if both is None else both.unionByName(part)
-    return K.interval_table(both, labels={
+    widths = {"split_conformal": F.lit(1.0), "normalised_conformal": spread}
+    option = lambda m, w: F.struct(F.lit(m).alias("method"), w.alias("unit"))
+    both = p.select("*", F.explode(F.array(*[option(m, w) for m, w in widths.items()])).alias("_o")).select(*p.columns, "_o.method", "_o.unit")
+    scores = both.where("split = 'validation'").select("method", "model", (F.col("AbsoluteError") / F.col("unit")).alias("s"))
+    q = K.conformal_quantiles(scores, ["method", "model"], "s", [0.1], bounded=True).select("method", "model", "q_hat")
+    lo, hi = K.symmetric_bounds(F.col("Predicted"), F.col("q_hat") * F.col("unit"))
+    rows = attach(both.where("split = 'test'"), q, ["method", "model"], bounded=True).withColumn("Lower", lo).withColumn("Upper", hi)
+    return K.interval_table(rows, labels={
         "method": F.col("method"), "model": F.col("model"), "evaluation_scheme": F.lit("shared"), "split": F.col("split"), "nominal_coverage": F.lit(0.9)}, carry=["l_suppkey"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabcal.catalog.base import FRACTIONS, LINES, METRIC_ROUND, METRIC_SQL, SEED, SPLIT_LINES, lines, predictions, query, r, rounded, table
 from tabcal.catalog.columns import split_lines
 from tabcal.functions.features import safe_ratio
+from tabcal.operators.columns import repair_types
 from tabcal.operators import bootstrap as B, encode as E, evaluate as V, linear as L, models as M, neighbors as N, splits as S
 from tabcal.plans import calibration as CP, clean_split as CS, compare as TC
 from tabcal.sources import readers as RD, writers as WR
@@ -367,6 +368,22 @@ def _(spark, sf):
     return RD.load_table(spark, path, fmt="csv", schema=d.schema)
 
 
+@query("multi_header_source_io2", "SELECT o_orderkey::DOUBLE AS order_id, o_totalprice AS price, o_orderpriority AS priority FROM orders")
+def _(spark, sf):
+    path = WR.scratch_path(spark, "raw")
+    WR.save_report(table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), [path])
+    raw = RD.read_multi_header(spark, path, header_rows=1, names=["order_id", "price", "priority", "status"], drop=["status"])
+    return repair_types(raw, ["order_id", "price", "priority"])
+
+
+@query("flattened_header_io3", "SELECT s_suppkey::VARCHAR AS \"s suppkey\", s_name AS \"s name\", s_acctbal AS \"s acctbal\" FROM supplier")
+def _(spark, sf):
+    path = WR.scratch_path(spark, "raw")
+    named = table(spark, sf, "supplier").select(F.col("s_suppkey").alias(" s  suppkey"), F.col("s_name").alias("s name "), F.col("s_acctbal").alias("s\tacctbal"))
+    WR.save_report(named, [path])
+    return repair_types(RD.read_multi_header(spark, path, header_rows=1), ["s acctbal"])
+
+
 @query("report_append_io8", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
 def _(spark, sf):
     counts = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabcal.operators.evaluate import medians, point_aggregates
 from tabcal.operators.scale import (
-    attach, average_rank, exact_quantiles, order_statistics, safe_corr, value_ranks,
+    LARGE_GROUP_ROWS, attach, average_rank, exact_quantiles, has_large_group, order_statistics, safe_corr, value_ranks,
 )
 
 WIDTH_TOLERANCE = 1e-8  # fixed value: relative width spread that still counts as constant
@@ -120,9 +120,16 @@ def interval_table(df: DataFrame, *, labels: dict[str, Column], carry: Sequence[
     )
 
 
-def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str, out: str, *, bounded: bool = False) -> DataFrame:
-    """Average-rank correlation per group, ranks found without one task per group."""
+def spearman(
+    df: DataFrame, keys: Sequence[str], left: str, right: str, out: str, *, bounded: bool = False, large_rows: int = LARGE_GROUP_ROWS
+) -> DataFrame:
+    """Average-rank correlation per group; large groups are ranked without one task per group."""
     rows = df.select(*keys, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    if not has_large_group(rows, keys, large_rows):
+        for column, rank in ((left, "_rl"), (right, "_rr")):
+            tied = F.count(F.lit(1)).over(W.partitionBy(*keys, column))
+            rows = rows.withColumn(rank, F.rank().over(W.partitionBy(*keys).orderBy(column)) + (tied - 1) / F.lit(2.0))
+        return rows.groupBy(*keys).agg(safe_corr("_rl", "_rr").alias(out))
     for column, rank in ((left, "_rl"), (right, "_rr")):
         ranked = value_ranks(rows, keys, column, bounded=bounded).select(*keys, column, "ties", average_rank().alias(rank))
         rows = attach(rows, ranked, [*keys, column], size_col="ties").drop("ties")

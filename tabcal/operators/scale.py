@@ -18,6 +18,7 @@ HOT_GROUPS = 256  # rows of the broadcast side; no other group can exceed 1/257
 SKETCH_ACCURACY = 10_000  # percentile_approx rank error is at most n / accuracy
 BRACKET = 4.0 / SKETCH_ACCURACY  # bracket half-width in rank share: sketch error with margin
 WHOLE_GROUP_ROWS = 20_000  # below this the bracket is the whole group
+LARGE_GROUP_ROWS = 1_000_000  # a smaller group may be sorted in one task; at most rows / this many are larger
 
 
 def null_safe(keys: Sequence[str], prefix: str) -> Column:
@@ -130,6 +131,17 @@ def _bracketed_counts(df, keys, value, ranks, size_stats, bounded):
     return counted.withColumn("_cum", F.sum("_c").over(running)), names
 
 
+def large_groups(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """Keys with more than ``rows`` rows: at most total/rows of them, so the table may be broadcast."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rows).drop("_rows")
+
+
+def _by_size(df, keys, rows):
+    """(rows of small groups, rows of large groups); with no large group AQE drops the second branch."""
+    big = F.broadcast(large_groups(df, keys, rows).select(*[F.col(k).alias(f"_lk{i}") for i, k in enumerate(keys)]))
+    return df.join(big, null_safe(keys, "_lk"), "left_anti"), df.join(big, null_safe(keys, "_lk"), "left_semi")
+
+
 def _sketch(df, keys, value, shares):
     points = []
     for share in shares:
@@ -148,15 +160,29 @@ def exact_quantiles(
     *,
     bounded: bool = False,
     count_as: str | None = None,
+    large_rows: int = LARGE_GROUP_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy's default rule) per group, NULLs ignored.
 
-    ``probs`` maps output column to probability.  One sketch pass brackets each quantile,
-    one counting pass keeps only the bracket (about 0.1% of a large group), so no task and
-    no buffer ever holds a whole group.
+    ``probs`` maps output column to probability.  Groups of moderate size use the built-in
+    exact percentile.  For larger ones (and always for global or ``bounded`` keys) one sketch
+    pass brackets each quantile and one counting pass keeps only the bracket (about 0.1% of
+    the group), so no task and no buffer ever holds a whole large group.
     """
     keys = list(keys)
     clean = df.select(*keys, value).where(usable(value))
+    if keys and not bounded:
+        small, large = _by_size(clean, keys, large_rows)
+        all_probs = F.percentile(value, [float(p) for p in probs.values()])
+        direct = small.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), all_probs.alias("_p")).select(
+            *keys, *([F.col("_n").alias(count_as)] if count_as else []),
+            *[F.col("_p")[i].alias(n) for i, n in enumerate(probs)],
+        )
+        return direct.unionByName(_bracketed_quantiles(large, keys, value, probs, False, count_as))
+    return _bracketed_quantiles(clean, keys, value, probs, bounded, count_as)
+
+
+def _bracketed_quantiles(clean, keys, value, probs, bounded, count_as):
     sketch = _sketch(clean, keys, value, list(probs.values()))
     ranks = {name: (p, None) for name, p in probs.items()}
     counts, names = _bracketed_counts(clean, keys, value, ranks, sketch, bounded)
@@ -186,6 +212,7 @@ def order_statistics(
     *,
     bounded: bool = False,
     count_as: str = "n",
+    large_rows: int = LARGE_GROUP_ROWS,
 ) -> DataFrame:
     """Exact k-th smallest finite value per group.
 
@@ -193,6 +220,22 @@ def order_statistics(
     """
     keys = list(keys)
     clean = df.select(*keys, value).where(usable(value))
+    if keys and not bounded:
+        small, large = _by_size(clean, keys, large_rows)
+        group = W.partitionBy(*keys)
+        numbered = small.select(
+            *keys, F.col(value).alias("_v"), F.row_number().over(group.orderBy(value)).alias("_k"),
+            F.count(F.lit(1)).over(group).alias("_n"),
+        )
+        direct = numbered.groupBy(*keys).agg(
+            F.max("_n").alias(count_as),
+            *[F.max(F.when(F.col("_k") == k.cast("long"), F.col("_v"))).alias(name) for name, (_, k) in ranks.items()],
+        )
+        return direct.unionByName(_bracketed_statistics(large, keys, value, ranks, False, count_as))
+    return _bracketed_statistics(clean, keys, value, ranks, bounded, count_as)
+
+
+def _bracketed_statistics(clean, keys, value, ranks, bounded, count_as):
     sketch = _sketch(clean, keys, value, [r[0] for r in ranks.values()])
     counts, names = _bracketed_counts(clean, keys, value, ranks, sketch, bounded)
     rank_of = F.element_at(F.array(*[ranks[n][1].cast("long") for n in names]), F.col("_w") + 1)
@@ -205,6 +248,11 @@ def order_statistics(
     )
 
 
+def has_large_group(df: DataFrame, keys: Sequence[str], rows: int = LARGE_GROUP_ROWS) -> bool:
+    """One counting job that decides whether per-group windows are safe."""
+    return len(large_groups(df, keys, rows).take(1)) > 0
+
+
 def value_ranks(
     df: DataFrame, keys: Sequence[str], value: str, *, bounded: bool = False, buckets: int = 128
 ) -> DataFrame:
