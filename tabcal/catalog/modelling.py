@@ -124,11 +124,14 @@ def _(spark, sf):
     return rounded(metrics_by_split({"adaboost_r2": score}, d), 4)
 
 
-@query("log_target_s29")
+@query("log_target_s29", Y_SQL + f""", m AS (SELECT regr_slope(ln(1 + y), l_quantity) AS b, regr_intercept(ln(1 + y), l_quantity) AS a FROM ty WHERE split = 'train'),
+ p AS (SELECT 'log_ols' AS model, split, y AS Actual, exp(a + b * l_quantity) - 1 AS Predicted FROM ty, m),
+ e AS (SELECT *, Actual - Predicted AS Residual, abs(Actual - Predicted) AS AbsoluteError, pow(Actual - Predicted, 2) AS SquaredError FROM p)
+ SELECT model, split, {METRIC_ROUND} FROM (SELECT model, split, {METRIC_SQL} FROM e GROUP BY 1, 2)""")
 def _(spark, sf):
-    d = assembled(table_of_models(spark, sf).withColumn("y", F.col("l_extendedprice")))
+    d = assembled(table_of_models(spark, sf), ["l_quantity"])
     score = M.fit_log_target(lambda label: M.ols("features", label), d.where("split = 'train'"), "y")
-    return rounded(metrics_by_split({"log_ols": score}, d), 2)
+    return rounded(metrics_by_split({"log_ols": score}, d))
 
 
 GRIDS = {"ridge": [{"alpha": a} for a in (1.0, 100.0, 10000.0)], "elastic_net": [{"alpha": a, "l1_ratio": l} for a in (0.01, 1.0) for l in (0.2, 0.9)], "ols": [{}]}
@@ -139,7 +142,22 @@ def folded(spark, sf):
     return d.withColumn("fold", F.pmod(S.hash_number(F.col("l_suppkey"), SEED), F.lit(3)))
 
 
-@query("grid_search_m9")
+FOLDED_SQL = Y_SQL + f", fo AS (SELECT *, ('0x' || substr(md5(l_suppkey || '|{SEED}'), 1, 8))::BIGINT % 3 AS fold FROM ty WHERE split = 'train')\n"
+
+
+@query("grid_search_m9", FOLDED_SQL + """, cd AS (SELECT unnest([1.0, 100.0, 10000.0])::DOUBLE AS alpha, unnest(['{"alpha": 1.0}', '{"alpha": 100.0}', '{"alpha": 10000.0}']) AS candidate_parameters),
+ st AS (SELECT k AS fold, count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(y) AS my, covar_pop(l_quantity, y) AS cxy, var_pop(l_quantity) AS v FROM fo, (SELECT unnest(range(3)) AS k) WHERE fold <> k GROUP BY 1),
+ w AS (SELECT st.*, candidate_parameters, n * cxy / v / (n + alpha) AS w FROM st, cd),
+ sc AS (SELECT candidate_parameters, k AS fold, sqrt(avg(pow(y - my - w * (l_quantity - mx), 2)) FILTER (fo.fold = k)) AS cv, sqrt(avg(pow(y - my - w * (l_quantity - mx), 2)) FILTER (fo.fold <> k)) AS tr
+   FROM fo, (SELECT fold AS k, * EXCLUDE (fold) FROM w) GROUP BY 1, 2)
+ SELECT 'ridge' AS model, candidate_parameters, rank() OVER (ORDER BY avg(cv)) AS rank_cv_RMSE, round(avg(cv), 6) AS mean_cv_RMSE, round(stddev_pop(cv), 6) AS std_cv_RMSE, round(avg(tr), 6) AS mean_train_cv_RMSE FROM sc GROUP BY 2""")
+def _(spark, sf):
+    candidates = [("ridge", p) for p in GRIDS["ridge"]]
+    out = L.cv_table(L.grid_search(folded(spark, sf).where("split = 'train'"), "fold", ["l_quantity"], "y", candidates))
+    return rounded(out.drop("mean_fit_time_seconds", "std_fit_time_seconds"))
+
+
+@query("grid_search_linear_family_m9")
 def _(spark, sf):
     candidates = [(kind, p) for kind, options in GRIDS.items() for p in options]
     out = L.cv_table(L.grid_search(folded(spark, sf).where("split = 'train'"), "fold", FEATURES, "y", candidates))
@@ -171,14 +189,22 @@ def _(spark, sf):
     return rounded(V.regression_metrics(final.where("split = 'test'"), ["model", "split"], bounded=True), 5)
 
 
-@query("variant_experiments_m17")
+VARIANTS_SQL = Y_SQL + f""", bd AS (SELECT quantile_cont(y, 0.025) AS lo, quantile_cont(y, 0.975) AS hi FROM ty WHERE split = 'train'),
+ va AS (SELECT 'original' AS experiment, split, l_quantity AS x, y FROM ty UNION ALL SELECT 'without_quantity', split, l_linenumber, y FROM ty
+   UNION ALL SELECT 'trimmed_target', split, l_quantity, y FROM ty, bd WHERE split <> 'train' OR y BETWEEN lo AND hi
+   UNION ALL SELECT 'engineered_ratio', split, l_quantity / (l_linenumber + 1), y FROM ty),
+ m AS (SELECT experiment, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM va WHERE split = 'train' GROUP BY 1),
+ e AS (SELECT experiment, split, y AS Actual, a + b * x AS Predicted, y - (a + b * x) AS Residual, abs(y - (a + b * x)) AS AbsoluteError, pow(y - (a + b * x), 2) AS SquaredError FROM va JOIN m USING (experiment))
+ SELECT 'all' AS policy, experiment, false AS exploratory, 'ols' AS model, split, {METRIC_ROUND} FROM (SELECT experiment, split, {METRIC_SQL} FROM e GROUP BY 1, 2)"""
+
+
+@query("variant_experiments_m17", VARIANTS_SQL)
 def _(spark, sf):
-    d = table_of_models(spark, sf)
-    ratio = lambda x: x.withColumn("qty_tax", safe_ratio(F.col("l_quantity"), F.col("l_linenumber") + 1))
-    return rounded(TC.run_variants(d, {
-        "all_features": (lambda x: x, FEATURES), "without_quantity": (lambda x: x, FEATURES[1:]),
-        "trimmed_target": (TC.trimmed("y"), FEATURES), "engineered_ratio": (ratio, [*FEATURES, "qty_tax"]),
-    }, row_id="row_id", target="y", models={"ols": ("ols", {}), "ridge": ("ridge", {"alpha": 10.0})}), 5)
+    ratio = lambda x: x.withColumn("ratio", safe_ratio(F.col("l_quantity"), F.col("l_linenumber") + 1))
+    return rounded(TC.run_variants(table_of_models(spark, sf), {
+        "original": (lambda x: x, ["l_quantity"]), "without_quantity": (lambda x: x, ["l_linenumber"]),
+        "trimmed_target": (TC.trimmed("y"), ["l_quantity"]), "engineered_ratio": (ratio, ["ratio"]),
+    }, row_id="row_id", target="y", models={"ols": ("ols", {})}))
 
 
 @query("experiment_scope_a30", """SELECT * FROM (VALUES ('ablation', true, true, false, 'targeted'), ('ratios', true, false, true, 'exploratory')) t(experiment, enabled, targeted, exploratory, reason)""")
@@ -215,11 +241,16 @@ def _(spark, sf):
     return rounded(out.select("l_suppkey", "row_id", "prediction"), 5)
 
 
-@query("leave_group_out_metrics_m16")
+@query("leave_group_out_metrics_m16", Y_SQL + f""", g AS (SELECT l_suppkey, count(*)::DOUBLE n, sum(l_quantity) sx, sum(y) sy, sum(l_quantity * l_quantity) sxx, sum(l_quantity * y) sxy FROM ty GROUP BY 1),
+ t AS (SELECT l_suppkey, sum(n) OVER () - n AS n, sum(sx) OVER () - sx AS sx, sum(sy) OVER () - sy AS sy, sum(sxx) OVER () - sxx AS sxx, sum(sxy) OVER () - sxy AS sxy, n AS own FROM g),
+ w AS (SELECT l_suppkey, (sxy - sx * sy / n) / (sxx - sx * sx / n) AS b, sy / n - (sxy - sx * sy / n) / (sxx - sx * sx / n) * sx / n AS a FROM t WHERE own >= 600),
+ e AS (SELECT l_suppkey, y AS Actual, a + b * l_quantity AS Predicted, y - (a + b * l_quantity) AS Residual, abs(y - (a + b * l_quantity)) AS AbsoluteError, pow(y - (a + b * l_quantity), 2) AS SquaredError FROM ty JOIN w USING (l_suppkey))
+ SELECT 'ols' AS model, l_suppkey, {METRIC_ROUND}, round(MaximumAE, 6) AS MaximumAE, round(worst, 6) AS worst_row_squared_error_share, dominant_residual_direction FROM (
+ SELECT l_suppkey, {METRIC_SQL}, max(AbsoluteError) AS MaximumAE, max(SquaredError) / sum(SquaredError) AS worst, CASE WHEN avg(Residual) > 0 THEN 'underprediction' ELSE 'overprediction' END AS dominant_residual_direction FROM e GROUP BY 1)""")
 def _(spark, sf):
-    out = L.leave_group_out(table_of_models(spark, sf), "l_suppkey", FEATURES, "y", "ridge", 600, alpha=10.0)
-    p = V.prediction_table(out, row_id="row_id", actual="y", predicted="prediction", labels={"model": F.lit("ridge")}, carry=["l_suppkey"])
-    return rounded(V.regression_metrics(p, ["model", "l_suppkey"], extra=V.fold_extras()), 5)
+    out = L.leave_group_out(table_of_models(spark, sf), "l_suppkey", ["l_quantity"], "y", "ols", 600)
+    p = V.prediction_table(out, row_id="row_id", actual="y", predicted="prediction", labels={"model": F.lit("ols")}, carry=["l_suppkey"])
+    return rounded(V.regression_metrics(p, ["model", "l_suppkey"], extra=V.fold_extras()).drop("target_mean", "target_min", "target_max"))
 
 
 # ---- neighbours ----------------------------------------------------------------------------
@@ -259,7 +290,17 @@ def _(spark, sf):
     return rounded(N.k_sweep(near(spark, sf), "vec_id", [1, 3, 5]), 8)
 
 
-@query("knn_impute_e4")
+def fill_sql(c):
+    gap = lambda x: f"coalesce(pow(a.{x} - b.{x}, 2), 0)"
+    seen = lambda x: f"(a.{x} IS NOT NULL AND b.{x} IS NOT NULL)::INT"
+    xs = ["x0", "x1", "x2", "x3"]
+    return f"""(SELECT vec_id, avg(v) AS {c}f FROM (SELECT a.vec_id, b.{c} AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(({" + ".join(map(gap, xs))}) * 4 / ({" + ".join(map(seen, xs))})), b.vec_id) AS k
+ FROM h a JOIN h b ON a.{c} IS NULL AND b.{c} IS NOT NULL WHERE {" + ".join(map(seen, xs))} > 0) WHERE k <= 5 GROUP BY 1)"""
+
+
+@query("knn_impute_e4", """WITH h AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE embedding[1]::DOUBLE END AS x0, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE embedding[2]::DOUBLE END AS x1,
+ embedding[3]::DOUBLE AS x2, embedding[4]::DOUBLE AS x3 FROM embeddings) SELECT vec_id, round(coalesce(x0, x0f), 8) AS x0, round(coalesce(x1, x1f), 8) AS x1, round(x2, 8) AS x2, round(x3, 8) AS x3
+ FROM h LEFT JOIN """ + fill_sql("x0") + " USING (vec_id) LEFT JOIN " + fill_sql("x1") + " USING (vec_id)")
 def _(spark, sf):
     d = vectors(spark, sf).select("vec_id", *[F.col("embedding")[i].alias(f"x{i}") for i in range(4)])
     holed = d.withColumns({"x0": F.expr("CASE WHEN vec_id % 5 = 0 THEN NULL ELSE x0 END"), "x1": F.expr("CASE WHEN vec_id % 7 = 0 THEN NULL ELSE x1 END")})
@@ -316,7 +357,23 @@ def preprocessor():
     return E.TablePreprocessor(numeric=["amount", "discount", "l_tax"], one_hot_columns=["kind"], encoded=["l_suppkey"], grouped=["l_linenumber"], indicators=True, target="y", folds=3)
 
 
-@query("composed_preprocessor_e11")
+def scaled_sql(c):
+    filled = f"coalesce({c}, (SELECT median({c}) FROM fo WHERE split = 'train'))"
+    return f"({filled} - (SELECT avg({filled}) FROM fo WHERE split = 'train')) / (SELECT stddev_pop({filled}) FROM fo WHERE split = 'train')"
+
+
+COMPOSED_SQL = Y_SQL + f""", fo AS (SELECT *, ('0x' || substr(md5(l_suppkey || '|{SEED}'), 1, 8))::BIGINT % 3 AS fold FROM ty),
+ slots AS (SELECT unnest(range(4)) AS slot), ov AS (SELECT slot, avg(y) m, var_pop(y) v FROM fo, slots WHERE split = 'train' AND fold <> slot GROUP BY 1),
+ ct AS (SELECT slot, l_suppkey, count(*) n, avg(y) m, var_pop(y) v FROM fo, slots WHERE split = 'train' AND fold <> slot GROUP BY 1, 2),
+ te AS (SELECT r.*, CASE WHEN ct.n IS NULL THEN ov.m ELSE ct.n / (ct.n + ct.v / ov.v) * ct.m + (1 - ct.n / (ct.n + ct.v / ov.v)) * ov.m END AS x
+   FROM (SELECT *, CASE WHEN split = 'train' THEN fold ELSE 3 END AS slot FROM fo) r JOIN ov ON ov.slot = r.slot LEFT JOIN ct ON ct.slot = r.slot AND ct.l_suppkey = r.l_suppkey)
+ SELECT row_id, round((x - (SELECT avg(x) FROM te WHERE split = 'train')) / (SELECT stddev_pop(x) FROM te WHERE split = 'train'), 5) + 0.0 AS l_suppkey_encoded,
+ {", ".join(f"round({scaled_sql(c)}, 5) + 0.0 AS {c}" for c in ("amount", "discount", "l_tax"))}, (amount IS NULL)::DOUBLE AS amount_missing, (discount IS NULL)::DOUBLE AS discount_missing,
+ {", ".join(f"(coalesce(kind, 'missing_reported_gap') = '{v}')::DOUBLE AS " + '"kind=' + v + '"' for v in ("A", "N", "R", "missing_reported_gap"))},
+ {", ".join(f"(l_linenumber = {i})::DOUBLE AS " + '"l_linenumber=' + str(i) + '"' for i in range(1, 8))} FROM te"""
+
+
+@query("composed_preprocessor_e11", COMPOSED_SQL)
 def _(spark, sf):
     p = preprocessor()
     out = p.fit_transform(folded(spark, sf))
@@ -397,11 +454,12 @@ def _(spark, sf):
     return RD.file_fingerprints(spark, sf)
 
 
-@query("model_round_trip_io10")
+@query("model_round_trip_io10", Y_SQL + """, m AS (SELECT regr_slope(y, l_quantity) AS b, regr_intercept(y, l_quantity) AS a FROM ty WHERE split = 'train')
+ SELECT row_id, round(a + b * l_quantity, 5) AS prediction FROM ty, m""")
 def _(spark, sf):
     from pyspark.ml.regression import LinearRegressionModel
 
-    d = assembled(table_of_models(spark, sf))
+    d = assembled(table_of_models(spark, sf), ["l_quantity"])
     path = WR.scratch_path(spark, "model")
     WR.save_model(M.ols("features", "y").fit(d.where("split = 'train'")), path)
     return rounded(LinearRegressionModel.load(path).transform(d).select("row_id", "prediction"), 5)

@@ -254,7 +254,7 @@ def has_large_group(df: DataFrame, keys: Sequence[str], rows: int = LARGE_GROUP_
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, *, bounded: bool = False, buckets: int = 128
+    df: DataFrame, keys: Sequence[str], value: str, *, bounded: bool = False, buckets: int = 512
 ) -> DataFrame:
     """(keys, value, ties, before): copies of each value and rows strictly below it in its group.
 
