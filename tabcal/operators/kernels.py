@@ -76,6 +76,20 @@ def fit_scaled(kind, n, cross, params):
     return coef / sd, sd, extra
 
 
+def fit_row(kind, row, scaled, params):
+    """One model from one row of cross products, as the values of a coefficient row."""
+    cross, shift = unpack(row["n"], row["s"], row["q"])
+    mean = np.asarray(row["mu"], dtype=float) + shift
+    p = len(mean) - 1
+    if scaled:
+        coef, sd, extra = fit_scaled(kind, row["n"], cross, params)
+    else:
+        (coef, extra), sd = solve(kind, row["n"], cross, params), np.ones(p)
+    precision, covariance = (float(extra[0]), extra[1].ravel().tolist()) if extra else (None, None)
+    intercept = float(mean[p] - coef @ mean[:p])
+    return [float(row["n"]), coef.tolist(), intercept, mean[:p].tolist(), sd.tolist(), precision, covariance]
+
+
 def sum_squared_error(coef, intercept_gap, n, cross, mean):
     """SSE of a linear model on rows known only by their cross products.
 

@@ -16,11 +16,18 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabcal.operators import kernels
-from tabcal.operators.scale import attach, pin, with_scalars
+from tabcal.operators.scale import attach, with_scalars
 
 cloudpickle.register_pickle_by_value(kernels)
 
 
+COEFFICIENTS = ["n", "coef", "intercept", "feature_mean", "feature_sd", "noise_precision", "covariance"]
+COEFFICIENT_SCHEMA = (
+    "n double, coef array<double>, intercept double, feature_mean array<double>, feature_sd array<double>, "
+    "noise_precision double, covariance array<double>"
+)
+
+
 def cross_products(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(keys, n, s, q, mu): count, sums and packed products of the columns around their overall means.
 
@@ -57,32 +64,20 @@ def without_each(sums: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
 
 def fit(sums: DataFrame, keys: Sequence[str], features: Sequence[str], kind: str, *, scaled: bool = True, **params) -> DataFrame:
     """(keys, n, coef, intercept, noise_precision, covariance) for each row of cross products."""
-    key_schema = ", ".join(f"`{k}` {t}" for k, t in sums.select(*keys).dtypes) if keys else ""
-    schema = (key_schema + ", " if key_schema else "") + (
-        "n double, coef array<double>, intercept double, feature_mean array<double>, feature_sd array<double>, "
-        "noise_precision double, covariance array<double>"
-    )
-    names, p = list(keys), len(features)
+    key_schema = "".join(f"`{k}` {t}, " for k, t in sums.select(*keys).dtypes) if keys else ""
+    names = list(keys)
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                cross, shift = kernels.unpack(row["n"], row["s"], row["q"])
-                mean = np.asarray(row["mu"], dtype=float) + shift
-                if scaled:
-                    coef, sd, extra = kernels.fit_scaled(kind, row["n"], cross, params)
-                else:
-                    coef, extra = kernels.solve(kind, row["n"], cross, params)
-                    sd = np.ones(p)
-                precision, cov = (extra[0], extra[1].ravel().tolist()) if extra else (None, None)
-                rows.append([row[k] for k in names] + [
-                    row["n"], coef.tolist(), float(mean[p] - coef @ mean[:p]), mean[:p].tolist(), sd.tolist(), precision, cov,
-                ])
-            yield pd.DataFrame(rows, columns=names + [
-                "n", "coef", "intercept", "feature_mean", "feature_sd", "noise_precision", "covariance"])
-
-    return sums.select(*names, "n", "s", "q", "mu").mapInPandas(run, schema)
+            out = [[row[k] for k in names] + kernels.fit_row(kind, row, scaled, params) for row in pdf.to_dict("records")]
+            yield pd.DataFrame(out, columns=names + COEFFICIENTS)
+
+    return sums.select(*names, "n", "s", "q", "mu").mapInPandas(run, key_schema + COEFFICIENT_SCHEMA)
+
+
+def fit_all(sums: DataFrame, kind: str, *, scaled: bool = True, **params) -> DataFrame:
+    """The model of the one row of ``sums``, solved on the driver (d x d) and pinned."""
+    return sums.sparkSession.createDataFrame([kernels.fit_row(kind, sums.first(), scaled, params)], COEFFICIENT_SCHEMA)
 
 
 def dot(features: Sequence[str], coef: str = "coef", intercept: str = "intercept") -> Column:
@@ -106,7 +101,7 @@ def score(df: DataFrame, fitted: DataFrame, keys: Sequence[str], features: Seque
 
 def fit_linear(df: DataFrame, features: Sequence[str], target: str, kind: str, **params) -> DataFrame:
     """Fit on all given rows; the result is one pinned row of coefficients."""
-    return pin(fit(pin(cross_products(df, [], [*features, target])), [], features, kind, **params))
+    return fit_all(cross_products(df, [], [*features, target]), kind, **params)
 
 
 def coefficient_table(fitted: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -38,8 +38,8 @@ def interval_methods(
     """
     train, others = df.where("role = 'train'"), df.where("role <> 'train'")
     sums = pin(L.cross_products(train, [], [*features, target]))
-    net = pin(L.fit(sums, [], features, "elastic_net", **elastic_net))
-    bayes = pin(L.fit(sums, [], features, "bayesian_ridge"))
+    net = L.fit_all(sums, "elastic_net", **elastic_net)
+    bayes = L.fit_all(sums, "bayesian_ridge")
     boot = B.ResidualBootstrap(train, row_id=row_id, features=features, target=target, repetitions=repetitions, seed=seed, **elastic_net)
     spread = B.bounds_per_level(boot.distribution(others, "row_id"), "row_id", coverages)
     first = L.score(others, net, [], features).drop("prediction_sd").withColumnRenamed("prediction", "net")

@@ -26,7 +26,7 @@ def linear_predictions(
     sums = pin(L.cross_products(df.where(train), [], [*features, target]))
     options = []
     for name, (kind, params) in models.items():
-        one = L.fit(sums, [], features, kind, **params).first()
+        one = L.fit_all(sums, kind, **params).first()
         guess = sum((F.col(c).cast("double") * float(w) for c, w in zip(features, one.coef)), F.lit(float(one.intercept)))
         options.append(F.struct(F.lit(name).alias("model"), guess.alias("prediction")))
     both = df.select("*", F.explode(F.array(*options)).alias("_m"))
