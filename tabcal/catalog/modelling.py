@@ -12,6 +12,7 @@ from tabcal.functions.features import safe_ratio
 from tabcal.operators.columns import repair_types
 from tabcal.operators import bootstrap as B, encode as E, evaluate as V, linear as L, models as M, neighbors as N, splits as S
 from tabcal.plans import calibration as CP, clean_split as CS, compare as TC
+from tabcal.session import durable
 from tabcal.sources import readers as RD, writers as WR
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -30,6 +31,11 @@ def assembled(d, features=FEATURES):
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(d)
 
 
+def stored(d, *columns):
+    """The modelling table as a job keeps it: needed columns written once, then read by every fit."""
+    return durable(d.select(*columns))
+
+
 def metrics_by_split(models, d):
     table_ = M.score_table(models, d, row_id="row_id", label="y", split="split", policy="all", experiment="baseline")
     return V.regression_metrics(table_, ["model", "split"], bounded=True)
@@ -185,7 +191,7 @@ def _(spark, sf):
 
 @query("held_out_selection_m14")
 def _(spark, sf):
-    chosen, final = TC.select_and_test(folded(spark, sf), row_id="row_id", features=FEATURES, target="y", fold="fold", grids=GRIDS)
+    chosen, final = TC.select_and_test(stored(folded(spark, sf), "row_id", "split", "fold", "y", *FEATURES), row_id="row_id", features=FEATURES, target="y", fold="fold", grids=GRIDS)
     return rounded(V.regression_metrics(final.where("split = 'test'"), ["model", "split"], bounded=True), 5)
 
 
@@ -201,7 +207,7 @@ VARIANTS_SQL = Y_SQL + f""", bd AS (SELECT quantile_cont(y, 0.025) AS lo, quanti
 @query("variant_experiments_m17", VARIANTS_SQL)
 def _(spark, sf):
     ratio = lambda x: x.withColumn("ratio", safe_ratio(F.col("l_quantity"), F.col("l_linenumber") + 1))
-    return rounded(TC.run_variants(table_of_models(spark, sf), {
+    return rounded(TC.run_variants(stored(table_of_models(spark, sf), "row_id", "split", "y", "l_quantity", "l_linenumber"), {
         "original": (lambda x: x, ["l_quantity"]), "without_quantity": (lambda x: x, ["l_linenumber"]),
         "trimmed_target": (TC.trimmed("y"), ["l_quantity"]), "engineered_ratio": (ratio, ["ratio"]),
     }, row_id="row_id", target="y", models={"ols": ("ols", {})}))
@@ -327,7 +333,6 @@ def role_lines(spark, sf):
 @query("interval_methods_c15")
 def _(spark, sf):
     from tabcal.operators.calibrate import interval_metrics
-    from tabcal.session import durable
 
     out = CP.interval_methods(role_lines(spark, sf), row_id="row_id", features=FEATURES, target="y", elastic_net=NET, coverages=(0.8, 0.9), repetitions=50, carry=["l_suppkey"])
     return rounded(interval_metrics(durable(out), with_spearman=False).drop("UncertaintyErrorSpearman"), 4)
@@ -353,6 +358,9 @@ def _(spark, sf):
 
 
 # ---- composed preprocessing ----------------------------------------------------------------
+PREPARED = ["row_id", "split", "fold", "y", "amount", "discount", "l_tax", "kind", "l_suppkey", "l_linenumber"]
+
+
 def preprocessor():
     return E.TablePreprocessor(numeric=["amount", "discount", "l_tax"], one_hot_columns=["kind"], encoded=["l_suppkey"], grouped=["l_linenumber"], indicators=True, target="y", folds=3)
 
@@ -376,7 +384,7 @@ COMPOSED_SQL = Y_SQL + f""", fo AS (SELECT *, ('0x' || substr(md5(l_suppkey || '
 @query("composed_preprocessor_e11", COMPOSED_SQL)
 def _(spark, sf):
     p = preprocessor()
-    out = p.fit_transform(folded(spark, sf))
+    out = p.fit_transform(stored(folded(spark, sf), *PREPARED))
     return rounded(out.select("row_id", *[F.col(f"`{c}`") for c in p.output_columns]), 5)
 
 
@@ -384,13 +392,13 @@ def _(spark, sf):
  4 + (SELECT count(DISTINCT l_linenumber) FROM lineitem) AS one_hot_outputs, 4 + (SELECT count(DISTINCT l_linenumber) FROM lineitem) + 6 AS output_columns""")
 def _(spark, sf):
     p = preprocessor()
-    return p.expansion_audit(p.fit_transform(folded(spark, sf)))
+    return p.expansion_audit(p.fit_transform(stored(folded(spark, sf), *PREPARED)))
 
 
 @query("preprocessing_summary_a31", SPLIT_LINES + "SELECT 'full' AS policy, split, count(*) AS n_rows, 0::BIGINT AS nulls_remaining, 17::BIGINT AS output_columns FROM sl GROUP BY split")
 def _(spark, sf):
     p = preprocessor()
-    out = p.fit_transform(folded(spark, sf))
+    out = p.fit_transform(stored(folded(spark, sf), *PREPARED))
     return CS.preprocessing_summary({"full": out}, p.output_columns)
 
 

@@ -15,6 +15,11 @@ def unpack(n, s, q):
     return full - np.outer(s, s) / n, s / n
 
 
+def stack(column):
+    """Matrix from a column of arrays; missing cells become NaN."""
+    return np.stack([np.asarray(v) for v in column]).astype(float)
+
+
 def soft(value, by):
     return np.sign(value) * max(abs(value) - by, 0.0)
 

@@ -36,6 +36,8 @@ def interval_methods(
     Methods: split conformal around the elastic net; Bayesian ridge with its own sd; the same
     sd conformalised; residual-bootstrap percentiles; those percentiles conformalised.
     """
+    # read about eight times below, so the needed columns are stored once
+    df = durable(df.select(row_id, "role", target, *[c for c in features if c != target], *[c for c in carry if c not in features]))
     train, others = df.where("role = 'train'"), df.where("role <> 'train'")
     sums = pin(L.cross_products(train, [], [*features, target]))
     net = L.fit_all(sums, "elastic_net", **elastic_net)
