@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabcal.catalog.base import LINES, lines, query, r, rounded, table
+from tabcal.catalog.base import FRACTIONS, LINES, SEED, SPLIT_LINES, lines, query, r, rounded, table
 from tabcal.functions import features as X, rules as R, text as T
 from tabcal.operators import columns as C, recode as K
+from tabcal.operators.splits import random_split
 
 # Raw label texts dealt to part rows by key (NULL included), so every rule is exercised at scale.
 FIBERS = ["Hooked-end steel", " Twisted ", "straight steel", "Steel Fibre 13mm", "PE", "polyethylene 12", "PVA", "glass",
@@ -247,15 +248,15 @@ def _(spark, sf):
     return K.recode_with_dependents(d, "quantity", "amount", "kind", ["discount"])
 
 
-@query("conditional_impute_s18", LINES + """, tr AS (SELECT * FROM lines WHERE l_orderkey % 5 <> 4),
+@query("conditional_impute_s18", SPLIT_LINES + """, tr AS (SELECT * FROM sl WHERE split = 'train'),
  gm AS (SELECT kind, avg(amount) AS a, avg(discount) AS d FROM tr WHERE kind IS NOT NULL GROUP BY kind),
  am AS (SELECT avg(amount) AS a, avg(discount) AS d FROM tr)
  SELECT row_id, label AS kind, round(coalesce(l.amount, gm.a, am.a), 6) AS amount, round(coalesce(l.discount, gm.d, am.d), 6) AS discount
  FROM (SELECT *, coalesce(kind, CASE WHEN amount >= 0 OR discount >= 0 THEN 'unknown_type' ELSE 'not_applicable' END) AS label FROM lines) l
  LEFT JOIN gm ON gm.kind = l.label CROSS JOIN am""")
 def _(spark, sf):
-    d = lines(spark, sf).select("row_id", "l_orderkey", "kind", "amount", "discount")
-    return rounded(K.conditional_group_impute(d, d.where("l_orderkey % 5 <> 4"), "kind", ["amount", "discount"]).drop("l_orderkey"))
+    d = random_split(lines(spark, sf).select("row_id", "kind", "amount", "discount"), "row_id", FRACTIONS, SEED)
+    return rounded(K.conditional_group_impute(d, d.where("split = 'train'"), "kind", ["amount", "discount"]).drop("split"))
 
 
 @query("usage_group_s19", LINES + """SELECT row_id, CASE WHEN amount IS NOT NULL AND discount IS NOT NULL AND amount + discount = 0 THEN 'no_fiber_reported'

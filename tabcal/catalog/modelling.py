@@ -189,6 +189,16 @@ def _(spark, sf):
     return WR.params_json(d, ["status", "custkey"])
 
 
+@query("frozen_refit_m10", Y_SQL + f""", m AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(y) AS my, covar_pop(l_quantity, y) AS c, var_pop(l_quantity) AS v FROM ty WHERE split = 'train'),
+ e AS (SELECT split, y AS Actual, my + n * c / v / (n + 100) * (l_quantity - mx) AS Predicted FROM ty, m),
+ f AS (SELECT *, Actual - Predicted AS Residual, abs(Actual - Predicted) AS AbsoluteError, pow(Actual - Predicted, 2) AS SquaredError FROM e)
+ SELECT 'ridge' AS model, split, {METRIC_ROUND} FROM (SELECT split, {METRIC_SQL} FROM f GROUP BY 1)""")
+def _(spark, sf):
+    frozen = M.freeze({"ridge": {"alpha": 1.0}, "hyperparameter_tuning": {"enabled": True}}, {"ridge": {"model__alpha": 100.0}})
+    p = TC.linear_predictions(table_of_models(spark, sf), row_id="row_id", features=["l_quantity"], target="y", models={"ridge": ("ridge", frozen["ridge"])})
+    return rounded(V.regression_metrics(p, ["model", "split"], bounded=True))
+
+
 @query("held_out_selection_m14")
 def _(spark, sf):
     chosen, final = TC.select_and_test(stored(folded(spark, sf), "row_id", "split", "fold", "y", *FEATURES), row_id="row_id", features=FEATURES, target="y", fold="fold", grids=GRIDS)

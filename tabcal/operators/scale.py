@@ -253,6 +253,14 @@ def has_large_group(df: DataFrame, keys: Sequence[str], rows: int = LARGE_GROUP_
     return len(large_groups(df, keys, rows).take(1)) > 0
 
 
+def _points_below(points: Column, value: Column, buckets: int) -> Column:
+    """How many of the buckets-1 sorted points are below the value, by bisection (buckets a power of 2)."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length() - 1))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) < value, at + step).otherwise(at)
+    )
+
+
 def value_ranks(
     df: DataFrame, keys: Sequence[str], value: str, *, bounded: bool = False, buckets: int = 512
 ) -> DataFrame:
@@ -271,7 +279,7 @@ def value_ranks(
     )
     distinct = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
     placed = attach(distinct, splits, keys, size_col="_n", bounded=bounded).select(
-        *keys, value, "ties", F.size(F.filter("_sp", lambda s: s < F.col(value))).alias("_b")
+        *keys, value, "ties", _points_below(F.col("_sp"), F.col(value), buckets).alias("_b")
     )
     per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("ties").alias("_bc"))
     earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
