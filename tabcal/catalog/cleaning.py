@@ -151,13 +151,13 @@ def _(spark, sf):
 
 @query("fiber_classifier_s10", f"SELECT p_partkey, CASE WHEN raw IS NOT NULL THEN {sql_case('lower(trim(raw))', R.FIBER_RULES, initcap_sql('raw'))} END AS label FROM {dealt_sql(FIBERS)}")
 def _(spark, sf):
-    return dealt(spark, sf, FIBERS).select("p_partkey", R.fiber_type(F.col("raw")).alias("label"))
+    return R.classify(dealt(spark, sf, FIBERS), "raw", R.fiber_type, "label").select("p_partkey", "label")
 
 
 @query("curing_classifier_s11", f"""SELECT p_partkey, CASE WHEN label = 'Stnadrad Curing' THEN 'Standard Curing' WHEN label = 'Curing  At 90 Oc' THEN 'Heat Curing' ELSE label END AS label
  FROM (SELECT p_partkey, CASE WHEN raw IS NOT NULL THEN {sql_case('lower(trim(raw))', R.CURING_RULES, initcap_sql('raw'))} END AS label FROM {dealt_sql(CURINGS)})""")
 def _(spark, sf):
-    return dealt(spark, sf, CURINGS).select("p_partkey", R.curing_method(F.col("raw")).alias("label"))
+    return R.classify(dealt(spark, sf, CURINGS), "raw", R.curing_method, "label").select("p_partkey", "label")
 
 
 def pattern_sql(rules, default):
@@ -166,12 +166,12 @@ def pattern_sql(rules, default):
 
 @query("cement_patterns_s12", f"SELECT p_partkey, {pattern_sql(R.CEMENT_RULES, 'OPC_unknown')} AS label FROM {dealt_sql(CEMENTS)}")
 def _(spark, sf):
-    return dealt(spark, sf, CEMENTS).select("p_partkey", R.cement_label(F.col("raw")).alias("label"))
+    return R.classify(dealt(spark, sf, CEMENTS), "raw", R.cement_label, "label").select("p_partkey", "label")
 
 
 @query("plasticizer_patterns_s12", f"SELECT p_partkey, {pattern_sql(R.SUPERPLASTICIZER_RULES, 'Unspecified')} AS label FROM {dealt_sql(PLASTICIZERS)}")
 def _(spark, sf):
-    return dealt(spark, sf, PLASTICIZERS).select("p_partkey", R.superplasticizer_label(F.col("raw")).alias("label"))
+    return R.classify(dealt(spark, sf, PLASTICIZERS), "raw", R.superplasticizer_label, "label").select("p_partkey", "label")
 
 
 GRADE = "CASE WHEN p_size % 5 = 0 THEN 52.5::DOUBLE WHEN p_size % 5 = 1 THEN 42.5::DOUBLE WHEN p_size % 5 = 2 THEN 53::DOUBLE WHEN p_size % 5 = 3 THEN 32.5::DOUBLE END"
@@ -189,7 +189,7 @@ def _(spark, sf):
 
 @query("cement_ladder_s14", "SELECT p_partkey, " + sql_case("lower(trim(coalesce(raw, 'nan')))", R.CEMENT_LADDER, "'Other'") + f" AS label FROM {dealt_sql(CEMENTS)}")
 def _(spark, sf):
-    return dealt(spark, sf, CEMENTS).select("p_partkey", R.cement_ladder(F.col("raw")).alias("label"))
+    return R.classify(dealt(spark, sf, CEMENTS), "raw", R.cement_ladder, "label").select("p_partkey", "label")
 
 
 NORMAL_SQL = "trim(regexp_replace(translate(lower(trim(raw)), '_-/\\|,;()[]', '           '), '\\s+', ' ', 'g'))"
@@ -198,7 +198,7 @@ NORMAL_SQL = "trim(regexp_replace(translate(lower(trim(raw)), '_-/\\|,;()[]', '
 @query("domain_groups_s15", f"""SELECT p_partkey, CASE WHEN t IS NULL THEN 'missing_reported_gap' ELSE {sql_case('t', R.DOMAIN_RULES, "replace(t, ' ', '_')")} END AS label
  FROM (SELECT p_partkey, {NORMAL_SQL} AS t FROM {dealt_sql(LABELS)})""")
 def _(spark, sf):
-    return dealt(spark, sf, LABELS).select("p_partkey", R.domain_group(F.col("raw")).alias("label"))
+    return R.classify(dealt(spark, sf, LABELS), "raw", R.domain_group, "label").select("p_partkey", "label")
 
 
 PAIRS = [("quantity", "amount", "kind"), ("discount", "discount", "status"), ("absent", "no_amount", "no_type")]
@@ -267,7 +267,7 @@ def _(spark, sf):
 
 @query("curing_regime_s20", f"SELECT p_partkey, {sql_case('t', R.CURING_REGIME_RULES[::-1], repr('other'))} AS regime FROM (SELECT p_partkey, lower(trim(coalesce(raw, ''))) AS t FROM {dealt_sql(CURINGS)})")
 def _(spark, sf):
-    return dealt(spark, sf, CURINGS).select("p_partkey", R.curing_regime(F.col("raw")).alias("regime"))
+    return R.classify(dealt(spark, sf, CURINGS), "raw", R.curing_regime, "regime").select("p_partkey", "regime")
 
 
 @query("temperature_regime_s20", LINES + "SELECT row_id, CASE WHEN amount <= 30 THEN 'normal_temperature' WHEN amount > 30 THEN 'elevated_temperature' ELSE 'unknown_temperature' END AS regime FROM lines")

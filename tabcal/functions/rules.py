@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN_TYPE = "unknown_type"
 NOT_APPLICABLE = "not_applicable"
@@ -151,28 +151,34 @@ def keep_null(c: Column, expression: Column) -> Column:
     return F.when(c.isNotNull(), expression)
 
 
-def fiber_type(c: Column) -> Column:
-    return keep_null(c, first_match(F.lower(F.trim(c)), FIBER_RULES, F.initcap(F.lower(F.trim(c)))))
+def _lower_trim(c: Column) -> Column:
+    return F.lower(F.trim(c))
 
 
-def curing_method(c: Column) -> Column:
-    label = first_match(F.lower(F.trim(c)), CURING_RULES, F.initcap(F.lower(F.trim(c))))
+def fiber_type(c: Column, text: Column | None = None) -> Column:
+    text = _lower_trim(c) if text is None else text
+    return keep_null(c, first_match(text, FIBER_RULES, F.initcap(text)))
+
+
+def curing_method(c: Column, text: Column | None = None) -> Column:
+    text = _lower_trim(c) if text is None else text
+    label = first_match(text, CURING_RULES, F.initcap(text))
     for typo, right in CURING_TYPOS.items():
         label = F.when(label == typo, F.lit(right)).otherwise(label)
     return keep_null(c, label)
 
 
-def _pattern_label(c: Column, rules: list, default: str) -> Column:
+def _pattern_label(c: Column, text: Column | None, rules: list, default: str) -> Column:
     passes = c.isNull() | c.isin(UNKNOWN_TYPE, NOT_APPLICABLE)
-    return F.when(passes, c).otherwise(first_match(F.lower(c), rules, F.lit(default)))
+    return F.when(passes, c).otherwise(first_match(F.lower(c) if text is None else text, rules, F.lit(default)))
 
 
-def cement_label(c: Column) -> Column:
-    return _pattern_label(c, CEMENT_RULES, "OPC_unknown")
+def cement_label(c: Column, text: Column | None = None) -> Column:
+    return _pattern_label(c, text, CEMENT_RULES, "OPC_unknown")
 
 
-def superplasticizer_label(c: Column) -> Column:
-    return _pattern_label(c, SUPERPLASTICIZER_RULES, "Unspecified")
+def superplasticizer_label(c: Column, text: Column | None = None) -> Column:
+    return _pattern_label(c, text, SUPERPLASTICIZER_RULES, "Unspecified")
 
 
 def resolve_cement(label: Column, grade: Column) -> Column:
@@ -187,8 +193,12 @@ def resolve_cement(label: Column, grade: Column) -> Column:
     )
 
 
-def cement_ladder(c: Column) -> Column:
-    return first_match(F.lower(F.trim(F.coalesce(c, F.lit("nan")))), CEMENT_LADDER, F.lit("Other"))
+def _ladder_text(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit("nan"))))
+
+
+def cement_ladder(c: Column, text: Column | None = None) -> Column:
+    return first_match(_ladder_text(c) if text is None else text, CEMENT_LADDER, F.lit("Other"))
 
 
 def normalized_label(c: Column) -> Column:
@@ -197,19 +207,33 @@ def normalized_label(c: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 
-def domain_group(c: Column) -> Column:
+def domain_group(c: Column, text: Column | None = None) -> Column:
     """Domain label of a category value, or its snake_case text when no rule applies."""
-    text = normalized_label(c)
+    text = normalized_label(c) if text is None else text
     return F.when(c.isNull(), F.lit(MISSING_GAP)).otherwise(
         first_match(text, DOMAIN_RULES, F.replace(text, F.lit(" "), F.lit("_")))
     )
 
 
-def curing_regime(c: Column) -> Column:
+def _regime_text(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+
+
+def curing_regime(c: Column, text: Column | None = None) -> Column:
     """Broad curing regime of a method text; the last matching rule wins."""
-    text = F.lower(F.coalesce(c, F.lit("")))
-    text = F.when(F.trim(text) == "", F.lit("")).otherwise(text)
-    return last_match(text, CURING_REGIME_RULES, F.lit("other"))
+    return last_match(_regime_text(c) if text is None else text, CURING_REGIME_RULES, F.lit("other"))
+
+
+_TEXT_OF = {
+    fiber_type: _lower_trim, curing_method: _lower_trim, cement_label: F.lower, superplasticizer_label: F.lower,
+    cement_ladder: _ladder_text, domain_group: normalized_label, curing_regime: _regime_text,
+}
+
+
+def classify(df: DataFrame, column: str, classifier, out: str) -> DataFrame:
+    """Add a classifier's label; the normalised text is computed once per row, not once per rule."""
+    prepared = df.withColumn("_text", _TEXT_OF[classifier](F.col(column)))
+    return prepared.withColumn(out, classifier(F.col(column), F.col("_text"))).drop("_text")
 
 
 def temperature_regime(c: Column) -> Column:
