@@ -6,7 +6,7 @@
 import importlib
 
 MODULES = (
-    "line_dedup", "source_mixing", "sharding",
+    "line_dedup", "license_scan", "source_mixing", "toxicity", "embedding_dedup", "sharding", "sentence_pieces", "chat_format", "merkle",
 )
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabcal.session import ensure_checkpoint_dir
 
 #: A table is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 100_000
+#: Bytes of input that a Python function gets at once.
+SLICE_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters 0x09-0x0D and 0x20.
 SPACES = " \t\n\x0b\f\r"
@@ -93,13 +95,52 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return stored(found)
 
 
-def attach_by_class(rows: DataFrame, classes: DataFrame, key: str, copies: str, hot_rows: int = 100_000) -> DataFrame:
-    """Left join of rows to classes (unique on `key`, with their number of rows in `copies`). Classes of more than
-    hot_rows rows are few (at most rows / hot_rows) and are broadcast if their count allows it; their rows never
-    shuffle. All other rows meet their class by a shuffle in which no key has more than hot_rows rows."""
+def join_by_class(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, how: str = "inner", hot_rows: int = 100_000) -> DataFrame:
+    """rows joined to classes (unique on `keys`, with about their number of rows in `copies`), inner or left.
+
+    Few classes (by count) are broadcast. Else classes of more than hot_rows rows, of which there are at most
+    rows / hot_rows, meet their rows apart from the others, which shuffle with no key above hot_rows rows.
+    """
+    classes = stored(classes)
+    if classes.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(classes), keys, how)
     hot = sized(classes.where(F.col(copies) > hot_rows))
     cold = classes.where(F.col(copies) <= hot_rows)
-    hot_keys = hot.select(key)
-    in_hot = rows.join(hot, key, "inner")
-    in_cold = rows.join(hot_keys, key, "left_anti").join(cold, key, "left")
-    return in_cold.unionByName(in_hot)
+    return rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how).unionByName(rows.join(hot, keys))
+
+
+def others(df: DataFrame, *new: str) -> list[str]:
+    """The columns of df that stay beside new ones: a column named like a new one (in any case) gives way to it."""
+    taken = {c.lower() for c in new}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def append_columns(df: DataFrame, inputs: list[str], outputs: str, start, keep: list[str] | None = None) -> DataFrame:
+    """df's columns `keep` (default all) and the columns of the DDL string `outputs`, made by a Python function in each task.
+    A column of df that is named like an output gives way to it.
+
+    `start()` runs once per task and returns a function from lists of input values to lists of output values, one
+    list per column; it is called on slices of about SLICE_BYTES, so memory does not follow the batch size.
+    """
+    fields = T.StructType.fromDDL(outputs).fields
+    kept = others(df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]), *[f.name for f in fields])
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *[F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)])
+    inner = T.StructType([T.StructField(f"k{i}", source.schema[i].dataType) for i in range(len(kept))] + [T.StructField(f"o{i}", f.dataType) for i, f in enumerate(fields)])
+    n_kept, slice_bytes = len(kept), SLICE_BYTES
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in fields]
+        call = start()
+        for batch in batches:
+            rows = max(1, int(batch.num_rows * slice_bytes / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                made = call(*[part.column(i).to_pylist() for i in range(n_kept, part.num_columns)])
+                yield pa.RecordBatch.from_arrays(
+                    part.columns[:n_kept] + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)], inner.names)
+
+    done = source.mapInArrow(run, inner)
+    return done.toDF(*kept, *[f.name for f in fields])
