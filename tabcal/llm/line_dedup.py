@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabcal.llm.common import SPACES, ascii_lower, hash128, stored, table, unused
+from tabcal.llm.common import SPACES, ascii_lower, hash128, join_by_class, others, stored, table, unused
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -27,7 +27,7 @@ def dedup_lines(
     Empty table: empty result. Other columns pass through.
 
     Lines are hashed to 128 bits per document; only the hashes are counted, by (hash, id) and then by hash, so a line that
-    sits in every document is combined before the shuffle. The rows return by (id, text hash), so that only the
+    sits in every document is combined before the shuffle, and frequent lines meet their places without one. The rows return by (id, text hash), so that only the
     places of dropped lines, not the lines, are shuffled and sorted back to their document.
     """
     lines, places, ident, h1, h2 = unused(docs, "_lines", "_places", "_id", "_t1", "_t2")
@@ -38,10 +38,10 @@ def dedup_lines(
         F.exists("hashes", lambda x: x.isNotNull())))
     own = F.array_distinct(F.filter("hashes", lambda x: x.isNotNull()))
     per_doc = keyed.select("id", F.explode(own).alias("h")).select("id", "h.a", "h.b").distinct()
-    common = per_doc.groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs).drop("docs")
+    common = per_doc.groupBy("a", "b").agg(F.count("*").alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs)
     placed = keyed.select("id", "t1", "t2", F.posexplode("hashes").alias("place", "h")).where("h IS NOT NULL").select(
         "id", "t1", "t2", "place", "h.a", "h.b")
-    lost = placed.join(common, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    lost = join_by_class(placed, common, ["a", "b"], "docs").where(~F.col("id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy("id", "t1", "t2").agg(F.collect_set("place").alias(places))
     lost = lost.withColumnsRenamed({"id": ident, "t1": h1, "t2": h2})
 
@@ -51,7 +51,7 @@ def dedup_lines(
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
     kept = F.when(F.col(places).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
     return joined.select(
-        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in others(docs, total_col, dropped_col)],
         F.size(lines).cast("long").alias(total_col), F.coalesce(F.size(F.col(places)), F.lit(0)).cast("long").alias(dropped_col),
     )
 

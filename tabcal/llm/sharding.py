@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from tabcal.llm.common import hash128, sized, table, unused
+from tabcal.llm.common import hash128, others, sized, table, unused
 
 SHARDS, ROW_BYTES = 40, 16
 MULTIPLIER = 2862933555777941757  # fixed value of the published jump hash
@@ -61,6 +61,8 @@ def assign_shards(
     A shard is cut into cells by that hash, so that no task sorts a whole shard; the number of cells grows with the
     rows, and a cell's first place comes from a table with one row per cell.
     """
+    kept = others(docs, shard_col, slot_col, grown_col)
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     h1, h2, cell, first = unused(docs, "_h1", "_h2", "_cell", "_first")
     a, b = hash128(F.col(id_col), F.col(text_col))
     key = stable_key(F.col(id_col))
@@ -73,7 +75,7 @@ def assign_shards(
     order = W.partitionBy(shard_col, cell).orderBy(h1, h2, id_col)
     slot = F.col(first) + F.row_number().over(order) - 1
     return placed.join(starts, [shard_col, cell]).withColumn(slot_col, slot.cast("long")).select(
-        *[F.col(f"`{c}`") for c in docs.columns], shard_col, slot_col, grown_col)
+        *[F.col(f"`{c}`") for c in kept], shard_col, slot_col, grown_col)
 
 
 def write_shards(sharded: DataFrame, path: str, shard_col: str = "shard", slot_col: str = "slot", rows_per_file: int = 1_000_000) -> None:

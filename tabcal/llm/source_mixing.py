@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from tabcal.llm.common import sized, stored, table, unused
+from tabcal.llm.common import others, sized, stored, table, unused
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS, SEED = (3, 1, 2), 1.5, 2, 42
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,7 +101,7 @@ def mix_sources(
         (F.col(key) < F.col(tk)) | (F.col(key) == F.col(tk)) & (F.col(tie) <= F.col(tt)))
     copies = F.col(full) + F.when(chosen, 1).otherwise(0)
     return rows.join(sized(plan), F.col(f"`{source_col}`").eqNullSafe(F.col(s)), "left").select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.col(n).alias(size_col), F.col("_" + s).alias(source_size_col),
+        *[F.col(f"`{c}`") for c in others(docs, size_col, copies_col, source_size_col, target_col)], F.col(n).alias(size_col), F.col("_" + s).alias(source_size_col),
         F.col("__" + s).alias(target_col), copies.cast("int").alias(copies_col))
 
 
