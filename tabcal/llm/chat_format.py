@@ -135,7 +135,7 @@ def digests(chats: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             for text, s, e, m in zip(texts, starts, ends, masks, strict=True):
                 spans = turn_spans(text)
                 read = "".join(f"{role}\n{unescape(text[a:b])}\n" for role, a, b in spans)
-                under = loss_text(text, np.array(s, dtype=np.int32), np.array(e, dtype=np.int32), m)
+                under = loss_text(text, np.asarray(s), np.asarray(e), m)
                 n_turns.append(len(spans))
                 turns.append(hashlib.sha256(read.encode()).hexdigest())
                 chars.append(len(under))

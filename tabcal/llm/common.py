@@ -11,7 +11,7 @@ from tabcal.session import ensure_checkpoint_dir
 #: A table is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 100_000
 #: Bytes of input that a Python function gets at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters 0x09-0x0D and 0x20.
 SPACES = " \t\n\x0b\f\r"
@@ -115,6 +115,16 @@ def others(df: DataFrame, *new: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def _values(column) -> list:
+    """An Arrow column as a list; lists of numbers as numpy arrays (which share its memory)."""
+    import pyarrow as pa
+
+    if not pa.types.is_list(column.type) or not pa.types.is_integer(column.type.value_type) or column.null_count or column.values.null_count:
+        return column.to_pylist()
+    values, at = column.values.to_numpy(), column.offsets.to_pylist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
 def append_columns(df: DataFrame, inputs: list[str], outputs: str, start, keep: list[str] | None = None) -> DataFrame:
     """df's columns `keep` (default all) and the columns of the DDL string `outputs`, made by a Python function in each task.
     A column of df that is named like an output gives way to it.
@@ -138,7 +148,7 @@ def append_columns(df: DataFrame, inputs: list[str], outputs: str, start, keep:
             rows = max(1, int(batch.num_rows * slice_bytes / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                made = call(*[part.column(i).to_pylist() for i in range(n_kept, part.num_columns)])
+                made = call(*[_values(part.column(i)) for i in range(n_kept, part.num_columns)])
                 yield pa.RecordBatch.from_arrays(
                     part.columns[:n_kept] + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)], inner.names)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 from pyspark.sql import DataFrame
 
@@ -11,8 +12,10 @@ from tabcal.llm.common import append_columns, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Encoded words that a task remembers between slices; beyond it the memory starts anew (results stay the same).
-REMEMBERED = 200_000
+#: Encoded words that a worker remembers; beyond it the memory starts anew (results stay the same).
+REMEMBERED = 400_000
+_SHIFT = 22  # a pair of piece numbers as one integer; characters without a piece are numbered after all pieces
+_NONE = (1 << _SHIFT) - 1
 
 
 class Pieces:
@@ -21,14 +24,15 @@ class Pieces:
     kind "bpe": a prefix of a word has one encoding, whose last piece is the only one that merging leaves apart from the
     last piece of the prefix before it; a path is a Viterbi path whose transitions cost nothing or everything. So a prefix
     needs only its last piece. kind "unigram": the best sum of scores, a prefix needs its score and last piece. Either
-    way the forward state of a prefix is shared by all words that begin with it.
+    way the forward state of a prefix is shared by all words that begin with it. The pieces that end at a place are
+    read off an automaton of all pieces, whose state is part of the forward state.
     """
 
     def __init__(self, names: list[str], scores: list[float], special: set[int], bytes_from: int, kind: str = "bpe"):
         self.kind, self.names, self.bytes_from = kind, names, bytes_from
         self.ids = {name: i for i, name in enumerate(names) if i not in special}
         self.scores = {name: scores[i] for name, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        self.by_id = scores
         if any(re.search(f"[^{MARK}]{MARK}", name) for name in self.ids):
             raise ValueError("pieces that hold a word border inside are not supported")
         self.unknown_score = min(self.scores.values(), default=0.0) - 10
@@ -36,7 +40,43 @@ class Pieces:
         joined = "".join(map(re.escape, inside))
         # Characters that occur in no longer piece are words of their own: nothing merges across them.
         self.word = re.compile(f"{MARK}*[{joined}]+|{MARK}+|." if inside else f"{MARK}+|.", re.S)
-        self._apart: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, bytes] = {}
+        self._apart: dict[int, bool] = {}
+        self.next: list[dict[str, int]] = []
+        table = list(names)
+        for b in range(256):
+            table[bytes_from + b] = chr(b) if b < 128 else None
+        self._table = [None if name is None else name.replace(MARK, " ") for name in table]
+
+    def _build(self) -> None:
+        """Automaton of the pieces: per state its next states, its failure state, and the (length, id) of pieces that end there,
+        longest first."""
+        self.next, self.fail, self.ending = [{}], [0], [()]
+        final = {0: None}
+        for name, i in self.ids.items():
+            state = 0
+            for c in name:
+                after = self.next[state].get(c)
+                if after is None:
+                    after = self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.fail.append(0)
+                    self.ending.append(())
+                state = after
+            final[state] = (len(name), i)
+        level = list(self.next[0].values())
+        while level:
+            below = []
+            for state in level:
+                own = final.get(state)
+                self.ending[state] = ((own,) if own else ()) + self.ending[self.fail[state]]
+                for c, after in self.next[state].items():
+                    f = self.fail[state]
+                    while f and c not in self.next[f]:
+                        f = self.fail[f]
+                    self.fail[after] = self.next[f].get(c, 0)
+                    below.append(after)
+            level = below
 
     @classmethod
     def load(cls, model: bytes, kind: str = "bpe") -> Pieces:
@@ -60,88 +100,148 @@ class Pieces:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def apart(self, left: str, right: str) -> bool:
+    def _name(self, number: int) -> str:
+        return "" if number == _NONE else self.names[number] if number < len(self.names) else chr(number - len(self.names))
+
+    def apart(self, left: int, right: int) -> bool:
         """Whether merging leaves two neighbouring pieces as they are."""
-        known = self._apart.get((left, right))
-        if known is None:
-            if len(self._apart) > 5 * REMEMBERED:
-                self._apart.clear()
-            known = self._apart[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+        if len(self._apart) > REMEMBERED:
+            self._apart.clear()
+        a, b = self._name(left), self._name(right)
+        found = self._apart[left << _SHIFT | right] = self.merged(a + b) == ([a, b] if a else [b])
+        return found
 
     def encode_words(self, words) -> dict[str, bytes]:
         """Ids (32-bit, native order) of distinct words: in sorted order each word continues at the prefix it shares with the
         one before, as a depth-first walk over their trie does."""
+        if not self.next:
+            self._build()
+        return (self._encode_bpe if self.kind == "bpe" else self._encode_unigram)(sorted(words))
+
+    def _encode_bpe(self, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        last, best, previous = [""], [0.0], ""
-        for word in sorted(words):
-            shared, end = 0, min(len(word), len(previous))
-            while shared < end and word[shared] == previous[shared]:
+        following, fail, ending, known, count = self.next, self.fail, self.ending, self._apart.get, len(self.names)
+        states, last, sizes, previous = [0], [_NONE], [0], ""  # per prefix: automaton state, last piece and its length
+        for word in words:
+            shared = 0
+            for x, y in zip(word, previous):
+                if x != y:
+                    break
                 shared += 1
-            del last[shared + 1:], best[shared + 1:]
-            for i in range(shared + 1, len(word) + 1):
-                (self._step_bpe if self.kind == "bpe" else self._step_unigram)(word, i, last, best)
-            parts, at = [], len(word)
-            while at:
-                parts.append(last[at])
-                at -= len(last[at])
-            out[word] = self._ids(parts[::-1])
+            del states[shared + 1:], last[shared + 1:], sizes[shared + 1:]
+            state = states[shared]
+            for i in range(shared, len(word)):
+                c = word[i]
+                while state and c not in following[state]:
+                    state = fail[state]
+                state = following[state].get(c, 0)
+                for size, number in ending[state]:
+                    left = last[i + 1 - size]
+                    fits = known(left << _SHIFT | number)
+                    if fits or fits is None and self.apart(left, number):
+                        break
+                else:  # a character that is no piece stands for itself
+                    size, number = 1, count + ord(c)
+                    if not self.apart(last[i], number):
+                        raise ValueError(f"no encoding of {word[:i + 1]!r}")
+                states.append(state)
+                last.append(number)
+                sizes.append(size)
+            out[word] = self._path(last, sizes, len(word))
             previous = word
         return out
 
-    def _step_bpe(self, word: str, i: int, last: list[str], best: list[float]) -> None:
-        ids, apart = self.ids, self._apart
-        for j in range(max(0, i - self.longest), i):
-            piece = word[j:i]
-            if piece in ids or j == i - 1:
-                fits = apart.get((last[j], piece))
-                if fits or fits is None and self.apart(last[j], piece):
-                    last.append(piece)
-                    best.append(0.0)
-                    return
-        raise ValueError(f"no encoding of {word[:i]!r}")
-
-    def _step_unigram(self, word: str, i: int, last: list[str], best: list[float]) -> None:
-        found = None
-        for j in range(max(0, i - self.longest), i):
-            piece = word[j:i]
-            score = self.scores.get(piece, self.unknown_score if j == i - 1 else None)
-            if score is not None and (found is None or best[j] + score > found[0]):
-                found = (best[j] + score, piece)
-        best.append(found[0])
-        last.append(found[1])
-
-    def _ids(self, parts: list[str]) -> bytes:
-        import numpy as np
+    def _encode_unigram(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        states, last, sizes, best, previous = [0], [_NONE], [0], [0.0], ""
+        for word in words:
+            shared = 0
+            for x, y in zip(word, previous):
+                if x != y:
+                    break
+                shared += 1
+            del states[shared + 1:], last[shared + 1:], sizes[shared + 1:], best[shared + 1:]
+            state = states[shared]
+            for i in range(shared, len(word)):
+                c = word[i]
+                while state and c not in self.next[state]:
+                    state = self.fail[state]
+                state = self.next[state].get(c, 0)
+                options = [(best[i + 1 - size] + self.by_id[number], number, size) for size, number in self.ending[state]]
+                if not options or options[-1][2] != 1:
+                    options.append((best[i] + self.unknown_score, len(self.names) + ord(c), 1))
+                score, number, size = max(options)
+                states.append(state)
+                last.append(number)
+                sizes.append(size)
+                best.append(score)
+            out[word] = self._path(last, sizes, len(word))
+            previous = word
+        return out
 
-        out = []
-        for part in parts:
-            if part in self.ids:
-                out.append(self.ids[part])
-            else:
-                out += [self.bytes_from + b for b in part.encode()]
-        return np.array(out, dtype=np.int32).tobytes()
+    def _path(self, last: list[int], sizes: list[int], at: int) -> bytes:
+        numbers = []
+        while at:
+            numbers.append(last[at])
+            at -= sizes[at]
+        numbers.reverse()
+        return self._bytes(numbers)
+
+    def _bytes(self, numbers: list[int]) -> bytes:
+        if max(numbers) >= len(self.names):
+            numbers = [x for n in numbers for x in ([n] if n < len(self.names) else [self.bytes_from + b for b in self._name(n).encode()])]
+        return array("i", numbers).tobytes()
 
     def mark(self, text: str) -> list[str]:
+        """The marked words of a text, which has a mark put before it: marks and what follows them, cut at characters that no
+        longer piece holds."""
         return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text. Texts with single spaces are split at these; a part stands for its mark and itself."""
+        known = self.known
+        plain = [t.split(" ") if t and MARK not in t and "  " not in t and t[0] != " " else None for t in texts]
+        odd = [self.mark(t or "") if p is None else None for t, p in zip(texts, plain, strict=True)]
+        parts = set().union(*[p for p in plain if p])
+        new = parts - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = parts
+        marked = {w: self.word.findall(MARK + w) for w in new}
+        coded = self.encode_words({x for m in marked.values() for x in m} | {x for m in odd if m for x in m})
+        for w, m in marked.items():
+            known[w] = coded[m[0]] if len(m) == 1 else b"".join([coded[x] for x in m])
+        return [b"".join(map(known.__getitem__, p) if p else map(coded.__getitem__, o)) for p, o in zip(plain, odd, strict=True)]
+
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, runs of byte pieces read as UTF-8 (what is not valid becomes U+FFFD), marks to spaces,
         without the space put before the text."""
-        names, low, high = self.names, self.bytes_from, self.bytes_from + 256
         ids = ids.tolist() if hasattr(ids, "tolist") else ids
-        out, run = [], bytearray()
-        for i in ids:
-            if low <= i < high:
-                run.append(i - low)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            out.append(names[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        parts = [self._table[i] for i in ids]
+        if None in parts:
+            low, out, run = self.bytes_from, [], bytearray()
+            for i, part in zip(ids, parts, strict=True):
+                if part is None:
+                    run.append(i - low)
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                out.append(part)
+            parts = [*out, run.decode("utf-8", "replace")]
+        return "".join(parts)[1:]
+
+
+_loaded: dict[tuple[bytes, str], Pieces] = {}
+
+
+def _pieces(model: bytes, kind: str) -> Pieces:
+    """One per worker and model."""
+    key = (hashlib.sha256(model).digest(), kind)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Pieces.load(model, kind)
+    return _loaded[key]
 
 
 def encode_pieces(
@@ -161,16 +261,9 @@ def encode_pieces(
         import pyarrow as pa
 
         coder = pieces()
-        known: dict[str, bytes] = {}
 
         def call(texts):
-            marked = [coder.mark(t or "") for t in texts]
-            new = {w for m in marked for w in m if w not in known}
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = {w for m in marked for w in m}
-            known.update(coder.encode_words(new))
-            flat = [b"".join([known[w] for w in m]) for m in marked]
+            flat = coder.encode(texts)
             counts = np.array([len(x) // 4 for x in flat], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
@@ -187,7 +280,7 @@ def decode_pieces(encoded: DataFrame, ids_col: str = "ids", text_col: str = "dec
 
     def start():
         coder = pieces()
-        return lambda rows: ([coder.decode(ids or []) for ids in rows],)
+        return lambda rows: (["" if ids is None else coder.decode(ids) for ids in rows],)
 
     return append_columns(encoded, [ids_col], f"{text_col} string", start, keep)
 
@@ -195,11 +288,11 @@ def decode_pieces(encoded: DataFrame, ids_col: str = "ids", text_col: str = "dec
 def _shared(df: DataFrame, path: str, kind: str):
     with open(path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
-    return lambda: Pieces.load(model.value, kind)
+    return lambda: _pieces(model.value, kind)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids, and digests: of the ids (decimal, comma-joined), and whether decoding returns the text."""
+    """doc_id, n_pieces, ids, and digests of the ids (32-bit, little-endian) and of the decoded text, and whether that is the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_pieces(docs)
     pieces = _shared(docs, MODEL, "bpe")
@@ -212,7 +305,7 @@ def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
         def call(texts, ids):
             decoded = [coder.decode(i) for i in ids]
             return (
-                [hashlib.sha256(np.array(i, dtype="<i4").tobytes()).hexdigest() for i in ids],
+                [hashlib.sha256(np.asarray(i, dtype="<i4").tobytes()).hexdigest() for i in ids],
                 [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
                 [d == (t or "") for d, t in zip(decoded, texts, strict=True)],
             )
