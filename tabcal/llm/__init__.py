@@ -6,7 +6,8 @@
 import importlib
 
 MODULES = (
-    "line_dedup", "license_scan", "source_mixing", "toxicity", "embedding_dedup", "sharding", "sentence_pieces", "chat_format", "merkle",
+    "line_dedup", "license_scan", "source_mixing", "toxicity", "minhash_forest", "embedding_dedup", "sharding", "sentence_pieces",
+    "chat_format", "merkle",
 )
 
 
@@ -14,4 +15,6 @@ def load_queries():
     found = {}
     for module in MODULES:
         found.update(importlib.import_module(f"tabcal.llm.{module}").QUERIES)
+    pipeline = importlib.import_module("corpus_pipeline")
+    found["pipeline"] = (pipeline.run, pipeline.ORACLE_SQL)
     return found

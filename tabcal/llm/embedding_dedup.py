@@ -160,8 +160,8 @@ def link_vectors(
     parts = connected_components(edges)
     member = classes.select("h1", "h2", "copies", "low", node("h1", "h2").alias("node")).join(parts, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    lowest = member.groupBy("component").agg(F.min("low").alias("lowest"))
-    per_class = member.join(lowest, "component").join(links, ["h1", "h2"], "left").select(
+    lowest = member.groupBy("component").agg(F.min("low").alias("lowest"), F.count("*").alias("members"))
+    per_class = join_by_class(member, lowest, ["component"], "members").join(links, ["h1", "h2"], "left").select(
         "h1", "h2", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"), F.col("lowest").alias("_lowest"))
     joined = join_by_class(good, per_class, ["h1", "h2"], "copies", "left").unionByName(
         slim.where(F.col("h1").isNull()).withColumns(
