@@ -15,7 +15,7 @@ VALUES = ORDERS * (DEPTH + DEEPER)
 #: Rows of a region that are all compared with each other; rows of it sorted in one task.
 SMALL, REGION_ROWS = 5, 1_024
 #: Standard deviations below the threshold at which an estimate rules a pair out.
-DEVIATIONS = 4.5
+DEVIATIONS = 6.5
 #: Confirming rounds in which each row asks for its best partner in another component, before all the rest is asked.
 ROUNDS = 2
 
