@@ -31,12 +31,12 @@ PREFIXES = (4, 5, 6)
 
 
 def fold(text: str | None) -> str:
-    """Lower case, look-alike letters and digits written for letters made Latin, words apart by one blank on each side."""
+    """Lower case, look-alike letters and digits written for letters made Latin, each word between single blanks."""
     text = (text or "").lower()
     if not text.isascii():
         text = INVISIBLE.sub("", text).translate(HOMOGLYPHS)
     text = _SWAPPED.sub(lambda m: m[0].translate(SUBSTITUTES), text)
-    return f" {' '.join(_WORD.findall(text))} "
+    return " ".join(["", *_WORD.findall(text), ""])
 
 
 @dataclass

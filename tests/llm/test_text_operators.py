@@ -78,7 +78,7 @@ def test_changed_templates_are_found_and_placed(spark):
 
 def test_folding():
     assert toxicity.fold("An 1d10t, а МОRОN!") == " an idiot a moron "
-    assert toxicity.fold(None) == toxicity.fold("") == "  "
+    assert toxicity.fold(None) == toxicity.fold("") == " "
     assert toxicity.fold("in 2013 $$$ stu​pid") == " in stupid "
 
 
