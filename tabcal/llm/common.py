@@ -65,8 +65,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of `edges` (columns a, b); a component is named by one of its nodes.
 
-    Each round, every node points to the neighbour (or itself) that comes first in a random order, and the graph
-    is contracted along these pointers; a fixed share of the nodes goes each round whatever the graph's shape.
+    Each round, every node points to the neighbour (or itself) that comes first in a random order, pointers are followed
+    four steps, and the graph is contracted along them; a fixed share of the nodes goes each round whatever its shape.
     Rounds are written to the shared folder. A hub's edges are combined before the shuffle.
     """
     left = stored(edges.where(F.col("a") != F.col("b")).select(
@@ -79,6 +79,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         first = both.groupBy("node").agg(F.min(F.struct(F.xxhash64(seed, "other").alias("h"), F.col("other").alias("n"))).alias("m"))
         own = F.struct(F.xxhash64(seed, "node").alias("h"), F.col("node").alias("n"))
         points = stored(first.select("node", F.least(own, "m")["n"].alias("to")))
+        for _ in range(2):
+            after = points.select(F.col("node").alias("to"), F.col("to").alias("then"))
+            points = points.join(after, "to").select("node", F.col("then").alias("to"))
+        points = stored(points)
         steps.append(points)
         moved = (
             left.join(points.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a")

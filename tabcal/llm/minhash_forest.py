@@ -14,10 +14,12 @@ ORDERS, DEPTH, DEEPER = 16, 3, 4
 VALUES = ORDERS * (DEPTH + DEEPER)
 #: Rows of a region that are all compared with each other; rows of it sorted in one task.
 SMALL, REGION_ROWS = 5, 1_024
+#: Rows of a block when a region is finished exactly; they hold full sets.
+BLOCK_ROWS = 512
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 DEVIATIONS = 6.5
 #: Confirming rounds in which each row asks for its best partner in another component, before all the rest is asked.
-ROUNDS = 2
+ROUNDS = 1
 
 
 class Sketcher:
@@ -38,7 +40,7 @@ class Sketcher:
         import xxhash
 
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -122,9 +124,10 @@ def _regions(batches):
         for k in range(DEPTH, DEPTH + DEEPER):
             key = (key << np.uint64(16)) | (values[:, :, k] >> np.uint64(16))
         rows = pa.array(np.repeat(np.arange(n), ORDERS))
+        order = np.tile(np.arange(ORDERS, dtype=np.int32), n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(region.ravel().view(np.int64)), pa.array(key.ravel().view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)],
-            ["region", "key", "fp", "n"])
+            [pa.array(region.ravel().view(np.int64)), pa.array(key.ravel().view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(order)],
+            ["region", "key", "fp", "n", "order"])
 
 
 def _neighbours(percent: int):
@@ -181,42 +184,56 @@ def _estimates(floor: float):
     return run
 
 
+def _linked(x, y, percent: int) -> bool:
+    """Whether two sorted sets of distinct hashes reach the threshold."""
+    import numpy as np
+
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], ["a", "b"])
+            sets = [[np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in batch.column(k)] for k in (2, 3)]
+            keep = pa.array([i for i, (x, y) in enumerate(zip(*sets, strict=True)) if _linked(x, y, percent)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
 def _across(floor: float, percent: int):
-    """All pairs of one block of rows outside a region's main component with one block of all its rows, if in different components."""
+    """Links between one block of rows outside a region's main component and one block of all its rows: for each asking row
+    one link to each other component that it has. A pair that shares several regions is compared in the first."""
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        bytes_ = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(len(pdf), -1)
-        component, n = pd.factorize(pdf["component"])[0], pdf["n"].to_numpy()
+        values = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), ORDERS, DEPTH + DEEPER)
+        low = (values.reshape(len(pdf), -1) & 255).astype(np.uint8)
+        heads, order = values[:, :, :DEPTH], int(pdf["order"].iloc[0])
+        component, n, fp = pd.factorize(pdf["component"])[0], pdf["n"].to_numpy(), pdf["fp"].to_numpy()
+        sets = [np.frombuffer(v, dtype=np.uint64) for v in pdf["shingles"]]
         asks, targets = np.nonzero(pdf["asks"].to_numpy())[0], np.nonzero(~pdf["asks"].to_numpy())[0]
-        a, b, shares = [], [], []
+        a, b = [], []
         for i in asks:
             fit = targets[(component[targets] != component[i]) & (np.minimum(n[targets], n[i]) * 100 >= percent * np.maximum(n[targets], n[i]))]
-            share = (bytes_[fit] == bytes_[i]).mean(axis=1)
-            near = share >= floor
-            a += [i] * int(near.sum())
-            b += fit[near].tolist()
-            shares += share[near].tolist()
-        fp = pdf["fp"].to_numpy()
-        return pd.DataFrame({"a": fp[a], "b": fp[b], "share": np.array(shares, dtype=float)})
+            share = (low[fit] == low[i]).mean(axis=1)
+            fit, share = fit[share >= floor], share[share >= floor]
+            first = (heads[fit] == heads[i]).all(axis=2).argmax(axis=1) == order
+            reached: set[int] = set()
+            for j in fit[first][np.argsort(-share[first], kind="stable")]:
+                if component[j] not in reached and _linked(sets[i], sets[j], percent):
+                    reached.add(component[j])
+                    a.append(i)
+                    b.append(j)
+        return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
     return run
 
@@ -236,7 +253,7 @@ def near_dedup(
     other in all orders with probability (1 - 0.85^DEPTH)^ORDERS = 2e-7. A large region is sorted in several parts. Estimates rule out
     far pairs, full sets confirm the rest: first each class's best partner in another component, then all pairs left between
     components. Last, regions that still hold several components are compared exactly: each row outside its main component with all
-    rows of the region, in blocks.
+    rows of the region, in blocks that hold the full sets and return one link per row and component reached.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     ident, text = names[id_col], names[text_col]
@@ -247,7 +264,7 @@ def near_dedup(
         F.count("*").alias("copies"), F.min(ident).alias("low_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
     low_bytes = stored(append_columns(classes.select("fp", "n", "signature"), ["signature"], "low binary", lambda: lambda rows: ([r[::4] for r in rows],), keep=["fp", "n"]))
 
-    rows = classes.select("fp", "n", "signature").mapInArrow(_regions, "region long, key long, fp binary, n long")
+    rows = classes.select("fp", "n", "signature").mapInArrow(_regions, "region long, key long, fp binary, n long, order int")
     large = stored(rows.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > SMALL))
     large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
     parts = F.coalesce(F.ceil(F.col("members") / REGION_ROWS), F.lit(1))
@@ -306,19 +323,21 @@ def near_dedup(
     n_mixed = mixed.count()
     if n_mixed:
         mixed = F.broadcast(mixed) if n_mixed <= BROADCAST_ROWS else mixed
-        members = placed.drop("members").join(mixed, "region").join(low, "fp").withColumns({
+        members = placed.drop("members", "key").join(mixed, "region").withColumns({
             "asks": F.col("component") != F.col("main"),
-            "bt": F.ceil(F.col("members") / REGION_ROWS), "ba": F.ceil((F.col("members") - F.col("main_rows")) / REGION_ROWS)})
+            "bt": F.ceil(F.col("members") / BLOCK_ROWS), "ba": F.ceil((F.col("members") - F.col("main_rows")) / BLOCK_ROWS)})
+        members = stored(members)
+        full = sets_of(members.select("fp")).join(classes.select("fp", "signature"), "fp")
+        members = members.join(full, "fp")
         own = lambda k: F.pmod(F.xxhash64(F.lit(3), "fp"), F.col(k)).cast("int")
         every = lambda k: F.explode(F.sequence(F.lit(0), (F.col(k) - 1).cast("int")))
         as_target = members.withColumns({"t": own("bt")}).withColumn("q", every("ba")).withColumn("asks", F.lit(False))
         as_asking = members.where("asks").withColumns({"q": own("ba")}).withColumn("t", every("bt"))
-        rest = as_target.unionByName(as_asking).select("region", "t", "q", "fp", "n", "component", "low", "asks").groupBy(
-            "region", "t", "q").applyInPandas(_across(floor, percent), "a binary, b binary, share double")
-        rest = stored(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(
-            candidates.select("a", "b"), ["a", "b"], "left_anti"))
+        rest = as_target.unionByName(as_asking).select("region", "order", "t", "q", "fp", "n", "component", "signature", "shingles", "asks").groupBy(
+            "region", "t", "q").applyInPandas(_across(floor, percent), "a binary, b binary")
+        rest = stored(rest)
         if not rest.isEmpty():
-            links = links.unionByName(confirmed(rest, sets_of(ends(rest))))
+            links = links.unionByName(rest)
             found = connected_components(links)
 
     member = classes.select("fp", "copies", "low_id", F.col("fp").alias("node")).join(found, "node", "left").withColumn(

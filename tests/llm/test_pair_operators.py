@@ -80,6 +80,7 @@ def test_near_dedup_equals_all_pairs(spark, seed):
 def test_large_regions_are_finished_exactly(spark, monkeypatch):
     """With few neighbours, small parts and no broadcast, the last step has to find what the orders miss."""
     monkeypatch.setattr(minhash_forest, "REGION_ROWS", 8)
+    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 7)
     monkeypatch.setattr(minhash_forest, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(minhash_forest, "ROUNDS", 1)
