@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import PolynomialExpansion, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -18,7 +18,7 @@ from tabcal.session import durable
 INFREQUENT = "__infrequent__"
 MIN_FREQUENCY = 10  # fixed value: rarer train categories are grouped
 MAX_CATEGORIES = 20  # fixed value: output categories per column, the grouped one included
-MAX_ONE_HOT = 1000  # widest one-hot block; a wider column must be rare-grouped or target encoded
+MAX_ONE_HOT = 1000  # widest block of one-hot columns; a wider one becomes a sparse vector column
 
 
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -93,25 +93,39 @@ def min_max_scale(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> Da
 
 
 def train_categories(train: DataFrame, columns: Sequence[str], *, drop_first: bool = False) -> dict[str, list[str]]:
-    """Sorted train categories per column, NULL as its own category (a bounded table reaches the driver)."""
-    found = (
-        unpivot_text(train, [], columns).select("column", F.coalesce("value", F.lit(MISSING_GAP)).alias("value"))
-        .distinct().limit(MAX_ONE_HOT * len(columns) + 1).collect()
-    )
-    out = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
-    wide = [c for c, values in out.items() if len(values) > MAX_ONE_HOT]
-    if wide or len(found) > MAX_ONE_HOT * len(columns):
-        raise ValueError(f"too many categories for one-hot encoding: {wide or list(columns)}")
+    """Sorted train categories per column, NULL as its own category; columns of more than MAX_ONE_HOT categories are left out
+    (``one_hot_vector`` takes them), so a bounded table reaches the driver."""
+    values = unpivot_text(train, [], columns).select("column", F.coalesce("value", F.lit(MISSING_GAP)).alias("value")).distinct()
+    sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    narrow = [c for c in columns if sizes.get(c, 0) <= MAX_ONE_HOT]
+    found = values.where(F.col("column").isin(narrow)).collect() if narrow else []
+    out = {c: sorted(r["value"] for r in found if r["column"] == c) for c in narrow}
     return {c: v[1:] if drop_first else v for c, v in out.items()}
 
 
+def one_hot_vector(df: DataFrame, train: DataFrame, column: str, out: str) -> DataFrame:
+    """One sparse 0/1 vector over all train categories, however many; unseen values give the zero vector.
+
+    A category's place follows its hash, found in counted hash buckets; categories stay a table that is joined.
+    """
+    label = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_GAP))
+    found = train.select(label.alias("_cat")).distinct().withColumn("_h", F.md5("_cat")).withColumn("_b", F.substring("_h", 1, 3))
+    counts = found.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))  # at most 4,096 rows
+    starts = counts.select("_b", F.coalesce(F.sum("_c").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    place = F.col("_s") + F.row_number().over(W.partitionBy("_b").orderBy("_h", "_cat")) - 1
+    places = durable(attach(found, starts, ["_b"], bounded=True).select("_cat", place.cast("double").alias("_at")))
+    model = OneHotEncoder(inputCols=["_at"], outputCols=[out], handleInvalid="keep", dropLast=True).fit(places)
+    rows = attach(df.withColumn("_cat", label), places, ["_cat"], count_rows=True)
+    return model.transform(rows.withColumn("_at", F.coalesce("_at", F.lit(float(places.count()))))).drop("_cat", "_at")
+
+
 def one_hot(df: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
     """One 0/1 column per train category; unseen values give all zeros."""
     hot = [
         (F.coalesce(F.col(c).cast("string"), F.lit(MISSING_GAP)) == v).cast("double").alias(f"{c}={v}")
         for c, values in categories.items() for v in values
     ]
-    return df.select(*[c for c in df.columns if c not in categories], *hot)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in categories], *hot)
 
 
 def rare_category_map(
@@ -247,6 +261,7 @@ class TablePreprocessor:
     folds: int = 5
     train: Column | str = "split = 'train'"
     categories: dict[str, list[str]] = field(default_factory=dict)
+    wide: dict[str, int] = field(default_factory=dict)  # one-hot vector columns with their number of categories
     output_columns: list[str] = field(default_factory=list)
 
     def fit_transform(self, df: DataFrame, *, cross_fit: bool = True) -> DataFrame:
@@ -270,7 +285,11 @@ class TablePreprocessor:
             self.categories = train_categories(source, labels)
             hot = [f"{c}={v}" for c, values in self.categories.items() for v in values]
             kept = [F.col(c).alias(f"_keep_{c}") for c in labels]
-            out = one_hot(out.select("*", *kept), self.categories).withColumnsRenamed({f"_keep_{c}": c for c in labels})
+            out = one_hot(out.select("*", *kept), self.categories).drop(*[c for c in labels if c not in self.categories])
+            out = out.withColumnsRenamed({f"_keep_{c}": c for c in labels})
+            for c in [c for c in labels if c not in self.categories]:
+                out = one_hot_vector(out, source, c, f"{c}_onehot")
+                self.wide[c] = source.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING_GAP))).distinct().count()
         for c in self.encoded:
             out = target_encode(
                 out, column=c, target=self.target, train=self.train, fold=self.fold, out=f"{c}_encoded",
@@ -281,14 +300,18 @@ class TablePreprocessor:
             out = apply_scale(out, pin(scale_statistics(out.where(self.train), encoded, "standard")), encoded)
         self.output_columns = [*encoded, *numeric, *flags, *hot]
         vector = array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in self.output_columns]))
-        return out.withColumn("features", vector)
+        if not self.wide:
+            return out.withColumn("features", vector)
+        blocks = [f"{c}_onehot" for c in self.wide]
+        self.output_columns += blocks
+        return VectorAssembler(inputCols=["_dense", *blocks], outputCol="features").transform(out.withColumn("_dense", vector)).drop("_dense")
 
     def expansion_audit(self, df: DataFrame) -> DataFrame:
         """Columns in and out per block."""
-        hot = sum(len(v) for v in self.categories.values())
+        hot = sum(len(v) for v in self.categories.values()) + sum(self.wide.values())
         row = (
             len(self.numeric) + len(self.one_hot_columns) + len(self.grouped) + len(self.encoded), len(self.numeric),
-            len(self.one_hot_columns) + len(self.grouped), len(self.encoded), hot, len(self.output_columns),
+            len(self.one_hot_columns) + len(self.grouped), len(self.encoded), hot, len(self.output_columns) - len(self.wide) + sum(self.wide.values()),
         )
         schema = "input_columns long, numeric_columns long, one_hot_inputs long, encoded_columns long, one_hot_outputs long, output_columns long"
         return df.sparkSession.createDataFrame([row], schema)

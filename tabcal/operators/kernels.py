@@ -47,8 +47,8 @@ def solve(kind, n, cross, params):
                 w[j] = soft(corr[j] - gram[j] @ w + gram[j, j] * old, a * l1) / (gram[j, j] + a * (1 - l1))
                 change, biggest = max(change, abs(w[j] - old)), max(biggest, abs(w[j]))
             if change <= 1e-10 * max(biggest, 1e-30):
-                break
-        return w, None
+                return w, None
+        raise RuntimeError("elastic net did not converge; raise max_iter")
     if kind == "bayesian_ridge":
         # evidence maximisation on the eigenvalues of X'X; fixed values: hyper-priors 1e-6, tolerance 1e-3
         prior, tol = params.get("prior", 1e-6), params.get("tol", 1e-3)
@@ -66,6 +66,8 @@ def solve(kind, n, cross, params):
             if old is not None and np.sum(np.abs(old - w)) < tol:
                 break
             old = w
+        else:
+            raise RuntimeError("the evidence of the Bayesian ridge did not converge; raise max_iter")
         covariance = (vectors / (values + lam / alpha)) @ vectors.T / alpha
         return weights(), (alpha, covariance)
     raise ValueError(f"unknown model: {kind}")

@@ -60,9 +60,9 @@ def attach(
 
     ``bounded=True`` states that the number of keys is fixed by the schema (columns,
     splits, methods), so the statistics are broadcast.  Otherwise the ``hot_groups``
-    largest groups by ``size_col`` are broadcast (a fixed number of rows) and their
-    rows are salted by input partition, so that the remaining shuffle join sees no
-    key with more than 1/(hot_groups+1) of the rows.  ``count_rows=True`` finds the group
+    largest groups by ``size_col`` are broadcast (a fixed number of rows): rows of these
+    groups are joined there and never shuffle, all others go through a shuffle join in which
+    no key has more than 1/(hot_groups+1) of the rows.  ``count_rows=True`` finds the group
     sizes by one counting pass over ``df``.  With neither, no key may repeat much in ``df``.
     """
     keys = list(keys)
@@ -82,16 +82,13 @@ def attach(
         return df.join(right, null_safe(keys, "_jk"), "left").drop(*drop("_jk"))
     hot = stats.orderBy(F.desc_nulls_last(size_col), *keys).limit(hot_groups)
     hot = hot.select(*renamed("_hk"), F.struct(*values).alias("_hot"))
-    cold = stats.select(*renamed("_ck"), F.lit(0).alias("_cs"), F.struct(*values).alias("_cold"))
-    salted = df.join(F.broadcast(hot), null_safe(keys, "_hk"), "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.spark_partition_id(), F.lit(1023))),
-    )
-    joined = salted.join(cold, null_safe(keys, "_ck") & (F.col("_salt") == F.col("_cs")), "left")
-    picked = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns], *[picked.getField(v).alias(v) for v in values]
-    )
+    cold = stats.select(*renamed("_ck"), F.struct(*values).alias("_cold"))
+    marked = df.join(F.broadcast(hot), null_safe(keys, "_hk"), "left")  # both branches share this broadcast
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    in_hot = marked.where(F.col("_hot").isNotNull())
+    in_cold = marked.where(F.col("_hot").isNull()).select(*columns).join(cold, null_safe(keys, "_ck"), "left")
+    picked = lambda c: [F.col(c).getField(v).alias(v) for v in values]
+    return in_cold.select(*columns, *picked("_cold")).unionByName(in_hot.select(*columns, *picked("_hot")))
 
 
 def usable(value: str) -> Column:

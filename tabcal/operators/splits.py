@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabcal.operators.ordering import content_key
 from tabcal.operators.scale import attach, order_statistics, with_scalars
+from tabcal.session import durable
 
 SPLITS = ("train", "validation", "test")
 ROLE_OF_SPLIT = {"train": "train", "validation": "calibration", "test": "heldout"}
@@ -202,20 +203,22 @@ def best_swap(manifest: DataFrame, group: str, fractions: dict[str, float]) -> D
     return scored.orderBy("score_after", "first_group", "second_group").limit(1)
 
 
-def swap_refine(manifest: DataFrame, group: str, fractions: dict[str, float], rounds: int = 20) -> DataFrame:
-    """Apply the best exchange until none helps (one small job per round)."""
-    for _ in range(rounds):
+def swap_refine(manifest: DataFrame, group: str, fractions: dict[str, float]) -> DataFrame:
+    """Apply the best exchange until none helps (one small job per exchange; each lowers the objective, so it ends)."""
+    done = 0
+    while True:
         found = best_swap(manifest, group, fractions).collect()
         if not found or not found[0].score_after < found[0].score_before - 1e-15:
-            break
-        swap = found[0]
+            return manifest
+        swap, done = found[0], done + 1
         manifest = manifest.withColumn(
             "split",
             F.when(F.col(group) == F.lit(swap.first_group), F.lit(swap.second_split))
             .when(F.col(group) == F.lit(swap.second_group), F.lit(swap.first_split))
             .otherwise(F.col("split")),
         )
-    return manifest
+        if done % 10 == 0:
+            manifest = durable(manifest)
 
 
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:

@@ -42,8 +42,8 @@ def interval_methods(
     sums = pin(L.cross_products(train, [], [*features, target]))
     net = L.fit_all(sums, "elastic_net", **elastic_net)
     bayes = L.fit_all(sums, "bayesian_ridge")
-    boot = B.ResidualBootstrap(train, row_id=row_id, features=features, target=target, repetitions=repetitions, seed=seed, **elastic_net)
-    spread = B.bounds_per_level(boot.distribution(others, "row_id"), "row_id", coverages)
+    boot = B.ResidualBootstrap(train, row_id=row_id, features=features, target=target, repetitions=repetitions, seed=seed, sums=sums, **elastic_net)
+    spread = boot.bounds(others, coverages, "row_id").drop("mean")
     first = L.score(others, net, [], features).drop("prediction_sd").withColumnRenamed("prediction", "net")
     both = L.score(first, bayes, [], features)
     scored = durable(both.select(

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -85,6 +87,41 @@ def test_bootstrap_is_reproducible_under_repartitioning(spark):
     assert np.allclose(one[["Lower", "Upper"]], two[["Lower", "Upper"]], atol=1e-9)
 
 
+@pytest.mark.parametrize("chunk_rows, block_rows", [(1000, 1000), (37, 1000), (1000, 11), (29, 7)])
+def test_bootstrap_has_one_law_at_every_size(spark, chunk_rows, block_rows):
+    """Chunks and blocks decide where draws are made, not which: every draw is a position among all residuals, and no row is lost."""
+    df = bootstrap_frame(spark)
+    boot = B.ResidualBootstrap(df, row_id="row_id", features=["a", "b"], target="y", repetitions=6, seed=7, chunk_rows=chunk_rows, block_rows=block_rows, kind="ols")
+    pdf = df.toPandas()
+    pdf["h"] = [hashlib.md5(f"{i}|7".encode()).hexdigest() for i in pdf.row_id]
+    x = np.column_stack([np.ones(len(pdf)), pdf.a, pdf.b])
+    first = np.linalg.lstsq(x, pdf.y, rcond=None)[0]
+    ordered = (pdf.y - x @ first)[pdf.sort_values(["h", "row_id"]).index].to_numpy()
+    keys = np.array([int(h[:8], 16) for h in pdf.h])
+    again = np.linalg.lstsq(x, (x @ first)[:, None] + ordered[B.drawn_positions(keys, 6, len(pdf), 0)], rcond=None)[0]
+    want = x @ again + ordered[B.drawn_positions(keys, 6, len(pdf), 1)]
+    got = boot.distribution(df, "row_id").toPandas().set_index("row_id")["predictions"]
+    assert len(got) == len(pdf)
+    assert np.allclose(np.stack(got.loc[pdf.row_id].to_list()), want, atol=1e-8)
+    bounds = boot.bounds(df, [0.5, 0.9]).toPandas().set_index("row_id").loc[pdf.row_id]
+    assert np.allclose(bounds[["lower_1", "upper_1"]].to_numpy(), np.quantile(want, [0.05, 0.95], axis=1).T, atol=1e-8)
+
+
+def test_draws_are_even(spark):
+    keys = np.random.default_rng(1).integers(0, 2**32, 400)
+    n = 50
+    drawn = B.drawn_positions(keys, 300, n, 1)
+    counts = np.bincount(drawn.ravel(), minlength=n)
+    assert drawn.min() >= 0 and drawn.max() < n and abs(counts / counts.mean() - 1).max() < 0.1
+    assert abs(np.corrcoef(drawn[:, 0], drawn[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(drawn[0], drawn[1])[0, 1]) < 0.2
+
+
+def test_bootstrap_refuses_a_perfect_fit(spark):
+    df = spark.createDataFrame([(f"r{i}", float(i), 2.0 * i) for i in range(8)], "row_id string, a double, y double").withColumn("y", F.lit(3.0))
+    with pytest.raises(ValueError):
+        B.ResidualBootstrap(df, row_id="row_id", features=["a"], target="y", kind="ols", repetitions=3)
+
+
 def test_bootstrap_spread_covers(spark):
     df = bootstrap_frame(spark)
     boot = B.ResidualBootstrap(df, row_id="row_id", features=["a", "b"], target="y", kind="ols", repetitions=200, seed=1)

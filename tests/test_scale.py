@@ -82,3 +82,22 @@ def test_attach_keeps_every_row_once_with_hot_and_null_keys(skewed):
 def test_constant_group_gives_null_not_an_error(spark):
     df = spark.createDataFrame([("g", 1.0, 2.0), ("g", 1.0, 3.0)], "g string, a double, b double")
     assert df.groupBy("g").agg(S.safe_corr("a", "b").alias("r")).first().r is None
+
+
+@pytest.mark.parametrize("how", ["size_col", "count_rows"])
+def test_hot_key_is_split_over_the_partitions(spark, how):
+    """One key with 90% of the rows, no adaptive execution, no automatic broadcast: no partition holds twice the mean."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") % 10 > 0, -1).otherwise(F.col("id") % 5000).alias("k"), "id")
+        stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("id").alias("m"))
+        out = S.attach(df, stats, ["k"], size_col="n", hot_groups=1) if how == "size_col" else S.attach(df, stats.drop("n"), ["k"], count_rows=True, hot_groups=1)
+        assert out.where(F.col("m").isNull()).count() == 0
+        counts = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(counts) == 100_000 and max(counts) <= 2 * 100_000 / len(counts)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

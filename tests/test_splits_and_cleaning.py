@@ -44,7 +44,7 @@ def test_curing_last_match_wins(spark):
 def test_balanced_manifest(spark):
     data = spark.createDataFrame([(g,) for g in "aaabbccdef"], "g string")
     manifest = S.balanced_manifest(data, "g", FRACTIONS, 42, 20)
-    refined = S.swap_refine(manifest, "g", FRACTIONS, 5).collect()
+    refined = S.swap_refine(manifest, "g", FRACTIONS).collect()
     assert sorted(r.g for r in refined) == list("abcdef") and {r.split for r in refined} == set(FRACTIONS)
     assert sum(r.n_rows for r in refined) == 10
     gap = lambda found: sum((sum(r.n_rows for r in found if r.split == s) / (10 * f) - 1) ** 2 for s, f in FRACTIONS.items())
@@ -124,3 +124,54 @@ def test_policy_runner_drops_and_reports(spark):
     tables, reports = run_policies(df, {"raw": None, "half": 0.5}, row_id="id", group="g", target="y", features=["a", "t"], pairs=[("p", "a", "t")], fractions=FRACTIONS, seed=1)
     assert "a" in tables["raw"].columns and "a" not in tables["half"].columns
     assert {(r.policy, r.applied) for r in reports["recode_summary"].collect()} == {("raw", True), ("half", False)}
+
+
+def test_exchanges_go_on_until_none_helps(spark):
+    """More than twenty exchanges are needed here."""
+    data = [(i, 1 + (i % 2) * 9, "train" if i % 2 else ("validation" if i % 4 else "test")) for i in range(120)]
+    manifest = spark.createDataFrame(data, "g int, n_rows long, split string")
+    refined = S.swap_refine(manifest, "g", FRACTIONS)
+    last = S.best_swap(refined, "g", FRACTIONS).first()
+    assert last is None or last.score_after >= last.score_before - 1e-15
+    moved = refined.alias("a").join(manifest.alias("b"), "g").where("a.split <> b.split").count()
+    assert moved > 40
+
+
+def test_header_rows_are_removed_by_place(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        with open(os.path.join(tmp_path, name), "w", encoding="latin-1") as f:
+            f.write("x,y\nkg,m\n" + f"{name},1\nx,y\nkg,m\n")
+    df = RD.read_multi_header(spark, str(tmp_path), header_rows=1, units_rows=1)
+    assert df.columns == ["x", "y"]
+    assert rows(df, "x", "y") == [("a.csv", "1"), ("b.csv", "1"), ("kg", "m"), ("kg", "m"), ("x", "y"), ("x", "y")]
+
+
+def test_only_one_row_becomes_the_header(spark):
+    df = spark.createDataFrame([(1, "name"), (1, "value"), (2, "other")], "o int, c string").coalesce(1)
+    out = RD.promote_first_row(df, "o")
+    assert out.columns == ["o", "name"] and rows(out, "o") == [(1, "value"), (2, "other")]
+
+
+@pytest.mark.parametrize("record_bytes", [10, 1 << 20])
+def test_file_fingerprints(spark, tmp_path, record_bytes):
+    import hashlib
+
+    contents = {"a b.bin": b"x" * 100_000, "small": b"tiny"}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    got = RD.file_fingerprints(spark, str(tmp_path), record_bytes).collect()
+    assert {(r.file, r.bytes, r.sha256) for r in got} == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+
+
+def test_wide_one_hot_is_a_vector(spark, monkeypatch):
+    monkeypatch.setattr(E, "MAX_ONE_HOT", 5)
+    df = spark.createDataFrame([(f"r{i}", "train" if i < 40 else "test", i % 3, float(i), f"c{i % 8}" if i % 9 else None, f"d{i % 3}") for i in range(60)] + [("new", "test", 0, 1.0, "unseen", "d0")],
+                               "id string, split string, fold int, y double, c string, d string")
+    p = E.TablePreprocessor(numeric=["y"], one_hot_columns=["c", "d"], target="y", folds=3)
+    out = p.fit_transform(df)
+    assert p.wide == {"c": 9} and sorted(p.categories) == ["d"]
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got["r1"]["features"]) == 1 + 3 + 9 and got["new"]["c_onehot"].numNonzeros() == 0
+    assert all(r["c_onehot"].numNonzeros() == 1 for i, r in got.items() if i != "new")
+    assert len({int(r["c_onehot"].indices[0]) for i, r in got.items() if i != "new"}) == 9
+    assert E.train_categories(df, ["c"]) == {}
