@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many documents stay in one; a document that loses all its lines goes (one that was empty before stays)."""
-    kept = dedup_lines(docs).where("n_dropped < n_lines")
+    """Lines of many documents stay in one; a document that loses all its lines stays with an empty text."""
+    kept = dedup_lines(docs)
     kind = docs.schema["n_chars"].dataType
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind)).select(*docs.columns)
 
