@@ -351,7 +351,7 @@ def bootstrap_sql(train, scored, repetitions=300, alpha=0.1, l1=0.5):
  bm AS MATERIALIZED (SELECT rep, {soft('c')} AS w, b FROM (SELECT rep, bf.w + rs.sx / n AS c, my + se / n AS b FROM rs, bf)),
  so AS (SELECT row_id, {key} AS k, n, (l_quantity - mx) / sx AS z FROM {scored}, bf),
  d1 AS (SELECT row_id, rep, z, {draws_sql(1)} FROM so, rp))),
- pr AS (SELECT row_id, b + w * z + e AS p FROM d1 JOIN br ON br.pos = d1.pos JOIN bm USING (rep))
+ pr AS (SELECT d1.row_id, b + w * d1.z + e AS p FROM d1 JOIN br ON br.pos = d1.pos JOIN bm USING (rep))
 """
 
 
