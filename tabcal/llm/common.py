@@ -11,7 +11,7 @@ from tabcal.session import ensure_checkpoint_dir
 #: A table is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 100_000
 #: Bytes of input that a Python function gets at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters 0x09-0x0D and 0x20.
 SPACES = " \t\n\x0b\f\r"
