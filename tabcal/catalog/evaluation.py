@@ -21,9 +21,9 @@ def _(spark, sf):
     return predictions(spark, sf).select("policy", "experiment", "exploratory", "model", "split", "row_id", "Actual", "Predicted", "Residual", "AbsoluteError", "SquaredError")
 
 
-@query("regression_metrics_a1", PRED + f"SELECT l_suppkey, {METRIC_ROUND} FROM (SELECT l_suppkey, {METRIC_SQL} FROM pr WHERE model = 'taxed' GROUP BY 1)")
+@query("regression_metrics_a1", PRED + f"SELECT model, l_suppkey, {METRIC_ROUND} FROM (SELECT model, l_suppkey, {METRIC_SQL} FROM pr GROUP BY 1, 2)")
 def _(spark, sf):
-    return rounded(V.regression_metrics(predictions(spark, sf).where("model = 'taxed'"), ["l_suppkey"]))
+    return rounded(V.regression_metrics(predictions(spark, sf), ["model", "l_suppkey"]))
 
 
 @query("metrics_row_a2", PRED + f"SELECT policy, experiment, exploratory, model, split, {METRIC_ROUND} FROM (SELECT policy, experiment, exploratory, model, split, {METRIC_SQL} FROM pr GROUP BY ALL)")
@@ -32,23 +32,23 @@ def _(spark, sf):
 
 
 GROUP_METRICS = """count(*) AS n_rows, round(avg(AbsoluteError), 5) AS MAE, round(sqrt(avg(SquaredError)), 5) AS RMSE, round(avg(Residual), 5) + 0.0 AS Bias, round(median(AbsoluteError), 5) AS MedianAE,
- round(avg(Actual), 5) AS ActualMean, round(avg(Predicted), 5) AS PredictedMean FROM pr WHERE model = 'taxed' GROUP BY 1"""
+ round(avg(Actual), 5) AS ActualMean, round(avg(Predicted), 5) AS PredictedMean FROM pr GROUP BY 1"""
 
 
-@query("errors_by_usage_a3", PRED + "SELECT CASE WHEN amount IS NOT NULL AND discount IS NOT NULL AND amount + discount = 0 THEN 'no_fiber_reported' WHEN amount > 0 OR discount > 0 THEN 'fiber_used' ELSE 'fiber_amount_unknown' END AS usage_group, " + GROUP_METRICS)
+@query("errors_by_usage_a3", PRED + "SELECT model || '/' || CASE WHEN amount IS NOT NULL AND discount IS NOT NULL AND amount + discount = 0 THEN 'no_fiber_reported' WHEN amount > 0 OR discount > 0 THEN 'fiber_used' ELSE 'fiber_amount_unknown' END AS usage_group, " + GROUP_METRICS)
 def _(spark, sf):
-    p = predictions(spark, sf).where("model = 'taxed'")
-    return rounded(V.errors_by_group(p, usage_group([F.col("amount"), F.col("discount")]), "usage_group"), 5)
+    used = usage_group([F.col("amount"), F.col("discount")])
+    return rounded(V.errors_by_group(predictions(spark, sf), F.concat_ws("/", "model", used), "usage_group"), 5)
 
 
-@query("errors_by_bin_a3", PRED + "SELECT CASE WHEN Actual / 43 <= 120 THEN '<=120' WHEN Actual / 43 <= 150 THEN '120-150' WHEN Actual / 43 <= 180 THEN '150-180' WHEN Actual / 43 > 180 THEN '>180' ELSE 'nan' END AS strength_bin, " + GROUP_METRICS)
+@query("errors_by_bin_a3", PRED + "SELECT model || '/' || CASE WHEN Actual / 43 <= 120 THEN '<=120' WHEN Actual / 43 <= 150 THEN '120-150' WHEN Actual / 43 <= 180 THEN '150-180' WHEN Actual / 43 > 180 THEN '>180' ELSE 'nan' END AS strength_bin, " + GROUP_METRICS)
 def _(spark, sf):
-    return rounded(V.errors_by_group(predictions(spark, sf).where("model = 'taxed'"), right_closed_bin(F.col("Actual") / 43), "strength_bin"), 5)
+    return rounded(V.errors_by_group(predictions(spark, sf), F.concat_ws("/", "model", right_closed_bin(F.col("Actual") / 43)), "strength_bin"), 5)
 
 
-@query("errors_by_supplier_a3", PRED + "SELECT l_suppkey::VARCHAR AS publication, " + GROUP_METRICS)
+@query("errors_by_supplier_a3", PRED + "SELECT model || '/' || l_suppkey::VARCHAR AS publication, " + GROUP_METRICS)
 def _(spark, sf):
-    return rounded(V.errors_by_group(predictions(spark, sf).where("model = 'taxed'"), F.col("l_suppkey"), "publication"), 5)
+    return rounded(V.errors_by_group(predictions(spark, sf), F.concat_ws("/", "model", F.col("l_suppkey").cast("string")), "publication"), 5)
 
 
 SEEDS = PRED + ", sd AS (SELECT model, l_returnflag AS seed, avg(AbsoluteError) AS MAE, sqrt(avg(SquaredError)) AS RMSE FROM pr GROUP BY 1, 2) "
@@ -284,11 +284,11 @@ def _(spark, sf):
     return rounded(K.conformal_quantiles(calibration_scores(spark, sf), ["model"], "AbsoluteError", ALPHAS, bounded=True), 9, q_hat=6)
 
 
-@query("group_quantile_c1", PRED + """, rk AS (SELECT l_suppkey, AbsoluteError AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY AbsoluteError) AS k, count(*) OVER (PARTITION BY l_suppkey) AS n FROM pr WHERE model = 'taxed')
- SELECT l_suppkey, n AS n_calibration_rows, round(s, 6) AS q_hat FROM rk WHERE k = least(n, ceil((n + 1)::DOUBLE * (1 - 0.1::DOUBLE)))::BIGINT""")
+@query("group_quantile_c1", PRED + """, rk AS (SELECT model, l_suppkey, AbsoluteError AS s, row_number() OVER (PARTITION BY model, l_suppkey ORDER BY AbsoluteError) AS k, count(*) OVER (PARTITION BY model, l_suppkey) AS n FROM pr)
+ SELECT model, l_suppkey, n AS n_calibration_rows, round(s, 6) AS q_hat FROM rk WHERE k = least(n, ceil((n + 1)::DOUBLE * (1 - 0.1::DOUBLE)))::BIGINT""")
 def _(spark, sf):
-    out = K.conformal_quantiles(predictions(spark, sf).where("model = 'taxed'"), ["l_suppkey"], "AbsoluteError", [0.1])
-    return rounded(out.select("l_suppkey", "n_calibration_rows", "q_hat"))
+    out = K.conformal_quantiles(predictions(spark, sf), ["model", "l_suppkey"], "AbsoluteError", [0.1])
+    return rounded(out.select("model", "l_suppkey", "n_calibration_rows", "q_hat"))
 
 
 @query("interpolated_quantile_c3", PRED + "SELECT model, count(*) AS n_calibration_rows, round(quantile_cont(AbsoluteError, 0.9), 6) AS q_hat FROM pr WHERE split = 'validation' GROUP BY 1")
@@ -296,10 +296,10 @@ def _(spark, sf):
     return rounded(K.interpolated_quantile(calibration_scores(spark, sf), ["model"], "AbsoluteError", 0.9))
 
 
-@query("symmetric_interval_c4", PRED + "SELECT row_id, Predicted - 5000 AS \"Lower\", Predicted + 5000 AS \"Upper\" FROM pr WHERE model = 'flat'")
+@query("symmetric_interval_c4", PRED + "SELECT model, row_id, Predicted - 5000 AS \"Lower\", Predicted + 5000 AS \"Upper\" FROM pr")
 def _(spark, sf):
     lo, hi = K.symmetric_bounds(F.col("Predicted"), F.lit(5000.0))
-    return predictions(spark, sf).where("model = 'flat'").select("row_id", lo.alias("Lower"), hi.alias("Upper"))
+    return predictions(spark, sf).select("model", "row_id", lo.alias("Lower"), hi.alias("Upper"))
 
 
 BASE_SQL = ", bi AS (SELECT *, Predicted - 30 * (1 + l_quantity) AS lo, Predicted + 45 * (1 + l_quantity) AS hi FROM pr)"
@@ -416,10 +416,10 @@ def _(spark, sf):
     return out.select(*LABEL_COLUMNS.split(", "), r("MiscoverageShortfall", 8).alias("MiscoverageShortfall"), r("NarrowWrongScore", 12).alias("NarrowWrongScore"))
 
 
-@query("normal_interval_c11", PRED + "SELECT row_id, round(Predicted - 1.2815515655446004::DOUBLE * (100 + l_quantity), 6) + 0.0 AS \"Lower\", round(Predicted + 1.2815515655446004::DOUBLE * (100 + l_quantity), 6) AS \"Upper\" FROM pr WHERE model = 'taxed'")
+@query("normal_interval_c11", PRED + "SELECT model, row_id, round(Predicted - 1.2815515655446004::DOUBLE * (100 + l_quantity), 6) + 0.0 AS \"Lower\", round(Predicted + 1.2815515655446004::DOUBLE * (100 + l_quantity), 6) AS \"Upper\" FROM pr")
 def _(spark, sf):
     lo, hi = K.symmetric_bounds(F.col("Predicted"), K.normal_half_width(100 + F.col("l_quantity"), 0.8))
-    return rounded(predictions(spark, sf).where("model = 'taxed'").select("row_id", lo.alias("Lower"), hi.alias("Upper")))
+    return rounded(predictions(spark, sf).select("model", "row_id", lo.alias("Lower"), hi.alias("Upper")))
 
 
 @query("percentile_interval_c14", """SELECT l_orderkey, count(*) AS repetitions, round(quantile_cont(l_extendedprice, 0.1), 6) AS "Lower", round(quantile_cont(l_extendedprice, 0.9), 6) AS "Upper" FROM lineitem GROUP BY 1""")
@@ -432,8 +432,8 @@ def _(spark, sf):
     return rounded(K.miscovered_rows(intervals(spark, sf)).select("method", "model", "row_id", "StandardizedError", "MissDirection"))
 
 
-@query("calibration_by_group_a25", IV + """SELECT l_suppkey, count(*) AS n_rows, round(avg(Actual), 5) AS mean_true, round(avg(Predicted), 5) AS mean_prediction, round(avg((Actual BETWEEN "Lower" AND "Upper")::INT), 8) AS coverage,
- round(avg("Upper" - "Lower"), 5) AS interval_width, round(avg(abs(Residual)), 5) AS mean_residual, round(avg(HalfWidth / 100), 7) AS mean_distance FROM iv WHERE method = 'split_conformal' AND model = 'taxed' GROUP BY 1""")
+@query("calibration_by_group_a25", IV + """SELECT method || '/' || model || '/' || l_suppkey AS fold, count(*) AS n_rows, round(avg(Actual), 5) AS mean_true, round(avg(Predicted), 5) AS mean_prediction, round(avg((Actual BETWEEN "Lower" AND "Upper")::INT), 8) AS coverage,
+ round(avg("Upper" - "Lower"), 5) AS interval_width, round(avg(abs(Residual)), 5) AS mean_residual, round(avg(HalfWidth / 100), 7) AS mean_distance FROM iv GROUP BY 1""")
 def _(spark, sf):
-    d = intervals(spark, sf).where("method = 'split_conformal' AND model = 'taxed'").withColumn("mean_distance", F.col("HalfWidth") / 100)
-    return rounded(V.calibration_by_group(d, "l_suppkey"), 5, coverage=8, mean_distance=7)
+    d = intervals(spark, sf).withColumn("mean_distance", F.col("HalfWidth") / 100).withColumn("fold", F.concat_ws("/", "method", "model", F.col("l_suppkey").cast("string")))
+    return rounded(V.calibration_by_group(d, "fold"), 5, coverage=8, mean_distance=7)

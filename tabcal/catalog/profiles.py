@@ -219,7 +219,7 @@ def _(spark, sf):
         F.struct(F.lit(k), v) for k, v in shares.items()]))).alias("split", "groups"))
 
 
-RESTARTS = 20
+RESTARTS = 200
 
 
 def restart_sql(restarts):
@@ -270,14 +270,14 @@ def _(spark, sf):
     return S.row_folds(lines(spark, sf).select("row_id"), "row_id", 5, SEED)
 
 
-@query("eligible_groups_sp8", LINES + "SELECT l_suppkey, count(*) AS n_rows FROM lines GROUP BY 1 HAVING count(*) >= 600")
+@query("eligible_groups_sp8", LINES + "SELECT l_suppkey, count(*) AS n_rows FROM lines GROUP BY 1 HAVING count(*) >= 50")
 def _(spark, sf):
-    return S.eligible_groups(lines(spark, sf), "l_suppkey", 600)
+    return S.eligible_groups(lines(spark, sf), "l_suppkey", 50)
 
 
-@query("fold_sizes_sp8", LINES + "SELECT l_suppkey AS evaluation_fold, count(*) AS heldout_rows, (SELECT count(*) FROM lines) - count(*) AS train_rows FROM lines GROUP BY 1 HAVING count(*) >= 600")
+@query("fold_sizes_sp8", LINES + "SELECT l_suppkey AS evaluation_fold, count(*) AS heldout_rows, (SELECT count(*) FROM lines) - count(*) AS train_rows FROM lines GROUP BY 1 HAVING count(*) >= 50")
 def _(spark, sf):
-    return S.fold_sizes(lines(spark, sf), "l_suppkey", 600)
+    return S.fold_sizes(lines(spark, sf), "l_suppkey", 50)
 
 
 @query("shared_roles_sp9", LINES + f"SELECT 'shared_group_test' AS evaluation_fold, l_suppkey, n_rows, split, CASE split WHEN 'train' THEN 'train' WHEN 'validation' THEN 'calibration' ELSE 'heldout' END AS role FROM {group_split_sql('l_suppkey', 'lines')}")

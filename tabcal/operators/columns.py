@@ -75,14 +75,12 @@ def candidates_by_prefix(columns: Sequence[str], prefixes: Sequence[str], target
 def excluded_columns_audit(
     df: DataFrame, selected: Sequence[str], target: str, reasons: Sequence[tuple[str, str]], otherwise: str
 ) -> DataFrame:
-    """One row per column that is neither selected nor the target, with the reason of its prefix."""
-    rows = []
-    for name in df.columns:
-        if name in selected or name == target:
-            continue
-        reason = next((text for prefix, text in reasons if name.startswith(prefix)), otherwise)
-        rows.append((name, reason))
-    return df.sparkSession.createDataFrame(rows, "column string, reason string")
+    """One row per column that is neither selected nor the target, with the reason of its prefix and its missing share."""
+    names = [c for c in df.columns if c not in selected and c != target]
+    of = {c: next((text for prefix, text in reasons if c.startswith(prefix)), otherwise) for c in names}
+    reason = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("column"))
+    return null_shares(df, names).select(
+        "column", reason.alias("reason"), F.coalesce(F.try_divide(F.col("missing"), F.col("rows")), F.lit(0.0)).alias("missing_fraction"))
 
 
 def type_partition(df: DataFrame, columns: Sequence[str], known_numeric: Sequence[str] = ()) -> tuple[list, list]:
