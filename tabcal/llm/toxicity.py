@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,8 +26,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 SEED_TERMS = ("idiot", "moron", "scum", "stupid", "worthless", "pathetic", "loser")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "disgusting smell")
 
-#: Labelled rows used for learning, per class; terms in the lexicon; least documents and least log odds of a term.
-TOXIC_ROWS, CLEAN_ROWS, TERMS, LEAST_DOCS, LEAST_ODDS = 6_000, 12_000, 2_000, 3, 2.5
+#: Labelled rows used for learning, per class; terms in the lexicon; least documents, least share of the toxic documents and least
+#: log odds of a term.
+TOXIC_ROWS, CLEAN_ROWS, TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 6_000, 12_000, 2_000, 3, 0.01, 2.5
 PREFIXES = (4, 5, 6)
 
 
@@ -71,22 +73,23 @@ class Lexicon:
         return self._automaton
 
     def features(self, text: str | None) -> tuple[float, float, int]:
-        """Matched weight, words, matches. Of terms that begin at one place the heaviest counts; a match within
-        an exception phrase doesn't."""
+        """Matched weight, words, matches. Of terms that begin at one place the heaviest counts, a word found n times counts
+        1 + log n times; a match within an exception phrase doesn't count."""
         folded = fold(text)
-        found: dict[int, float] = {}
+        found: dict[int, tuple[float, str]] = {}
         spared: list[tuple[int, int]] = []
         if len(self.terms) + len(self.exceptions):
             for end, (size, weight) in self.automaton().iter(folded):
                 start = end + 1 - size
                 if weight is None:
                     spared.append((start, end))
-                elif weight > found.get(start, 0.0):
-                    found[start] = weight
+                elif start not in found or weight > found[start][0]:
+                    found[start] = (weight, folded[start + 1:folded.index(" ", start + 1)])
         for a, b in spared:
             for start in [s for s in range(a, b) if s in found]:
                 del found[start]
-        return sum(found.values()), folded.count(" ") - 1, len(found)
+        times = Counter(found.values())
+        return sum(w * (1 + math.log(n)) for (w, _), n in times.items()), folded.count(" ") - 1, len(found)
 
     def score(self, weight: float, n_words: int) -> float:
         x = self.fit[0] + self.fit[1] * math.log1p(weight) + self.fit[2] * math.log1p(100 * weight / max(1, n_words))
@@ -114,7 +117,7 @@ def _terms(folded: str) -> set[str]:
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) >= n}
 
 
-def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_DOCS, least_odds: float = LEAST_ODDS, exceptions=EXCEPTIONS) -> Lexicon:
+def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_odds: float = LEAST_ODDS, exceptions=EXCEPTIONS) -> Lexicon:
     """Terms are words and beginnings of words whose log odds (toxic against clean documents that hold them) are high, from three
     quarters of the rows; the score is fitted on the other quarter. Both parts are bounded by training_rows."""
     def count(batches):
@@ -138,7 +141,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_D
     counts = learn.select("text", "label").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    found = counts.withColumn("odds", odds).where((F.col("toxic") >= least_docs) & (F.col("odds") >= least_odds)).orderBy(
+    found = counts.withColumn("odds", odds).where((F.col("toxic") >= max(least_docs, least_share * n_toxic)) & (F.col("odds") >= least_odds)).orderBy(
         F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(5 * terms).collect()
     lexicon = Lexicon(_pruned({r["term"]: (r["odds"], r["toxic"]) for r in found}, terms), tuple(exceptions))
     for seed in SEED_TERMS:
