@@ -16,6 +16,10 @@ WIDTH_TOLERANCE = 1e-8  # fixed value: relative width spread that still counts a
 ERROR_FLOOR = 1e-8  # fixed value: smallest half-width when standardising an error
 STABLE_ROWS = 10  # fixed value: rows from which per-group coverage counts as stable
 
+# Labels of the calibration of a group (coverage below or not, width above the median or not) and of its evidence.
+NARROW_WRONG, WIDE_WRONG, WIDE_SAFE, GOOD = "narrow_but_wrong", "wide_and_wrong", "wide_but_safe", "well_calibrated_or_sharp"
+STABLE, LIMITED = "more_stable_n_ge_10", "limited_n_lt_10"
+
 METRIC_KEYS = ("method", "model", "evaluation_scheme", "split", "nominal_coverage")
 
 
@@ -205,11 +209,11 @@ def confidence_labels(group_metrics: DataFrame) -> DataFrame:
     shortfall = F.greatest(F.lit(0.0), F.col("nominal_coverage") - F.col("EmpiricalCoverage"))
     return rows.select(
         "*",
-        F.when(below & ~wide, F.lit("narrow_but_wrong")).when(below & wide, F.lit("wide_and_wrong"))
-        .when(wide, F.lit("wide_but_safe")).otherwise(F.lit("well_calibrated_or_sharp")).alias("ConfidenceDiagnostic"),
+        F.when(below & ~wide, F.lit(NARROW_WRONG)).when(below & wide, F.lit(WIDE_WRONG))
+        .when(wide, F.lit(WIDE_SAFE)).otherwise(F.lit(GOOD)).alias("ConfidenceDiagnostic"),
         shortfall.alias("MiscoverageShortfall"),
         (shortfall / F.greatest(F.col("MeanIntervalWidth"), F.lit(1e-8))).alias("NarrowWrongScore"),
-        F.when(F.col("n_rows") >= STABLE_ROWS, F.lit("more_stable_n_ge_10")).otherwise(F.lit("limited_n_lt_10")).alias(
+        F.when(F.col("n_rows") >= STABLE_ROWS, F.lit(STABLE)).otherwise(F.lit(LIMITED)).alias(
             "CoverageEvidence"
         ),
     ).orderBy(F.desc("MiscoverageShortfall"), "MeanIntervalWidth")

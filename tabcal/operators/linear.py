@@ -122,7 +122,8 @@ def leave_group_out(df: DataFrame, group: str, features: Sequence[str], target:
     sums = cross_products(df, [group], [*features, target])
     folds = without_each(sums, [group], len(features) + 1)
     eligible = sums.where(F.col("n") >= minimum_rows).select(group, F.col("n").alias("_own"))
-    fitted = attach(fit(folds, [group], features, kind, **params), eligible, [group]).where("_own IS NOT NULL").drop("_own")
+    folds = attach(folds, eligible, [group]).where("_own IS NOT NULL").drop("_own")  # before any model is solved
+    fitted = fit(folds, [group], features, kind, **params)
     return score(df, fitted, [group], features).where("prediction IS NOT NULL")
 
 

@@ -36,6 +36,7 @@ def recode_pairs(df: DataFrame, pairs: Sequence[Pair]) -> DataFrame:
     return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+# Names of the summary's counters.
 SUMMARY_COUNTERS = [
     "amount_missing_before", "type_missing_before", "both_missing_before",
     "amount_positive_type_missing_to_unknown_type",

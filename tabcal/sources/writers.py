@@ -8,12 +8,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabcal.session import ensure_checkpoint_dir
+from tabcal.session import delete_at_end, ensure_checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder; it goes when the driver's JVM ends."""
+    return delete_at_end(spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def save_splits(df: DataFrame, path: str, split: str = "split") -> None:
