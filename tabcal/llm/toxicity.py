@@ -89,7 +89,7 @@ class Lexicon:
             for start in [s for s in range(a, b) if s in found]:
                 del found[start]
         times = Counter(found.values())
-        return sum(w * (1 + math.log(n)) for (w, _), n in times.items()), folded.count(" ") - 1, len(found)
+        return math.fsum(w * (1 + math.log(n)) for (w, _), n in times.items()), folded.count(" ") - 1, len(found)
 
     def score(self, weight: float, n_words: int) -> float:
         x = self.fit[0] + self.fit[1] * math.log1p(weight) + self.fit[2] * math.log1p(100 * weight / max(1, n_words))
@@ -108,7 +108,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(toxic_rows).unionByName(
         known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(clean_rows))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(stored(chosen)), "id")
-    return stored(texts.groupBy("id", "label").agg(F.min("text").alias("text")).dropDuplicates(["text", "label"]).withColumn(
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text")).groupBy("text", "label").agg(F.min("id").alias("id"))
+    return stored(texts.withColumn(
         "part", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(4)).cast("int")))
 
 
@@ -149,7 +150,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_D
     fitted = append_columns(
         rows.where("part = 0"), ["text"], "weight double, n_words bigint",
         lambda: lambda texts: tuple(zip(*[lexicon.features(t)[:2] for t in texts], strict=True)) or ([], []), keep=["label"])
-    lexicon.fit = _fitted([(r["label"], r["weight"], r["n_words"]) for r in fitted.collect()], lexicon.fit)
+    lexicon.fit = _fitted(sorted((r["label"], r["weight"], r["n_words"]) for r in fitted.collect()), lexicon.fit)
     return lexicon
 
 

@@ -277,3 +277,9 @@ def test_tree_covers_the_text_and_locates_edits():
 def test_fingerprint_column(spark):
     got = merkle.fingerprint_documents(table(spark, ODD)).collect()
     assert all(r["fingerprint"] == merkle.fingerprint(r["text"] or "") for r in got)
+
+
+def test_learning_does_not_depend_on_partitions(spark):
+    docs, labels = toxic_tables(spark, 600)
+    one, two = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(7).sortWithinPartitions("text"), labels.repartition(5))
+    assert (one.terms, one.fit) == (two.terms, two.fit)
