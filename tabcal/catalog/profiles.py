@@ -347,9 +347,9 @@ def _(spark, sf):
     return A.crossing_groups(S.feature_hash_group(split_lines(spark, sf), HASHED), key="feature_group", split="split")
 
 
-@query("alignment_audit_j5", LINES + """, k AS (SELECT kind, discount, l_quantity, amount, count(*) c FROM lines WHERE amount IS NOT NULL GROUP BY 1, 2, 3, 4)
+@query("alignment_audit_j5", LINES + """, k AS (SELECT kind, discount, l_quantity, amount, count(*) c, min(row_id) AS id FROM lines WHERE amount IS NOT NULL GROUP BY 1, 2, 3, 4)
  SELECT (SELECT count(*) FROM lines) AS source_rows, (SELECT count(*) FROM lines WHERE amount IS NULL) AS missing_target_rows_removed, 0::BIGINT AS missing_groups,
- count(*) AS modeling_rows, sum(c - 1)::BIGINT AS exact_duplicate_rows_removed, 4::BIGINT AS modeling_columns, 0::BIGINT AS metadata_columns_in_predictors, true AS row_ids_unique FROM k""")
+ count(*) AS modeling_rows, sum(c - 1)::BIGINT AS exact_duplicate_rows_removed, 4::BIGINT AS modeling_columns, 0::BIGINT AS metadata_columns_in_predictors, count(DISTINCT id) = count(*) AS row_ids_unique FROM k""")
 def _(spark, sf):
     return A.alignment_audit(lines(spark, sf), row_id="row_id", target="amount", group="l_suppkey",
                              predictors=["kind", "discount", "l_quantity"], lineage=["l_suppkey", "row_id"])
