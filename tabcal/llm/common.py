@@ -129,18 +129,18 @@ def _values(column) -> list:
     return [values[a:b] for a, b in zip(at, at[1:])]
 
 
-def append_columns(df: DataFrame, inputs: list[str], outputs: str, start, keep: list[str] | None = None) -> DataFrame:
+def append_columns(df: DataFrame, inputs: list[str], outputs: str, start, keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """df's columns `keep` (default all) and the columns of the DDL string `outputs`, made by a Python function in each task.
     A column of df that is named like an output gives way to it.
 
     `start()` runs once per task and returns a function from lists of input values to lists of output values, one
-    list per column; it is called on slices of about SLICE_BYTES, so memory does not follow the batch size.
+    list per column; it is called on slices of about slice_bytes, so memory does not follow the batch size.
     """
     fields = T.StructType.fromDDL(outputs).fields
     kept = others(df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]), *[f.name for f in fields])
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *[F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)])
     inner = T.StructType([T.StructField(f"k{i}", source.schema[i].dataType) for i in range(len(kept))] + [T.StructField(f"o{i}", f.dataType) for i, f in enumerate(fields)])
-    n_kept, slice_bytes = len(kept), SLICE_BYTES
+    n_kept = len(kept)
 
     def run(batches):
         import pyarrow as pa

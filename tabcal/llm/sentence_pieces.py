@@ -13,7 +13,9 @@ from tabcal.llm.common import append_columns, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Encoded words that a worker remembers; beyond it the memory starts anew (results stay the same).
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Bytes of text whose distinct words are walked at once: more texts share more prefixes.
+WALKED_BYTES = 4 << 20
 _SHIFT = 22  # a pair of piece numbers as one integer; characters without a piece are numbered after all pieces
 _NONE = (1 << _SHIFT) - 1
 
@@ -246,9 +248,11 @@ def _pieces(model: bytes, kind: str) -> Pieces:
 
 def encode_pieces(
     docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, ids_col: str = "ids", count_col: str = "n_pieces",
-    model: str = MODEL, kind: str = "bpe",
+    model: str = MODEL, kind: str = "bpe", digests: bool = False,
 ) -> DataFrame:
     """docs (or its columns `keep`) with the piece ids of each text, equal to the model's own encoding, and their number.
+    With `digests` also ids_sha256 (of the ids, 32-bit little-endian), decoded_sha256 and round_trip (whether the ids' decoded
+    text is the text), from the ids of each row.
 
     Null or empty text: no ids. Each slice of rows has its distinct marked words encoded once, in one walk over their
     trie; texts are then put together from their words. Rows are independent; nothing is shuffled. `model` is a path on
@@ -267,11 +271,19 @@ def encode_pieces(
             counts = np.array([len(x) // 4 for x in flat], dtype=np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
-            return pa.ListArray.from_arrays(pa.array(offsets), values), counts.tolist()
+            out = (pa.ListArray.from_arrays(pa.array(offsets), values), counts.tolist())
+            if not digests:
+                return out
+            rows = [np.frombuffer(x, dtype=np.int32) for x in flat]
+            decoded = [coder.decode(ids) for ids in rows]
+            return (
+                *out, [hashlib.sha256(ids.astype("<i4", copy=False).tobytes()).hexdigest() for ids in rows],
+                [hashlib.sha256(d.encode()).hexdigest() for d in decoded], [d == (t or "") for d, t in zip(decoded, texts, strict=True)])
 
         return call
 
-    return append_columns(docs, [text_col], f"{ids_col} array<int>, {count_col} bigint", start, keep)
+    made = f"{ids_col} array<int>, {count_col} bigint" + ", ids_sha256 string, decoded_sha256 string, round_trip boolean" * digests
+    return append_columns(docs, [text_col], made, start, keep, WALKED_BYTES)
 
 
 def decode_pieces(encoded: DataFrame, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
@@ -292,27 +304,9 @@ def _shared(df: DataFrame, path: str, kind: str):
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids, and digests of the ids (32-bit, little-endian) and of the decoded text, and whether that is the text."""
+    """doc_id, n_pieces, ids, and digests of the ids and of the decoded text, and whether that is the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_pieces(docs)
-    pieces = _shared(docs, MODEL, "bpe")
-
-    def start():
-        import numpy as np
-
-        coder = pieces()
-
-        def call(texts, ids):
-            decoded = [coder.decode(i) for i in ids]
-            return (
-                [hashlib.sha256(np.asarray(i, dtype="<i4").tobytes()).hexdigest() for i in ids],
-                [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
-                [d == (t or "") for d, t in zip(decoded, texts, strict=True)],
-            )
-
-        return call
-
-    return append_columns(encoded, ["text", "ids"], "ids_sha256 string, decoded_sha256 string, round_trip boolean", start, keep=["doc_id", "n_pieces", "ids"])
+    return encode_pieces(docs, keep=["doc_id"], digests=True)
 
 
 QUERIES = {"op8_sentencepiece": (op8_sentencepiece, None)}
