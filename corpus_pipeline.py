@@ -15,6 +15,9 @@ from tabcal.llm.sentence_pieces import encode_pieces
 from tabcal.llm.source_mixing import letter_share, mix_sources, word_count
 from tabcal.llm.toxicity import learn, score_toxicity
 
+#: Least share in percent of equal shingles (Jaccard) at which two documents are near copies.
+NEAR_PERCENT = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. Labels of rows whose crc32(doc_id) is divisible by 5 are not learned from."""
@@ -30,8 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    return drop_near_duplicates(docs)
+    """Of each group of near copies the smallest doc_id stays. Near copies share 80% (NEAR_PERCENT) of their shingles of five
+    words; op5 has its own 85 by its contract."""
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tabcal.llm import common, embedding_dedup, minhash_forest
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -99,6 +100,27 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted({r["doc_id"] for r in left.collect()}) == ids and keep
 
 
+def test_pipeline_stage_links_from_80_percent_on(spark):
+    """Edits far apart cost five shingles each: of 96, two edits leave 86 of 106 (0.81) and three 81 of 111 (0.73)."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(LETTERS) for _ in range(7))
+    rows = []
+    for group in range(12):
+        words = [word() for _ in range(100)]
+        for edits in ((), (20, 60), (20, 40, 60), (20, 60, 70, 90), (10,)):
+            rows.append((len(rows), " ".join(word() if k in edits else w for k, w in enumerate(words))))
+    rows = [(100 - i, t) for i, t in rows] + [(200, rows[1][1]), (None, "alone text")]
+    sets = [shingles(t) for _, t in rows]
+    links = {p: [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j])] for p in (80, 85)}
+    assert len(links[80]) > len(links[85])
+    top, low = components(range(len(rows)), links[80]), {}
+    for i, (ident, _) in enumerate(rows):
+        low[top[i]] = min(low.get(top[i], math.inf), math.inf if ident is None else ident)
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = [r["doc_id"] for r in left.collect()]
+    assert sorted(got, key=repr) == sorted((r[0] for i, r in enumerate(rows) if r[0] is None or r[0] == low[top[i]]), key=repr)
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash_forest.near_dedup(empty).count() == 0 and minhash_forest.drop_near_duplicates(empty).count() == 0
