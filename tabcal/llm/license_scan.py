@@ -141,9 +141,7 @@ class Scanner:
         def close(number):
             start, end, covered, _ = chains.pop(number)
             label, template = self.templates[number]
-            share = covered / len(template)
-            if share >= self.least_cover:
-                spans.append((label, start, end, share))
+            spans.append((label, start, end, covered / len(template)))
 
         for end, length, state in matches:
             best: dict[int, tuple[bool, int]] = {}  # per template: the first occurrence behind its chain, else any
@@ -174,8 +172,8 @@ def scan_licenses(
 
     A word is looked up in one automaton of all templates and phrases, which gives the longest match that ends there;
     phrases are read off it, matches of at least least_match words are chained (gaps of up to most_gap words) into spans,
-    and a template covered to least_cover gives its label. score is the largest covered share, halfway to 1 if a
-    phrase was found. Null text is empty: no words, no labels, score 0. Rows are independent; nothing is shuffled.
+    each with the share of its template that it covers; from least_cover on it gives the label. score is the largest covered
+    share, also below least_cover, and halfway to 1 if a phrase was found. Null text is empty: no words, no labels, score 0. Rows are independent; nothing is shuffled.
     """
     def start():
         scanner = Scanner(templates, phrases, least_match, most_gap, least_cover)
@@ -188,7 +186,7 @@ def scan_licenses(
                 base_labels = {scanner.phrases[p][0] for _, p in base}
                 cover = min(1.0, max((s[3] for s in spans), default=0.0))
                 row = (n, len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(base_labels)),
-                       ",".join(sorted(base_labels | {s[0] for s in spans})), 1 - (1 - cover) / 2 if base else cover,
+                       ",".join(sorted(base_labels | {s[0] for s in spans if s[3] >= scanner.least_cover})), 1 - (1 - cover) / 2 if base else cover,
                        [{"label": a, "start": b, "end": c, "covered": d} for a, b, c, d in spans])
                 for column, value in zip(out, row, strict=True):
                     column.append(value)

@@ -74,6 +74,18 @@ def test_changed_templates_are_found_and_placed(spark):
     assert out[1]["labels"] == out[2]["labels"] == "" and out[2]["score"] == 0
 
 
+def test_cut_templates_have_a_score_without_a_label(spark):
+    body = dict((label, license_scan.words(text)) for label, text in reversed(license_scan.TEMPLATES))
+    cut = {k: b" ".join(body[k][:len(body[k]) * part // 100]).decode() for k, part in (("mit", 50), ("bsd", 59))}
+    out = {r["doc_id"]: r for r in license_scan.scan_licenses(table(spark, [cut["mit"], "of bees " + cut["bsd"], "bees and flowers"])).collect()}
+    for i, label in enumerate(("mit", "bsd")):
+        share = len(body[label]) * (50, 59)[i] // 100 / len(body[label])
+        assert out[i]["labels"] == out[i]["base_labels"] == "" and out[i]["n_base"] == 0
+        assert abs(out[i]["score"] - share) < 1e-9
+        assert [(s["start"], s["end"]) for s in out[i]["license_spans"] if s["label"] == label] == [(2 * i, out[i]["n_words"])]
+    assert out[2]["score"] == 0 and out[2]["license_spans"] == []
+
+
 # Toxicity
 
 def test_folding():
