@@ -26,9 +26,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 SEED_TERMS = ("idiot", "moron", "scum", "stupid", "worthless", "pathetic", "loser")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "disgusting smell")
 
-#: Labelled rows used for learning, per class; terms in the lexicon; least documents, least share of the toxic documents and least
-#: log odds of a term.
-TOXIC_ROWS, CLEAN_ROWS, TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 6_000, 12_000, 2_000, 3, 0.01, 2.5
+#: Labelled rows used for learning, per class; terms in the lexicon; least documents and least log odds of a term.
+TOXIC_ROWS, CLEAN_ROWS, TERMS, LEAST_DOCS, LEAST_ODDS = 6_000, 12_000, 2_000, 3, 2.5
+#: Least share of the toxic documents for common terms; of the toxic documents without any, rarer terms are learned whose log odds lie
+#: so many standard deviations above 0.
+LEAST_SHARE, DEVIATIONS = 0.01, 2.0
 PREFIXES = (4, 5, 6)
 
 
@@ -118,9 +120,11 @@ def _terms(folded: str) -> set[str]:
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) >= n}
 
 
-def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_odds: float = LEAST_ODDS, exceptions=EXCEPTIONS) -> Lexicon:
+def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_odds: float = LEAST_ODDS, deviations: float = DEVIATIONS, exceptions=EXCEPTIONS) -> Lexicon:
     """Terms are words and beginnings of words whose log odds (toxic against clean documents that hold them) are high, from three
-    quarters of the rows; the score is fitted on the other quarter. Both parts are bounded by training_rows."""
+    quarters of the rows; the score is fitted on the other quarter. Both parts are bounded by training_rows. Words that only go along with
+    common terms are no terms: a term has a share of the toxic documents, or is found in toxic documents that hold no such term, in
+    numbers that don't grow with the rows."""
     def count(batches):
         import pyarrow as pa
 
@@ -139,14 +143,27 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_D
     learn = rows.where("part > 0").repartition(24, "id")
     n = {r["label"]: r["n"] for r in learn.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    counts = learn.select("text", "label").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    found = counts.withColumn("odds", odds).where((F.col("toxic") >= max(least_docs, least_share * n_toxic)) & (F.col("odds") >= least_odds)).orderBy(
-        F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(5 * terms).collect()
-    lexicon = Lexicon(_pruned({r["term"]: (r["odds"], r["toxic"]) for r in found}, terms), tuple(exceptions))
+
+    def found(some, least, deviations, limit):
+        counts = some.select("text", "label").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(
+            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+        error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+        rows = counts.withColumn("odds", odds).where((F.col("toxic") >= least) & (F.col("odds") >= F.greatest(F.lit(least_odds), deviations * error))).orderBy(
+            F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(5 * limit).collect()
+        return _pruned({r["term"]: (r["odds"], r["toxic"]) for r in rows}, limit)
+
+    lexicon = Lexicon(found(learn, max(least_docs, least_share * n_toxic), 0.0, terms), tuple(exceptions))
     for seed in SEED_TERMS:
         lexicon.terms.setdefault(f" {seed} ", 3.0)
+    common = Lexicon(dict(lexicon.terms), lexicon.exceptions)
+    alone = stored(append_columns(
+        learn.where("label = 1"), ["text"], "n_matches bigint", lambda: lambda texts: ([common.features(t)[2] for t in texts],),
+        keep=["text", "label"]).where("n_matches = 0").drop("n_matches"))
+    room = terms - len(lexicon.terms)
+    if room > 0 and alone.count() >= least_docs:
+        rare = found(alone.unionByName(learn.where("label = 0").select("text", "label")), least_docs, deviations, room)
+        lexicon.terms.update({t: w for t, w in rare.items() if t not in lexicon.terms})
     fitted = append_columns(
         rows.where("part = 0"), ["text"], "weight double, n_words bigint",
         lambda: lambda texts: tuple(zip(*[lexicon.features(t)[:2] for t in texts], strict=True)) or ([], []), keep=["label"])

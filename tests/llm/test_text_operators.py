@@ -129,6 +129,20 @@ def test_learned_lexicon_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
 
 
+def test_rare_terms_are_learned_from_many_rows(spark):
+    """Each of 160 words is in 0.6% of the toxic texts, which hold no other sign."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(n))
+    plain, rare = [word(6) for _ in range(500)], [word(7) for _ in range(160)]
+    texts = [" ".join(rng.choices(plain, k=20) + [rng.choice(rare)] * (i % 2)) for i in range(8000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8000)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, toxicity.learn(docs, labels)).where(toxicity.held_out(F.col("doc_id"))).collect()
+    for truth in (0, 1):
+        rows = [r for r in out if r["doc_id"] % 2 == truth]
+        assert len(rows) > 500 and sum(r["predicted"] == truth for r in rows) / len(rows) > 0.9
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, labels = toxic_tables(spark, 20)
     lexicon = toxicity.learn(docs, labels.limit(0))
