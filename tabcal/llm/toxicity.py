@@ -21,6 +21,7 @@ SUBSTITUTES = str.maketrans("0134578@$!", "oieastbasi")
 # Zero-width characters and the soft hyphen.
 INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SWAPPED = re.compile(r"[0134578@$!]+(?=[^\W\d_])")
+_ENDING = re.compile(r"(?<=[^\W\d_])[0134578@$!]*[0134578@$]")
 _WORD = re.compile(r"[^\W\d_]+")
 # Terms that are in the lexicon whatever the labels say, and phrases in which a term means no harm.
 SEED_TERMS = ("idiot", "moron", "scum", "stupid", "worthless", "pathetic", "loser")
@@ -34,13 +35,21 @@ LEAST_SHARE, DEVIATIONS = 0.01, 2.0
 PREFIXES = (4, 5, 6)
 
 
-def fold(text: str | None) -> str:
-    """Lower case, look-alike letters and digits written for letters made Latin, each word between single blanks."""
+def readings(text: str | None) -> list[str]:
+    """Lower case, look-alike letters and digits written for letters made Latin, each word between single blanks. Digits and signs at
+    the end of a word are letters ("1d107") in the first reading and none of the word ("idiot1") in the second, if there are any."""
     text = (text or "").lower()
     if not text.isascii():
         text = INVISIBLE.sub("", text).translate(HOMOGLYPHS)
-    text = _SWAPPED.sub(lambda m: m[0].translate(SUBSTITUTES), text)
-    return " ".join(["", *_WORD.findall(text), ""])
+    swap = lambda m: m[0].translate(SUBSTITUTES)
+    text = _SWAPPED.sub(swap, text)
+    ended = _ENDING.sub(swap, text)
+    return [" ".join(["", *_WORD.findall(t), ""]) for t in ([text] if ended == text else [ended, text])]
+
+
+def fold(text: str | None) -> str:
+    """The first reading."""
+    return readings(text)[0]
 
 
 @dataclass
@@ -66,32 +75,33 @@ class Lexicon:
 
             a = ahocorasick.Automaton()
             for term, weight in self.terms.items():
-                a.add_word(term, (len(term), weight))
+                a.add_word(term, (len(term), weight, term.count(" ")))
             for phrase in self.exceptions:
                 term = fold(phrase)
-                a.add_word(term, (len(term), None))
+                a.add_word(term, (len(term), None, term.count(" ")))
             a.make_automaton()
             self._automaton = a
         return self._automaton
 
     def features(self, text: str | None) -> tuple[float, float, int]:
-        """Matched weight, words, matches. Of terms that begin at one place the heaviest counts, a word found n times counts
-        1 + log n times; a match within an exception phrase doesn't count."""
-        folded = fold(text)
+        """Matched weight, words, matches. Of terms that begin at one word, in any reading, the heaviest counts, a word found n times
+        counts 1 + log n times; a match within an exception phrase doesn't count."""
+        texts = readings(text)
         found: dict[int, tuple[float, str]] = {}
-        spared: list[tuple[int, int]] = []
-        if len(self.terms) + len(self.exceptions):
-            for end, (size, weight) in self.automaton().iter(folded):
-                start = end + 1 - size
+        spared: set[int] = set()
+        for folded in texts if len(self.terms) + len(self.exceptions) else []:
+            blanks = at = 0
+            for end, (size, weight, own) in self.automaton().iter(folded):
+                blanks, at = blanks + folded.count(" ", at, end + 1), end + 1
+                word, start = blanks - own, end + 1 - size
                 if weight is None:
-                    spared.append((start, end))
-                elif start not in found or weight > found[start][0]:
-                    found[start] = (weight, folded[start + 1:folded.index(" ", start + 1)])
-        for a, b in spared:
-            for start in [s for s in range(a, b) if s in found]:
-                del found[start]
+                    spared.update(range(word, word + own - 1))
+                elif word not in found or weight > found[word][0]:
+                    found[word] = (weight, folded[start + 1:folded.index(" ", start + 1)])
+        for word in spared & found.keys():
+            del found[word]
         times = Counter(found.values())
-        return math.fsum(w * (1 + math.log(n)) for (w, _), n in times.items()), folded.count(" ") - 1, len(found)
+        return math.fsum(w * (1 + math.log(n)) for (w, _), n in times.items()), texts[0].count(" ") - 1, len(found)
 
     def score(self, weight: float, n_words: int) -> float:
         x = self.fit[0] + self.fit[1] * math.log1p(weight) + self.fit[2] * math.log1p(100 * weight / max(1, n_words))
@@ -115,8 +125,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         "part", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(4)).cast("int")))
 
 
-def _terms(folded: str) -> set[str]:
-    words = set(folded.split())
+def _terms(texts: list[str]) -> set[str]:
+    words = {w for folded in texts for w in folded.split()}
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) >= n}
 
 
@@ -133,7 +143,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, least_docs: int = LEAST_D
                 part, toxic, clean = batch.slice(at, 500), {}, {}
                 for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     into = toxic if label else clean
-                    for t in _terms(fold(text)):
+                    for t in _terms(readings(text)):
                         into[t] = into.get(t, 0) + 1
                 names = list(toxic.keys() | clean.keys())
                 yield pa.RecordBatch.from_arrays(

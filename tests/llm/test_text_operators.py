@@ -1,6 +1,7 @@
 """License scan, toxicity, pieces, chats and fingerprints against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -94,6 +95,15 @@ def test_folding():
     assert toxicity.fold("in 2013 $$$ stu​pid") == " in stupid "
 
 
+def test_folding_at_the_end_of_words():
+    assert [toxicity.fold(t) for t in ("1d107", "w0rthl355", "a55", "a$$", "A5!", "5 $ x")] == [" idiot ", " worthless ", " ass ", " ass ", " as ", " x "]
+    assert toxicity.readings("in 2013, idiot1 go") == [" in idioti go ", " in idiot go "]
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " ass ": 2.0, " trash ": 1.0})
+    assert lexicon.features("you 1d107 and idiot1!")[1:] == (4, 2)
+    assert lexicon.features("a55 a$$ a5")[::2] == (2.0 * (1 + math.log(2)), 2)
+    assert lexicon.features("trash can5, trash1 can, trash can")[2] == 0
+
+
 def test_lexicon_matches_exceptions_and_nested_terms():
     lexicon = toxicity.Lexicon({" trash ": 2.0, " tras": 1.0, " idiot ": 3.0})
     assert lexicon.features("trash can and trash")[:2] == (2.0, 4)
