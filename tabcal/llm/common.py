@@ -129,12 +129,46 @@ def _values(column) -> list:
     return [values[a:b] for a, b in zip(at, at[1:])]
 
 
+def _slices(batch, n_kept: int, slice_bytes: int):
+    """(first row, rows) of slices of a batch whose input values take at most slice_bytes, or of one row: cut by the rows' own sizes."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns[n_kept:]:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64)
+        else:
+            sizes += np.array([column.slice(i, 1).nbytes for i in range(len(column))], dtype=np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        after = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + slice_bytes, side="right")))
+        yield at, after - at
+        at = after
+
+
+def give_back() -> None:
+    """Hand memory that is free in this Python worker back to the system: workers are used again, and idle ones keep what they have."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def append_columns(df: DataFrame, inputs: list[str], outputs: str, start, keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """df's columns `keep` (default all) and the columns of the DDL string `outputs`, made by a Python function in each task.
     A column of df that is named like an output gives way to it.
 
     `start()` runs once per task and returns a function from lists of input values to lists of output values, one
-    list per column; it is called on slices of about slice_bytes, so memory does not follow the batch size.
+    list per column; it is called on slices of at most slice_bytes (or one row), so memory does not follow the batch size. What the
+    function's `close` attribute names, if it has one, is called at the end of the task.
     """
     fields = T.StructType.fromDDL(outputs).fields
     kept = others(df.select(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]), *[f.name for f in fields])
@@ -148,13 +182,18 @@ def append_columns(df: DataFrame, inputs: list[str], outputs: str, start, keep:
 
         types = [to_arrow_type(f.dataType) for f in fields]
         call = start()
-        for batch in batches:
-            rows = max(1, int(batch.num_rows * slice_bytes / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                made = call(*[_values(part.column(i)) for i in range(n_kept, part.num_columns)])
-                yield pa.RecordBatch.from_arrays(
-                    part.columns[:n_kept] + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)], inner.names)
+        try:
+            for batch in batches:
+                for at, rows in _slices(batch, n_kept, slice_bytes):
+                    part = batch.slice(at, rows)
+                    made = call(*[_values(part.column(i)) for i in range(n_kept, part.num_columns)])
+                    yield pa.RecordBatch.from_arrays(
+                        part.columns[:n_kept] + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)], inner.names)
+                    del part, made
+        finally:
+            getattr(call, "close", int)()
+            del call
+            give_back()
 
     done = source.mapInArrow(run, inner)
     return done.toDF(*kept, *[f.name for f in fields])

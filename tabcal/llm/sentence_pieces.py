@@ -12,10 +12,12 @@ from tabcal.llm.common import append_columns, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Encoded words that a worker remembers; beyond it the memory starts anew (results stay the same).
-REMEMBERED = 400_000
+#: Bytes of encoded words, and of tried pairs of pieces, that a task remembers; beyond it a memory starts anew (results stay the same).
+REMEMBERED_BYTES = 48 << 20
+#: Bytes that a remembered word takes beside its characters and ids, and that a pair takes.
+WORD_BYTES, PAIR_BYTES = 240, 130
 #: Bytes of text whose distinct words are walked at once: more texts share more prefixes.
-WALKED_BYTES = 4 << 20
+WALKED_BYTES = 2 << 20
 _SHIFT = 22  # a pair of piece numbers as one integer; characters without a piece are numbered after all pieces
 _NONE = (1 << _SHIFT) - 1
 
@@ -43,6 +45,8 @@ class Pieces:
         # Characters that occur in no longer piece are words of their own: nothing merges across them.
         self.word = re.compile(f"{MARK}*[{joined}]+|{MARK}+|." if inside else f"{MARK}+|.", re.S)
         self.known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._known_bytes = 0
         self._apart: dict[int, bool] = {}
         self.next: list[dict[str, int]] = []
         table = list(names)
@@ -107,7 +111,7 @@ class Pieces:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether merging leaves two neighbouring pieces as they are."""
-        if len(self._apart) > REMEMBERED:
+        if len(self._apart) * PAIR_BYTES > REMEMBERED_BYTES:
             self._apart.clear()
         a, b = self._name(left), self._name(right)
         found = self._apart[left << _SHIFT | right] = self.merged(a + b) == ([a, b] if a else [b])
@@ -199,21 +203,31 @@ class Pieces:
         longer piece holds."""
         return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def forget(self) -> None:
+        """Give up the words and pairs remembered."""
+        self.known, self._older, self._known_bytes = {}, {}, 0
+        self._apart.clear()
+
+    def _remember(self, words: set[str]) -> None:
+        """Have all words in `known`. Words that were not asked for while it was filled to its bound twice are forgotten."""
+        if self._known_bytes > REMEMBERED_BYTES // 2:
+            self.known, self._older, self._known_bytes = {}, self.known, 0
+        older = self._older
+        words = words - self.known.keys()
+        coded = {w: older[w] for w in words & older.keys()}
+        coded |= self.encode_words(words - coded.keys())
+        self._known_bytes += sum([WORD_BYTES + 4 * len(w) + len(ids) for w, ids in coded.items()])
+        self.known |= coded
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text. Texts with single spaces are split at these; a part stands for its mark and itself."""
-        known = self.known
         plain = [t.split(" ") if t and MARK not in t and "  " not in t and t[0] != " " else None for t in texts]
         odd = [self.mark(t or "") if p is None else None for t, p in zip(texts, plain, strict=True)]
-        parts = set().union(*[p for p in plain if p])
-        new = parts - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = parts
-        marked = {w: self.word.findall(MARK + w) for w in new}
-        coded = self.encode_words({x for m in marked.values() for x in m} | {x for m in odd if m for x in m})
-        for w, m in marked.items():
-            known[w] = coded[m[0]] if len(m) == 1 else b"".join([coded[x] for x in m])
-        return [b"".join(map(known.__getitem__, p) if p else map(coded.__getitem__, o)) for p, o in zip(plain, odd, strict=True)]
+        parts = {w: self.word.findall(MARK + w) for w in set().union(*[p for p in plain if p])}
+        self._remember(set().union(*parts.values(), *[m for m in odd if m]))
+        known = self.known
+        coded = {w: known[m[0]] if len(m) == 1 else b"".join([known[x] for x in m]) for w, m in parts.items()}
+        return [b"".join(map(coded.__getitem__, p) if p else map(known.__getitem__, o)) for p, o in zip(plain, odd, strict=True)]
 
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, runs of byte pieces read as UTF-8 (what is not valid becomes U+FFFD), marks to spaces,
@@ -280,6 +294,7 @@ def encode_pieces(
                 *out, [hashlib.sha256(ids.astype("<i4", copy=False).tobytes()).hexdigest() for ids in rows],
                 [hashlib.sha256(d.encode()).hexdigest() for d in decoded], [d == (t or "") for d, t in zip(decoded, texts, strict=True)])
 
+        call.close = coder.forget
         return call
 
     made = f"{ids_col} array<int>, {count_col} bigint" + ", ids_sha256 string, decoded_sha256 string, round_trip boolean" * digests

@@ -53,7 +53,7 @@ def test_stages_take_effect_and_keep_the_columns(spark):
         if name == "toxicity":
             assert after == before - toxic
         elif name == "minhash_near_dedup":
-            assert after == {r["doc_id"] for r in near_dedup(docs).where("kept").collect()}
+            assert after == {r["doc_id"] for r in near_dedup(docs, percent=corpus_pipeline.NEAR_PERCENT).where("kept").collect()}
         elif name == "line_dedup":
             assert all(r["n_chars"] == len(r["text"]) for r in rows)
         elif name == "source_mixing":
