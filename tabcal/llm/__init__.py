@@ -7,7 +7,7 @@ import importlib
 
 MODULES = (
     "line_dedup", "license_scan", "source_mixing", "toxicity", "minhash_forest", "embedding_dedup", "sharding", "sentence_pieces",
-    "chat_format", "merkle",
+    "chat_format", "merkle", "quality", "hard_negatives", "token_alignment",
 )
 
 
