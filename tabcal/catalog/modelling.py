@@ -15,7 +15,7 @@ from tabcal.catalog.evaluation import INTERVAL_COLUMNS, INTERVAL_SQL, KEYS
 from tabcal.catalog.profiles import group_split_sql
 from tabcal.functions.features import safe_ratio
 from tabcal.operators.columns import repair_types
-from tabcal.operators import bootstrap as B, encode as E, evaluate as V, linear as L, models as M, neighbors as N, splits as S
+from tabcal.operators import bootstrap as B, encode as E, evaluate as V, grouped as G, linear as L, models as M, neighbors as N, splits as S
 from tabcal.plans import calibration as CP, clean_split as CS, compare as TC
 from tabcal.session import durable
 from tabcal.sources import readers as RD, writers as WR
@@ -277,6 +277,58 @@ def _(spark, sf):
     return rounded(V.regression_metrics(p, ["model", "l_suppkey"], extra=V.fold_extras()).drop("target_mean", "target_min", "target_max"))
 
 
+STUMP_FEATURES, STUMP_BINS = ["l_quantity", "l_extendedprice"], 16
+
+
+def stump_sql(source, least):
+    """st: per held-out supplier the depth-1 tree on all other suppliers' rows of ``source``: feature f, edge e, the means lo and hi."""
+    probs = "[" + ", ".join(f"{i / STUMP_BINS}::DOUBLE" for i in range(1, STUMP_BINS)) + "]"
+    edges = " UNION ALL ".join(f"SELECT {i} AS f, unnest(list_distinct(quantile_cont({c}, {probs}))) AS e FROM {source}" for i, c in enumerate(STUMP_FEATURES))
+    feature = "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(STUMP_FEATURES)) + " END"
+    return f""", ce AS (SELECT l_suppkey, l_quantity, l_extendedprice, y - (SELECT avg(y) FROM {source}) AS c FROM {source}), ed AS MATERIALIZED ({edges}),
+ gl AS MATERIALIZED (SELECT l_suppkey, f, e, count(*) FILTER ({feature} <= e)::DOUBLE AS n, coalesce(sum(c) FILTER ({feature} <= e), 0) AS s FROM ce, ed GROUP BY ALL),
+ ga AS (SELECT l_suppkey, count(*)::DOUBLE AS n, sum(c) AS s FROM ce GROUP BY 1),
+ tl AS (SELECT f, e, sum(n) AS n, sum(s) AS s FROM gl GROUP BY ALL), tt AS (SELECT sum(n) AS n, sum(s) AS s FROM ga),
+ op AS (SELECT ga.l_suppkey, gl.f, gl.e, tl.n - gl.n AS nl, tl.s - gl.s AS sl, tt.n - ga.n AS n, tt.s - ga.s AS s FROM ga JOIN gl USING (l_suppkey) JOIN tl ON tl.f = gl.f AND tl.e = gl.e, tt WHERE ga.n >= {least}),
+ gn AS (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM op WHERE nl > 0 AND nl < n),
+ st AS MATERIALIZED (SELECT l_suppkey, f, e, sl / nl + (SELECT avg(y) FROM {source}) AS lo, (s - sl) / (n - nl) + (SELECT avg(y) FROM {source}) AS hi
+  FROM (SELECT *, max(gain) OVER (PARTITION BY l_suppkey) AS top FROM gn) WHERE gain >= top * (1 - 1e-9::DOUBLE)
+  QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY f, e) = 1)
+"""
+
+
+STUMP = "CASE WHEN (CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(STUMP_FEATURES)) + " END) <= e THEN lo ELSE hi END"
+
+
+@query("leave_group_out_tree_m16", Y_SQL + stump_sql("ty", 50) + f" SELECT l_suppkey, row_id, round({STUMP}, 5) AS prediction FROM ty JOIN st USING (l_suppkey)")
+def _(spark, sf):
+    out = G.leave_group_out_tree(table_of_models(spark, sf), "l_suppkey", STUMP_FEATURES, "y", minimum_rows=50, bins=STUMP_BINS)
+    return rounded(out.select("l_suppkey", "row_id", "prediction"), 5)
+
+
+@query("leave_group_out_deep_tree_m16")
+def _(spark, sf):
+    out = G.leave_group_out_tree(table_of_models(spark, sf), "l_suppkey", FEATURES, "y", depth=4, minimum_leaf=5, minimum_rows=50)
+    return rounded(out.select("l_suppkey", "row_id", "prediction"), 5)
+
+
+@query("leave_group_out_boosting_m16")
+def _(spark, sf):
+    """100 boosted stumps per held-out supplier over all features; pooled scores as in the reports of whole folds."""
+    out = G.leave_group_out_boosting(table_of_models(spark, sf), "l_suppkey", [*FEATURES, "l_extendedprice"], "y", rounds=100, minimum_rows=50)
+    p = V.prediction_table(out, row_id="row_id", actual="y", predicted="prediction", labels={"model": F.lit("boosted_stumps")}, carry=["l_suppkey"])
+    return rounded(V.regression_metrics(p, ["model", "l_suppkey"], extra=V.fold_extras()).drop("target_mean", "target_min", "target_max"))
+
+
+@query("leave_group_out_boosted_step_m16", Y_SQL + stump_sql("ty", 50) + f""" SELECT l_suppkey, round(sqrt(avg(pow(y - ({STUMP}), 2))), 6) AS RMSE, round(avg(abs(y - ({STUMP}))), 6) AS MAE, count(*) AS n_rows
+ FROM ty JOIN st USING (l_suppkey) GROUP BY 1""")
+def _(spark, sf):
+    """The first stump at full rate, from the counts of bin pairs: the depth-1 tree, by the other route."""
+    out = G.leave_group_out_boosting(table_of_models(spark, sf), "l_suppkey", STUMP_FEATURES, "y", rounds=1, rate=1.0, minimum_rows=50, bins=STUMP_BINS)
+    gap = F.col("y") - F.col("prediction")
+    return rounded(out.groupBy("l_suppkey").agg(F.sqrt(F.avg(gap * gap)).alias("RMSE"), F.avg(F.abs(gap)).alias("MAE"), F.count(F.lit(1)).alias("n_rows")))
+
+
 # ---- neighbours ----------------------------------------------------------------------------
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("double").alias("label"))
@@ -294,6 +346,15 @@ def near(spark, sf, metric="euclidean", order=2.0, k=5):
     return N.nearest(v, v, query_id="vec_id", train_id="vec_id", vector="embedding", value="label", k=k, metric=metric, order=order, exclude_self=True)
 
 
+@query("leave_group_out_knn_m16", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label::DOUBLE AS label, vec_id % 7 AS g FROM embeddings),
+ p AS (SELECT a.vec_id, a.g, b.label AS neighbor_value, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.g <> b.g),
+ nn AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) <= 5)
+SELECT vec_id, g, round(avg(neighbor_value), 8) AS prediction FROM nn GROUP BY ALL""")
+def _(spark, sf):
+    v = vectors(spark, sf).withColumn("g", F.col("vec_id") % 7)
+    return rounded(G.leave_group_out_knn(v, "g", "vec_id", "embedding", "label", k=5).select("vec_id", "g", "prediction"), 8)
+
+
 @query("nearest_neighbours_knn1", PAIRS_SQL.replace("$d", EUCLID) + "SELECT vec_id, rank::INTEGER AS rank, neighbor_id, neighbor_value, round(distance, 8) AS distance FROM nn")
 def _(spark, sf):
     return rounded(near(spark, sf), 8)
@@ -337,23 +398,26 @@ NET = {"alpha": 0.1, "l1_ratio": 0.5}
 
 def draws_sql(stream):
     """Position drawn by each row key k and repetition rep out of n residuals: the rule of bootstrap.drawn_positions."""
-    return f"(x3 * x3 % 2147483647 * n // 2147483647) AS pos FROM (SELECT *, (x1 * x1 % 2147483647 * 48271 + k % 2147483647 % 65536 + rep) % 2147483647 AS x3 FROM (SELECT *, (k % 2147483647 + rep * 40503 + {stream * 7919}) % 2147483647 AS x1"
+    p = "2147483647"
+    mixed = lambda x: f"({x} * {x} % {p} * ({x} * {x} % {p}) % {p} * {x} % {p})"
+    return f"""((hi * n + lo * n // {p}) // {p}) AS pos FROM (SELECT *, {mixed('z3')} AS lo FROM (SELECT *, (hi * 69621 + x2) % {p} AS z3 FROM (SELECT *, {mixed('x3')} AS hi
+ FROM (SELECT *, (x2 * 48271 + k // {p} * 16807 + rep * 69621 + {stream}) % {p} AS x3 FROM (SELECT *, {mixed('x1')} AS x2 FROM (SELECT *, (k % {p} + rep * 40503 + {stream * 7919}) % {p} AS x1"""
 
 
 def bootstrap_sql(train, scored, repetitions=300, alpha=0.1, l1=0.5):
     """One-feature elastic net on the rows of ``train``, refitted per repetition; pr holds all predictions of the rows of ``scored``."""
-    key = f"('0x' || substr(md5(row_id || '|{SEED}'), 1, 8))::BIGINT"
+    key = f"('0x' || substr(md5(row_id || '|{SEED}'), 1, 13))::BIGINT"
     soft = lambda c: f"sign({c}) * greatest(abs({c}) - {alpha * l1}::DOUBLE, 0) / {1 + alpha * (1 - l1)}::DOUBLE"
     return f""", bt AS (SELECT row_id, l_quantity AS q, y, {key} AS k, md5(row_id || '|{SEED}') AS h FROM {train}),
  bs AS (SELECT count(*)::BIGINT AS n, avg(q) AS mx, stddev_pop(q) AS sx, avg(y) AS my, covar_pop(q, y) / stddev_pop(q) AS c, var_pop(y) AS vy FROM bt),
  bf AS (SELECT *, {soft('c')} AS w FROM bs),
  br AS MATERIALIZED (SELECT k, n, (q - mx) / sx AS z, y - my - w * (q - mx) / sx AS e, row_number() OVER (ORDER BY h, row_id) - 1 AS pos FROM bt, bf),
  rp AS (SELECT unnest(range({repetitions}))::BIGINT AS rep),
- d0 AS (SELECT rep, z, {draws_sql(0)} FROM br, rp))),
+ d0 AS (SELECT rep, z, {draws_sql(0)} FROM br, rp))))))),
  rs AS (SELECT rep, sum(br.e) AS se, sum(d0.z * br.e) AS sx FROM d0 JOIN br ON br.pos = d0.pos GROUP BY rep),
  bm AS MATERIALIZED (SELECT rep, {soft('c')} AS w, b FROM (SELECT rep, bf.w + rs.sx / n AS c, my + se / n AS b FROM rs, bf)),
  so AS (SELECT row_id, {key} AS k, n, (l_quantity - mx) / sx AS z FROM {scored}, bf),
- d1 AS (SELECT row_id, rep, z, {draws_sql(1)} FROM so, rp))),
+ d1 AS (SELECT row_id, rep, z, {draws_sql(1)} FROM so, rp))))))),
  pr AS (SELECT d1.row_id, b + w * d1.z + e AS p FROM d1 JOIN br ON br.pos = d1.pos JOIN bm USING (rep))
 """
 
@@ -452,6 +516,17 @@ def _(spark, sf):
     return rounded(out.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("Covered").cast("double")).alias("coverage"), F.avg("IntervalWidth").alias("width")), 6, width=5)
 
 
+@query("held_out_tree_calibration_c16", Y_SQL.replace("ty AS (", "ta AS (", 1) + """, mk AS (SELECT *, l_suppkey % 7 = 0 AS cal FROM ta), ty AS (SELECT * FROM mk WHERE NOT cal)""" + stump_sql("ty", 5) + f""",
+ sc AS (SELECT st.l_suppkey, abs(y - ({STUMP})) AS s FROM mk, st WHERE cal),
+ q AS (SELECT l_suppkey, s AS q_hat FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY s) k, count(*) OVER (PARTITION BY l_suppkey) n FROM sc) WHERE k = least(n, ceil((n + 1)::DOUBLE * (1 - (1 - 0.9::DOUBLE))))::BIGINT)
+ SELECT l_suppkey, count(*) AS n_rows, round(avg((abs(y - ({STUMP})) <= q_hat)::INT), 6) AS coverage, round(avg(2 * q_hat), 5) AS width FROM ty JOIN st USING (l_suppkey) JOIN q USING (l_suppkey) GROUP BY 1""")
+def _(spark, sf):
+    d = table_of_models(spark, sf)
+    out = CP.held_out_conformal(d, row_id="row_id", group="l_suppkey", features=STUMP_FEATURES, target="y", kind="stumps", coverage=0.9, minimum_rows=5,
+                                calibration="l_suppkey % 7 = 0", rounds=1, rate=1.0, bins=STUMP_BINS)
+    return rounded(out.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("Covered").cast("double")).alias("coverage"), F.avg("IntervalWidth").alias("width")), 6, width=5)
+
+
 # ---- composed preprocessing ----------------------------------------------------------------
 PREPARED = ["row_id", "split", "fold", "y", "amount", "discount", "l_tax", "kind", "l_suppkey", "l_linenumber"]
 

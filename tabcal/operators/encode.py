@@ -168,14 +168,13 @@ def group_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str]) -> Da
 
 def target_encode(
     df: DataFrame, *, column: str, target: str, train: Column | str, fold: str, out: str, folds: int, cross_fit: bool = True,
-    keep: bool = False,
 ) -> DataFrame:
     """Empirical-Bayes target encoding, out of fold for training rows.
 
     The category mean is shrunk to the overall mean by n / (n + within variance / overall
     variance).  Only (category, fold) sums are shuffled; leaving a fold out is a subtraction.
-    ``cross_fit=False`` scores training rows with the all-train value as well.  ``keep=True``
-    stores the fitted category table, for use inside longer jobs.
+    ``cross_fit=False`` scores training rows with the all-train value as well.  The fitted
+    category table is written once.
     """
     label = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_GAP))
     rows = df.withColumn("_cat", label).withColumn("_train", condition(train))
@@ -191,8 +190,7 @@ def target_encode(
         F.sum("n").alias("_size"), F.array(*[triple(f) for f in range(folds)], everything).alias("_per")
     )
     overall = with_scalars(sums.agg(F.array(*[triple(f) for f in range(folds)], everything).alias("_tot")), centre)
-    if keep:
-        per_category, overall = durable(per_category), pin(overall)
+    overall = pin(overall)
     joined = with_scalars(attach(rows, per_category, ["_cat"], size_col="_size"), overall)
     slot = F.when(F.col("_train"), F.col(fold)).otherwise(F.lit(folds)) if cross_fit else F.lit(folds)
     cat = F.element_at(F.col("_per"), (slot + 1).cast("int"))

@@ -142,16 +142,20 @@ def distances(query, train, metric, order=2.0):
     return gaps ** (1.0 / power)
 
 
-def block_top_k(query_ids, query, train_ids, train, values, k, metric, order, exclude_self, chunk=512):
-    """(query id, distance, train id, value) of the k nearest in this block, per query."""
+def block_top_k(query_ids, query, train_ids, train, values, k, metric, order, exclude_self, chunk=512, groups=None):
+    """(query id, distance, train id, value) of the k nearest in this block, per query; with ``groups`` (of the queries, of the
+    training rows) a query's own group is left out."""
     out_q, out_d, out_t, out_v = [], [], [], []
     rank = np.lexsort((train_ids,))
     train_ids, train, values = train_ids[rank], train[rank], values[rank]
+    apart = None if groups is None else (groups[0], groups[1][rank])
     for at in range(0, len(query), chunk):
         ids = query_ids[at : at + chunk]
         d = distances(query[at : at + chunk], train, metric, order)
         if exclude_self:
             d[ids[:, None] == train_ids[None, :]] = np.inf
+        if apart is not None:
+            d[apart[0][at : at + chunk, None] == apart[1][None, :]] = np.inf
         take = min(k, d.shape[1])
         edge = np.partition(d, take - 1, axis=1)[:, take - 1]
         row, col = np.nonzero((d <= edge[:, None]) & np.isfinite(d))

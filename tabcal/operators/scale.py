@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tabcal.session import durable
+from tabcal.session import durable, written
 
 HOT_GROUPS = 256  # rows of the broadcast side; no other group can exceed 1/257 of the rows
+BROADCAST_ROWS = 100_000  # a table with one row per key is broadcast whole if it was counted and has at most this many
 SKETCH_ACCURACY = 10_000  # percentile_approx rank error is at most n / accuracy
 BRACKET = 4.0 / SKETCH_ACCURACY  # bracket half-width in rank share: sketch error with margin
 WHOLE_GROUP_ROWS = 20_000  # below this the bracket is the whole group
@@ -55,40 +56,51 @@ def attach(
     bounded: bool = False,
     count_rows: bool = False,
     hot_groups: int = HOT_GROUPS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Left-join one row per key onto ``df``; NULL is a key of its own.
 
-    ``bounded=True`` states that the number of keys is fixed by the schema (columns,
-    splits, methods), so the statistics are broadcast.  Otherwise the ``hot_groups``
-    largest groups by ``size_col`` are broadcast (a fixed number of rows): rows of these
-    groups are joined there and never shuffle, all others go through a shuffle join in which
-    no key has more than 1/(hot_groups+1) of the rows.  ``count_rows=True`` finds the group
-    sizes by one counting pass over ``df``.  With neither, no key may repeat much in ``df``.
+    ``bounded=True`` states that the number of keys is fixed by the schema (columns, splits, methods), so the statistics are broadcast.
+    With ``size_col`` (a column of group sizes) or ``count_rows=True`` (sizes are counted over ``df``) the statistics are written once
+    and counted.  Up to ``broadcast_rows`` of them are broadcast.  Otherwise the ``hot_groups`` largest groups are broadcast, and one
+    shuffle join serves the others, on the keys and a route: the hash of the keys, or of the whole row in a hot group, so that such rows go
+    along without a partner and are dealt over all partitions; no other key has more than 1/(hot_groups+1) of the rows.  The result's plan holds ``df`` once, so calls can be
+    chained.  With neither, no key may repeat much in ``df``.
     """
     keys = list(keys)
     if not keys:
         return with_scalars(df, stats)
-    if count_rows and not bounded:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-        return attach(df, attach(stats, sizes, keys), keys, size_col="_size", hot_groups=hot_groups).drop("_size")
     values = [c for c in stats.columns if c not in keys]
     renamed = lambda p: [F.col(k).alias(f"{p}{i}") for i, k in enumerate(keys)]
     drop = lambda p: [f"{p}{i}" for i in range(len(keys))]
+    if not bounded and (size_col is not None or count_rows):
+        stats = written(stats)
+        bounded = stats.count() <= (BROADCAST_ROWS if broadcast_rows is None else broadcast_rows)
     if bounded:
         right = stats.select(*renamed("_bk"), *values)
         return df.join(F.broadcast(right), null_safe(keys, "_bk"), "left").drop(*drop("_bk"))
+    if count_rows:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+        right = sizes.select(*renamed("_sk"), "_size")
+        stats, size_col = written(stats.join(right, null_safe(keys, "_sk"), "left").drop(*drop("_sk"))), "_size"
     if size_col is None:
         right = stats.select(*renamed("_jk"), *values)
         return df.join(right, null_safe(keys, "_jk"), "left").drop(*drop("_jk"))
     hot = stats.orderBy(F.desc_nulls_last(size_col), *keys).limit(hot_groups)
     hot = hot.select(*renamed("_hk"), F.struct(*values).alias("_hot"))
-    cold = stats.select(*renamed("_ck"), F.struct(*values).alias("_cold"))
-    marked = df.join(F.broadcast(hot), null_safe(keys, "_hk"), "left")  # both branches share this broadcast
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    in_hot = marked.where(F.col("_hot").isNotNull())
-    in_cold = marked.where(F.col("_hot").isNull()).select(*columns).join(cold, null_safe(keys, "_ck"), "left")
-    picked = lambda c: [F.col(c).getField(v).alias(v) for v in values]
-    return in_cold.select(*columns, *picked("_cold")).unionByName(in_hot.select(*columns, *picked("_hot")))
+    cold = stats.select(*renamed("_ck"), F.xxhash64(*keys).alias("_cold_route"), F.struct(*values).alias("_cold"))
+    # A partition's rows have the same salts when a lost task runs again; equal rows of different partitions have different ones.
+    salted = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in _hashable(df)])
+    marked = df.join(F.broadcast(hot), null_safe(keys, "_hk"), "left").withColumn(
+        "_route", F.when(F.col("_hot").isNull(), F.xxhash64(*keys)).otherwise(salted))
+    joined = marked.join(cold, null_safe(keys, "_ck") & (F.col("_route") == F.col("_cold_route")), "left")
+    picked = [F.coalesce(F.col("_hot").getField(v), F.col("_cold").getField(v)).alias(v) for v in values]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *picked)
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns of plain types, whose hashes tell rows apart."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.BooleanType, T.BinaryType))]
 
 
 def usable(value: str) -> Column:

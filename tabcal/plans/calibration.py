@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabcal.operators import bootstrap as B, calibrate as K, linear as L
+from tabcal.operators import bootstrap as B, calibrate as K, grouped as G, linear as L
 from tabcal.operators.scale import attach, pin, with_scalars
-from tabcal.session import durable
+from tabcal.session import durable, written
 
 SD_FLOOR = 1e-8
 FOLD_BATCH = 1000
@@ -99,6 +99,25 @@ def coverage_curve(intervals: DataFrame) -> DataFrame:
     )
 
 
+def _linear_folds(pool, group, features, target, kind, minimum_rows, params):
+    """(group, _model) of the models without each eligible group, and how a model predicts."""
+    sums = L.cross_products(pool, [group], [*features, target])
+    folds = L.without_each(sums, [group], len(features) + 1)
+    eligible = sums.where(F.col("n") >= minimum_rows).select(group, F.lit(1).alias("_ok"))
+    models = attach(L.fit(folds, [group], features, kind, **params), eligible, [group]).where("_ok = 1")
+    predict = lambda m: sum((F.col(c).cast("double") * m.coef[i] for i, c in enumerate(features)), m.intercept)
+    return written(models.select(group, F.struct("coef", "intercept").alias("_model"))), predict
+
+
+def _stump_folds(pool, group, features, target, kind, minimum_rows, params):
+    """The same for boosted stumps (``rounds``, ``rate``, ``bins``)."""
+    bins = params.get("bins", G.BINS)
+    edges = G.bin_edges(pool, features, bins)
+    tables = G.fold_tables(
+        pool, group, features, target, rounds=params.get("rounds", 100), rate=params.get("rate", 0.1), minimum_rows=minimum_rows, bins=bins, edges=edges)
+    return written(tables.withColumnRenamed("_table", "_model")), lambda m: G.table_prediction(features, edges, m)
+
+
 def held_out_conformal(
     df: DataFrame, *, row_id: str, group: str, features: Sequence[str], target: str, kind: str, coverage: float, minimum_rows: int,
     calibration: str, carry: Sequence[str] = (), **params,
@@ -106,31 +125,28 @@ def held_out_conformal(
     """Leave-one-group-out split conformal for every eligible group, in one plan.
 
     ``calibration`` is a condition marking the fixed calibration groups.  Fold g trains on all
-    groups but g and the calibration groups, so its matrix is the training total minus g's own;
-    calibration scores are needed per fold, so only the folds (one row each) meet the
-    calibration rows, as coefficients attached to the calibration cross products' own rows.
+    groups but g and the calibration groups, so its statistics are the training total minus g's own:
+    cross products of a linear model, counts of bin pairs of boosted ``stumps``.  Calibration scores are
+    needed per fold, so the folds' models (one row each) meet the calibration rows.
     """
-    width = len(features) + 1
     marked = df.withColumn("_cal", F.expr(calibration))
     pool = marked.where(~F.col("_cal"))
-    sums = L.cross_products(pool, [group], [*features, target])
-    folds = L.without_each(sums, [group], width)
-    eligible = sums.where(F.col("n") >= minimum_rows).select(group, F.lit(1).alias("_ok"))
-    fitted = durable(attach(L.fit(folds, [group], features, kind, **params), eligible, [group]).where("_ok = 1").drop("_ok"))
-    scored = L.score(pool, fitted, [group], features).where("prediction IS NOT NULL")
+    fitted, predict = (_stump_folds if kind == "stumps" else _linear_folds)(pool, group, features, target, kind, minimum_rows, params)
+    scored = attach(pool, fitted, [group], count_rows=True).where(F.col("_model").isNotNull()).withColumn("prediction", predict(F.col("_model"))).drop("_model")
+    scored = scored.where("prediction IS NOT NULL")
     cal = marked.where("_cal").select(target, *features)
     batches = -(-fitted.count() // FOLD_BATCH)
     q = None
     for batch in range(batches):
-        # every fold scores the calibration rows; a bounded batch of coefficient rows is broadcast at a time
+        # every fold scores the calibration rows; a bounded batch of models is broadcast at a time
         part = fitted.where(F.pmod(F.xxhash64(group), F.lit(batches)) == batch) if batches > 1 else fitted
-        one = part.agg(F.collect_list(F.struct(group, "coef", "intercept")).alias("_folds"))
+        one = part.agg(F.collect_list(F.struct(group, "_model")).alias("_folds"))
         errors = with_scalars(cal, one).select(target, *features, F.explode("_folds").alias("_f")).select(
-            F.col(f"_f.{group}").alias(group),
-            F.abs(F.col(target) - sum((F.col(c) * F.col("_f.coef")[i] for i, c in enumerate(features)), F.col("_f.intercept"))).alias("_s"),
-        )
+            F.col(f"_f.{group}").alias(group), F.abs(F.col(target) - predict(F.col("_f._model"))).alias("_s"))
         found = K.conformal_quantiles(errors, [group], "_s", [1 - coverage]).select(group, "q_hat")
         q = found if q is None else q.unionByName(found)
+    if q is None:
+        q = fitted.select(group, F.lit(None).cast("double").alias("q_hat"))
     rows = attach(scored, q, [group], count_rows=True).select(
         F.col(row_id).cast("string").alias("row_id"), F.lit("heldout").alias("role"), F.col(target).alias("Actual"),
         F.col("prediction").alias("Predicted"), "q_hat", group, *[c for c in carry if c != group],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, computed once and read from there; the folder goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = delete_at_end(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def delete_at_end(spark: SparkSession, path: str) -> str:
     """Have a scratch folder deleted when the driver's JVM ends; returns the path."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

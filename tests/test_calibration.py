@@ -97,7 +97,7 @@ def test_bootstrap_has_one_law_at_every_size(spark, chunk_rows, block_rows):
     x = np.column_stack([np.ones(len(pdf)), pdf.a, pdf.b])
     first = np.linalg.lstsq(x, pdf.y, rcond=None)[0]
     ordered = (pdf.y - x @ first)[pdf.sort_values(["h", "row_id"]).index].to_numpy()
-    keys = np.array([int(h[:8], 16) for h in pdf.h])
+    keys = np.array([int(h[:13], 16) for h in pdf.h])
     again = np.linalg.lstsq(x, (x @ first)[:, None] + ordered[B.drawn_positions(keys, 6, len(pdf), 0)], rcond=None)[0]
     want = x @ again + ordered[B.drawn_positions(keys, 6, len(pdf), 1)]
     got = boot.distribution(df, "row_id").toPandas().set_index("row_id")["predictions"]
@@ -108,7 +108,7 @@ def test_bootstrap_has_one_law_at_every_size(spark, chunk_rows, block_rows):
 
 
 def test_draws_are_even(spark):
-    keys = np.random.default_rng(1).integers(0, 2**32, 400)
+    keys = np.random.default_rng(1).integers(0, 2**52, 400)
     n = 50
     drawn = B.drawn_positions(keys, 300, n, 1)
     counts = np.bincount(drawn.ravel(), minlength=n)
@@ -116,6 +116,26 @@ def test_draws_are_even(spark):
     assert abs(np.corrcoef(drawn[:, 0], drawn[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(drawn[0], drawn[1])[0, 1]) < 0.2
 
 
+@pytest.mark.parametrize("n", [97, 2**31 - 2, 2**31 + 11, 2**32 - 1])
+def test_draws_are_uniform_at_any_size(n):
+    """Chi-square over even cells of the positions, over their last bits and over their quadratic characters."""
+    drawn = B.drawn_positions(np.random.default_rng(4).integers(0, 2**52, 4_000), 300, n, 0).ravel()
+    assert drawn.min() >= 0 and drawn.max() < n
+
+    def chi(cells, k):
+        expected = len(cells) / k
+        return float(((np.bincount(cells, minlength=k) - expected) ** 2).sum() / expected)
+
+    cells = np.minimum(97, n)
+    assert chi((drawn * cells // n).astype(int), cells) < 97 + 6 * np.sqrt(2 * 97)
+    if n > 2**20:
+        assert chi((drawn & 63).astype(int), 64) < 63 + 6 * np.sqrt(2 * 63)
+        some = drawn[:4_000].tolist()
+        squares = sum(pow(x, (B.PRIME - 1) // 2, B.PRIME) == 1 for x in some)
+        assert abs(squares / len(some) - 0.5) < 0.05
+        assert len(set(drawn.tolist())) > 0.999 * len(drawn) - len(drawn) ** 2 / n
+
+
 def test_bootstrap_refuses_a_perfect_fit(spark):
     df = spark.createDataFrame([(f"r{i}", float(i), 2.0 * i) for i in range(8)], "row_id string, a double, y double").withColumn("y", F.lit(3.0))
     with pytest.raises(ValueError):

@@ -73,7 +73,8 @@ def test_spearman_paths_agree(spark):
 def test_attach_keeps_every_row_once_with_hot_and_null_keys(skewed):
     df, pdf = skewed
     stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"))
-    for arguments in ({"size_col": "n", "hot_groups": 1}, {"bounded": True}, {}, {"count_rows": True}):
+    split = {"hot_groups": 1, "broadcast_rows": 0}
+    for arguments in ({"size_col": "n"}, {"size_col": "n", **split}, {"bounded": True}, {}, {"count_rows": True}, {"count_rows": True, **split}):
         out = S.attach(df, stats, ["k"], **arguments).toPandas()
         assert sorted(out.i) == list(range(len(pdf))) and out.m.notna().all()
         assert out.groupby("k", dropna=False).n.nunique().eq(1).all()
@@ -94,10 +95,34 @@ def test_hot_key_is_split_over_the_partitions(spark, how):
             spark.conf.set(k, v)
         df = spark.range(0, 100_000, 1, 8).select(F.when(F.col("id") % 10 > 0, -1).otherwise(F.col("id") % 5000).alias("k"), "id")
         stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("id").alias("m"))
-        out = S.attach(df, stats, ["k"], size_col="n", hot_groups=1) if how == "size_col" else S.attach(df, stats.drop("n"), ["k"], count_rows=True, hot_groups=1)
+        out = S.attach(df, stats, ["k"], size_col="n", hot_groups=1, broadcast_rows=0) if how == "size_col" else S.attach(df, stats.drop("n"), ["k"], count_rows=True, hot_groups=1, broadcast_rows=0)
         assert out.where(F.col("m").isNull()).count() == 0
         counts = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
         assert sum(counts) == 100_000 and max(counts) <= 2 * 100_000 / len(counts)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("arguments", [{"size_col": "n"}, {"count_rows": True}])
+def test_five_chained_calls_read_the_input_once_each(spark, tmp_path, arguments):
+    """The result's plan holds the input once, and each call adds its statistics (twice), whatever came before."""
+    path = f"{tmp_path}/rows"
+    spark.range(3000).select("id", (F.col("id") % 7).alias("k")).write.parquet(path)
+    df = spark.read.parquet(path)
+    for call in range(5):
+        stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("id").alias(f"m{call}"))
+        stats = stats if "size_col" in arguments else stats.drop("n")
+        df = S.attach(df, stats, ["k"], hot_groups=2, broadcast_rows=0, **arguments)
+        df = df.drop("n")
+    plan = df._jdf.queryExecution().optimizedPlan()
+    relations = plan.collectLeaves().size()
+    assert relations <= 1 + 2 * 5
+    assert df.count() == 3000 and df.where(" OR ".join(f"m{i} IS NULL" for i in range(5))).count() == 0
+
+
+def test_equal_rows_of_a_hot_group_are_dealt_out(spark):
+    df = spark.range(0, 40_000, 1, 8).select(F.lit("same").alias("k"))
+    stats = df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).unionByName(spark.sql("SELECT 'other' AS k, 0L AS n"))
+    out = S.attach(df, stats, ["k"], size_col="n", hot_groups=1, broadcast_rows=0)
+    assert out.where("n = 40000").count() == 40_000
