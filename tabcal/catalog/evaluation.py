@@ -302,7 +302,7 @@ def _(spark, sf):
     return predictions(spark, sf).select("model", "row_id", lo.alias("Lower"), hi.alias("Upper"))
 
 
-BASE_SQL = ", bi AS (SELECT *, Predicted - 30 * (1 + l_quantity) AS lo, Predicted + 45 * (1 + l_quantity) AS hi FROM pr)"
+BASE_SQL = ", bi AS MATERIALIZED (SELECT *, Predicted - 30 * (1 + l_quantity) AS lo, Predicted + 45 * (1 + l_quantity) AS hi FROM pr)"
 
 
 def base_intervals(spark, sf):

@@ -15,7 +15,7 @@ from tabcal.catalog.evaluation import INTERVAL_COLUMNS, INTERVAL_SQL, KEYS
 from tabcal.catalog.profiles import group_split_sql
 from tabcal.functions.features import safe_ratio
 from tabcal.operators.columns import repair_types
-from tabcal.operators import bootstrap as B, encode as E, evaluate as V, grouped as G, linear as L, models as M, neighbors as N, splits as S
+from tabcal.operators import bootstrap as B, encode as E, evaluate as V, grouped as G, linear as L, models as M, neighbors as N, preprocess as PP, splits as S
 from tabcal.plans import calibration as CP, clean_split as CS, compare as TC
 from tabcal.session import durable
 from tabcal.sources import readers as RD, writers as WR
@@ -431,6 +431,15 @@ def _(spark, sf):
     return rounded(found.select("row_id", F.col("mean").alias("Predicted"), F.col("lower_0").alias("Lower"), F.col("upper_0").alias("Upper")), 4)
 
 
+@query("residual_bootstrap_features_c13")
+def _(spark, sf):
+    """The same with all features; compared with numpy in the tests."""
+    d = table_of_models(spark, sf)
+    boot = B.ResidualBootstrap(d.where("split = 'train'"), row_id="row_id", features=FEATURES, target="y", repetitions=300, **NET)
+    found = boot.bounds(d.where("split = 'test'"), [0.9])
+    return rounded(found.select("row_id", F.col("mean").alias("Predicted"), F.col("lower_0").alias("Lower"), F.col("upper_0").alias("Upper")), 4)
+
+
 def role_lines(spark, sf):
     d = table_of_models(spark, sf).drop("split")
     manifest = S.shared_roles(S.group_split(d, "l_suppkey", FRACTIONS, SEED))
@@ -535,20 +544,41 @@ def preprocessor():
     return E.TablePreprocessor(numeric=["amount", "discount", "l_tax"], one_hot_columns=["kind"], encoded=["l_suppkey"], grouped=["l_linenumber"], indicators=True, target="y", folds=3)
 
 
-def scaled_sql(c):
-    filled = f"coalesce({c}, (SELECT median({c}) FROM fo WHERE split = 'train'))"
-    return f"({filled} - (SELECT avg({filled}) FROM fo WHERE split = 'train')) / (SELECT stddev_pop({filled}) FROM fo WHERE split = 'train')"
+NUMBERS = ("amount", "discount", "l_tax")
+COMPOSED_SQL = Y_SQL + f""", fo AS MATERIALIZED (SELECT *, ('0x' || substr(md5(l_suppkey || '|{SEED}'), 1, 8))::BIGINT % 3 AS fold FROM ty),
+ slots AS (SELECT unnest(range(4)) AS slot), ov AS MATERIALIZED (SELECT slot, avg(y) m, var_pop(y) v FROM fo, slots WHERE split = 'train' AND fold <> slot GROUP BY 1),
+ ct AS MATERIALIZED (SELECT slot, l_suppkey, count(*) n, avg(y) m, var_pop(y) v FROM fo, slots WHERE split = 'train' AND fold <> slot GROUP BY 1, 2),
+ md AS MATERIALIZED (SELECT {", ".join(f"median({c}) AS m_{c}" for c in NUMBERS)} FROM fo WHERE split = 'train'),
+ te AS MATERIALIZED (SELECT r.*, CASE WHEN ct.n IS NULL THEN ov.m ELSE ct.n / (ct.n + ct.v / ov.v) * ct.m + (1 - ct.n / (ct.n + ct.v / ov.v)) * ov.m END AS x, {", ".join(f"coalesce({c}, m_{c}) AS f_{c}" for c in NUMBERS)}
+   FROM (SELECT *, CASE WHEN split = 'train' THEN fold ELSE 3 END AS slot FROM fo) r JOIN ov ON ov.slot = r.slot LEFT JOIN ct ON ct.slot = r.slot AND ct.l_suppkey = r.l_suppkey, md),
+ un AS MATERIALIZED (SELECT avg(x) AS cx, stddev_pop(x) AS ux, {", ".join(f"avg(f_{c}) AS c_{c}, stddev_pop(f_{c}) AS u_{c}" for c in NUMBERS)} FROM te WHERE split = 'train')
+ SELECT row_id, round((x - cx) / ux, 5) + 0.0 AS l_suppkey_encoded,
+ {", ".join(f"round((f_{c} - c_{c}) / u_{c}, 5) + 0.0 AS {c}" for c in NUMBERS)}, (amount IS NULL)::DOUBLE AS amount_missing, (discount IS NULL)::DOUBLE AS discount_missing,
+ {", ".join(f"(coalesce(kind, 'missing_reported_gap') = '{v}')::DOUBLE AS " + '"kind=' + v + '"' for v in ("A", "N", "R", "missing_reported_gap"))},
+ {", ".join(f"(l_linenumber = {i})::DOUBLE AS " + '"l_linenumber=' + str(i) + '"' for i in range(1, 8))} FROM te, un"""
+
 
+def recipe():
+    return PP.Recipe(numeric=NUMBERS, one_hot=("kind",), grouped=("l_linenumber",), encoded=("l_suppkey",), indicators=True, target="y", folds=3)
 
-COMPOSED_SQL = Y_SQL + f""", fo AS (SELECT *, ('0x' || substr(md5(l_suppkey || '|{SEED}'), 1, 8))::BIGINT % 3 AS fold FROM ty),
- slots AS (SELECT unnest(range(4)) AS slot), ov AS (SELECT slot, avg(y) m, var_pop(y) v FROM fo, slots WHERE split = 'train' AND fold <> slot GROUP BY 1),
- ct AS (SELECT slot, l_suppkey, count(*) n, avg(y) m, var_pop(y) v FROM fo, slots WHERE split = 'train' AND fold <> slot GROUP BY 1, 2),
- te AS (SELECT r.*, CASE WHEN ct.n IS NULL THEN ov.m ELSE ct.n / (ct.n + ct.v / ov.v) * ct.m + (1 - ct.n / (ct.n + ct.v / ov.v)) * ov.m END AS x
-   FROM (SELECT *, CASE WHEN split = 'train' THEN fold ELSE 3 END AS slot FROM fo) r JOIN ov ON ov.slot = r.slot LEFT JOIN ct ON ct.slot = r.slot AND ct.l_suppkey = r.l_suppkey)
- SELECT row_id, round((x - (SELECT avg(x) FROM te WHERE split = 'train')) / (SELECT stddev_pop(x) FROM te WHERE split = 'train'), 5) + 0.0 AS l_suppkey_encoded,
- {", ".join(f"round({scaled_sql(c)}, 5) + 0.0 AS {c}" for c in ("amount", "discount", "l_tax"))}, (amount IS NULL)::DOUBLE AS amount_missing, (discount IS NULL)::DOUBLE AS discount_missing,
- {", ".join(f"(coalesce(kind, 'missing_reported_gap') = '{v}')::DOUBLE AS " + '"kind=' + v + '"' for v in ("A", "N", "R", "missing_reported_gap"))},
- {", ".join(f"(l_linenumber = {i})::DOUBLE AS " + '"l_linenumber=' + str(i) + '"' for i in range(1, 8))} FROM te"""
+
+@query("fitted_preprocessor_e11", COMPOSED_SQL + " WHERE split <> 'train'")
+def _(spark, sf):
+    """Fitted on training rows, saved, loaded again and applied to rows it never saw."""
+    d = stored(folded(spark, sf), *PREPARED)
+    path = WR.scratch_path(spark, "preprocessor")
+    PP.Preprocessor(recipe()).fit(d).save(path)
+    model = PP.PreprocessorModel.load(spark, path)
+    out = model.transform(d.where("split <> 'train'"))
+    return rounded(out.select("row_id", *[F.col(f"`{c}`") for c in model.output_columns]), 5)
+
+
+@query("fitted_preprocessor_training_e11", COMPOSED_SQL + " WHERE split = 'train'")
+def _(spark, sf):
+    d = stored(folded(spark, sf), *PREPARED)
+    model = PP.Preprocessor(recipe()).fit(d)
+    out = model.transform_training(d.where("split = 'train'"))
+    return rounded(out.select("row_id", *[F.col(f"`{c}`") for c in model.output_columns]), 5)
 
 
 @query("composed_preprocessor_e11", COMPOSED_SQL)

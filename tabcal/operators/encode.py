@@ -13,12 +13,11 @@ from tabcal.functions.rules import MISSING_GAP
 from tabcal.operators.columns import null_shares
 from tabcal.operators.evaluate import medians
 from tabcal.operators.scale import attach, condition, exact_quantiles, pin, unpivot_numeric, unpivot_text, with_scalars
-from tabcal.session import durable
+from tabcal.session import durable, written
 
 INFREQUENT = "__infrequent__"
 MIN_FREQUENCY = 10  # fixed value: rarer train categories are grouped
 MAX_CATEGORIES = 20  # fixed value: output categories per column, the grouped one included
-MAX_ONE_HOT = 1000  # widest block of one-hot columns; a wider one becomes a sparse vector column
 
 
 def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -93,13 +92,11 @@ def min_max_scale(df: DataFrame, train: DataFrame, columns: Sequence[str]) -> Da
 
 
 def train_categories(train: DataFrame, columns: Sequence[str], *, drop_first: bool = False) -> dict[str, list[str]]:
-    """Sorted train categories per column, NULL as its own category; columns of more than MAX_ONE_HOT categories are left out
-    (``one_hot_vector`` takes them), so a bounded table reaches the driver."""
+    """Sorted train categories per column, NULL as its own category.  Each becomes an output column, so they reach the driver;
+    ``one_hot_vector`` is for columns of very many."""
     values = unpivot_text(train, [], columns).select("column", F.coalesce("value", F.lit(MISSING_GAP)).alias("value")).distinct()
-    sizes = {r["column"]: r["n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    narrow = [c for c in columns if sizes.get(c, 0) <= MAX_ONE_HOT]
-    found = values.where(F.col("column").isin(narrow)).collect() if narrow else []
-    out = {c: sorted(r["value"] for r in found if r["column"] == c) for c in narrow}
+    found = values.collect() if columns else []
+    out = {c: sorted(r["value"] for r in found if r["column"] == c) for c in columns}
     return {c: v[1:] if drop_first else v for c, v in out.items()}
 
 
@@ -166,45 +163,54 @@ def group_rare(df: DataFrame, rare_map: DataFrame, columns: Sequence[str]) -> Da
     }).select(*df.columns)
 
 
-def target_encode(
-    df: DataFrame, *, column: str, target: str, train: Column | str, fold: str, out: str, folds: int, cross_fit: bool = True,
-) -> DataFrame:
-    """Empirical-Bayes target encoding, out of fold for training rows.
+def encoding_table(df: DataFrame, *, column: str, target: str, train: Column | str, fold: str, folds: int) -> tuple[DataFrame, DataFrame]:
+    """((_cat, _size, _values), one row of _default): the empirical-Bayes encoding of each training category without fold 0, 1, ..., then of
+    all training rows, and what a category without rows there gets.
 
-    The category mean is shrunk to the overall mean by n / (n + within variance / overall
-    variance).  Only (category, fold) sums are shuffled; leaving a fold out is a subtraction.
-    ``cross_fit=False`` scores training rows with the all-train value as well.  The fitted
-    category table is written once.
+    The category mean is shrunk to the overall mean by n / (n + within variance / overall variance).  Only (category, fold) sums are
+    shuffled; leaving a fold out is a subtraction.
     """
     label = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_GAP))
-    rows = df.withColumn("_cat", label).withColumn("_train", condition(train))
-    centre = df.where(train).agg(F.avg(target).alias("_mu"))
-    fitted = with_scalars(rows.where("_train"), centre).select("_cat", fold, (F.col(target) - F.col("_mu")).alias("_y"))
+    rows = df.where(train)
+    centre = pin(rows.agg(F.avg(target).alias("_mu")))
+    fitted = with_scalars(rows, centre).select(label.alias("_cat"), fold, (F.col(target) - F.col("_mu")).alias("_y"))
     sums = fitted.groupBy("_cat", fold).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q")
     )
     minus = lambda field_name, f: F.sum(F.when(F.col(fold) != f, F.col(field_name)).otherwise(0.0))
     triple = lambda f: F.struct(*[minus(c, f).alias(c) for c in ("n", "s", "q")])
-    everything = F.struct(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    per_category = sums.groupBy("_cat").agg(
-        F.sum("n").alias("_size"), F.array(*[triple(f) for f in range(folds)], everything).alias("_per")
-    )
-    overall = with_scalars(sums.agg(F.array(*[triple(f) for f in range(folds)], everything).alias("_tot")), centre)
-    overall = pin(overall)
-    joined = with_scalars(attach(rows, per_category, ["_cat"], size_col="_size"), overall)
+    slots = F.array(*[triple(f) for f in range(folds)], F.struct(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")))
+    per_category = written(sums.groupBy("_cat").agg(F.sum("n").alias("_size"), slots.alias("_per")))
+    add = lambda i, c: F.coalesce(F.sum(F.col("_per")[i][c]), F.lit(0.0)).alias(c)
+    overall = pin(with_scalars(per_category.agg(F.array(*[F.struct(*[add(i, c) for c in ("n", "s", "q")]) for i in range(folds + 1)]).alias("_tot")), centre))
+
+    def value(c, t):
+        mean_all = F.try_divide(t["s"], t["n"])
+        var_all = F.try_divide(t["q"], t["n"]) - mean_all * mean_all
+        mean_cat = F.try_divide(c["s"], c["n"])
+        within = F.greatest(F.try_divide(c["q"], c["n"]) - mean_cat * mean_cat, F.lit(0.0))
+        weight = F.try_divide(c["n"], c["n"] + F.try_divide(within, var_all))
+        shrunk = weight * mean_cat + (1 - weight) * mean_all
+        return F.when((c["n"] > 0) & (var_all > 0), shrunk).otherwise(mean_all) + F.col("_mu")
+
+    table = with_scalars(per_category, overall).select("_cat", "_size", F.zip_with("_per", "_tot", value).alias("_values"))
+    default = overall.select(F.transform("_tot", lambda t: F.try_divide(t["s"], t["n"]) + F.col("_mu")).alias("_default"))
+    return table, default
+
+
+def target_encode(
+    df: DataFrame, *, column: str, target: str, train: Column | str, fold: str, out: str, folds: int, cross_fit: bool = True,
+) -> DataFrame:
+    """Empirical-Bayes target encoding (``encoding_table``), out of fold for training rows.
+
+    ``cross_fit=False`` scores training rows with the all-train value as well.
+    """
+    label = F.coalesce(F.col(column).cast("string"), F.lit(MISSING_GAP))
+    table, default = encoding_table(df, column=column, target=target, train=train, fold=fold, folds=folds)
+    rows = df.withColumn("_cat", label).withColumn("_train", condition(train))
+    joined = with_scalars(attach(rows, table, ["_cat"], size_col="_size"), default)
     slot = F.when(F.col("_train"), F.col(fold)).otherwise(F.lit(folds)) if cross_fit else F.lit(folds)
-    cat = F.element_at(F.col("_per"), (slot + 1).cast("int"))
-    tot = F.element_at(F.col("_tot"), (slot + 1).cast("int"))
-    picked = joined.withColumn("_c", cat).withColumn("_t", tot)
-    c, t = F.col("_c"), F.col("_t")
-    mean_all = t.s / t.n
-    var_all = t.q / t.n - mean_all * mean_all
-    mean_cat = F.try_divide(c.s, c.n)
-    within = F.greatest(F.try_divide(c.q, c.n) - mean_cat * mean_cat, F.lit(0.0))
-    weight = F.try_divide(c.n, c.n + within / var_all)
-    shrunk = weight * mean_cat + (1 - weight) * mean_all
-    value = F.when((c.n > 0) & (var_all > 0), shrunk).otherwise(mean_all) + F.col("_mu")
-    return picked.select(*df.columns, value.alias(out))
+    return joined.select(*df.columns, F.element_at(F.coalesce("_values", "_default"), (slot + 1).cast("int")).alias(out))
 
 
 def expand_polynomial(df: DataFrame, columns: Sequence[str], degree: int, *, interaction_only: bool = False, out: str = "poly") -> DataFrame:
@@ -245,13 +251,15 @@ class TablePreprocessor:
     """Median fill and scaling for numbers, one-hot and target encoding for labels, fitted on train rows.
 
     ``scaling`` is standard, robust, minmax or none; rare labels of ``grouped`` columns are
-    merged before one-hot encoding.  ``transform`` adds the output columns and a ``features`` vector.
+    merged before one-hot encoding; ``vectors`` are encoded as one sparse vector column each.
+    ``fit_transform`` adds the output columns and a ``features`` vector.
     """
 
     numeric: Sequence[str]
     one_hot_columns: Sequence[str] = ()
     encoded: Sequence[str] = ()
     grouped: Sequence[str] = ()
+    vectors: Sequence[str] = ()
     scaling: str = "standard"
     indicators: bool = False
     target: str = "target"
@@ -283,15 +291,14 @@ class TablePreprocessor:
             self.categories = train_categories(source, labels)
             hot = [f"{c}={v}" for c, values in self.categories.items() for v in values]
             kept = [F.col(c).alias(f"_keep_{c}") for c in labels]
-            out = one_hot(out.select("*", *kept), self.categories).drop(*[c for c in labels if c not in self.categories])
-            out = out.withColumnsRenamed({f"_keep_{c}": c for c in labels})
-            for c in [c for c in labels if c not in self.categories]:
-                out = one_hot_vector(out, source, c, f"{c}_onehot")
-                self.wide[c] = source.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING_GAP))).distinct().count()
+            out = one_hot(out.select("*", *kept), self.categories).withColumnsRenamed({f"_keep_{c}": c for c in labels})
+        for c in self.vectors:
+            out = one_hot_vector(out, source, c, f"{c}_onehot")
+            self.wide[c] = source.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING_GAP))).distinct().count()
         for c in self.encoded:
             out = target_encode(
                 out, column=c, target=self.target, train=self.train, fold=self.fold, out=f"{c}_encoded",
-                folds=self.folds, cross_fit=cross_fit, keep=True,
+                folds=self.folds, cross_fit=cross_fit,
             )
         encoded = [f"{c}_encoded" for c in self.encoded]
         if encoded:
@@ -308,8 +315,8 @@ class TablePreprocessor:
         """Columns in and out per block."""
         hot = sum(len(v) for v in self.categories.values()) + sum(self.wide.values())
         row = (
-            len(self.numeric) + len(self.one_hot_columns) + len(self.grouped) + len(self.encoded), len(self.numeric),
-            len(self.one_hot_columns) + len(self.grouped), len(self.encoded), hot, len(self.output_columns) - len(self.wide) + sum(self.wide.values()),
+            len(self.numeric) + len(self.one_hot_columns) + len(self.grouped) + len(self.vectors) + len(self.encoded), len(self.numeric),
+            len(self.one_hot_columns) + len(self.grouped) + len(self.vectors), len(self.encoded), hot, len(self.output_columns) - len(self.wide) + sum(self.wide.values()),
         )
         schema = "input_columns long, numeric_columns long, one_hot_inputs long, encoded_columns long, one_hot_outputs long, output_columns long"
         return df.sparkSession.createDataFrame([row], schema)

@@ -163,15 +163,14 @@ def test_file_fingerprints(spark, tmp_path, record_bytes):
     assert {(r.file, r.bytes, r.sha256) for r in got} == {(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
 
 
-def test_wide_one_hot_is_a_vector(spark, monkeypatch):
-    monkeypatch.setattr(E, "MAX_ONE_HOT", 5)
+def test_chosen_columns_become_one_vector(spark):
     df = spark.createDataFrame([(f"r{i}", "train" if i < 40 else "test", i % 3, float(i), f"c{i % 8}" if i % 9 else None, f"d{i % 3}") for i in range(60)] + [("new", "test", 0, 1.0, "unseen", "d0")],
                                "id string, split string, fold int, y double, c string, d string")
-    p = E.TablePreprocessor(numeric=["y"], one_hot_columns=["c", "d"], target="y", folds=3)
+    p = E.TablePreprocessor(numeric=["y"], one_hot_columns=["d"], vectors=["c"], target="y", folds=3)
     out = p.fit_transform(df)
     assert p.wide == {"c": 9} and sorted(p.categories) == ["d"]
     got = {r["id"]: r for r in out.collect()}
     assert len(got["r1"]["features"]) == 1 + 3 + 9 and got["new"]["c_onehot"].numNonzeros() == 0
     assert all(r["c_onehot"].numNonzeros() == 1 for i, r in got.items() if i != "new")
     assert len({int(r["c_onehot"].indices[0]) for i, r in got.items() if i != "new"}) == 9
-    assert E.train_categories(df, ["c"]) == {}
+    assert len(E.train_categories(df, ["c"])["c"]) == 10
