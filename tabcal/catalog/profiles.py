@@ -259,6 +259,15 @@ def _(spark, sf):
     return rounded(S.best_swap(manifest, "l_suppkey", FRACTIONS).select("score_before", "score_after"), 9)
 
 
+@query("lightest_group_folds_sp7", LINES.replace("WITH lines", "WITH RECURSIVE lines", 1) + """, g AS MATERIALIZED (SELECT l_partkey, count(*) AS n_rows,
+ row_number() OVER (ORDER BY count(*) DESC, md5(l_partkey::VARCHAR), l_partkey) AS k FROM lines GROUP BY 1),
+ w AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0::BIGINT AS fold UNION ALL
+  SELECT g.k, list_transform(w.loads, lambda x, i: x + CASE WHEN i = list_position(w.loads, list_min(w.loads)) THEN g.n_rows ELSE 0 END), list_position(w.loads, list_min(w.loads)) - 1 FROM w JOIN g ON g.k = w.k + 1)
+SELECT l_partkey, n_rows, w.fold FROM g JOIN w ON w.k = g.k""")
+def _(spark, sf):
+    return S.lightest_folds(lines(spark, sf), "l_partkey", 5)
+
+
 @query("group_folds_sp7", LINES + """SELECT l_orderkey, n_rows, k AS position, CASE WHEN k % 10 < 5 THEN k % 10 ELSE 9 - k % 10 END AS fold FROM (
  SELECT l_orderkey, n_rows, row_number() OVER (ORDER BY n_rows DESC, md5(l_orderkey::VARCHAR), l_orderkey) - 1 AS k FROM (SELECT l_orderkey, count(*) AS n_rows FROM lines GROUP BY 1))""")
 def _(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabcal.operators.ordering import content_key
@@ -245,6 +246,68 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return ranked.withColumn("fold", F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("long"))
 
 
+def _dealt(loads, size, items):
+    """(fold of the first ``items`` equal groups, each given to the lightest fold, the first of equals; loads after the last).
+
+    Fold f's keys are its load, load + size, ...; groups follow the keys in order.  Above the level q_f where a fold joins in, every
+    level holds one key of each fold that has joined, so places are found without a walk over the groups.
+    """
+    gap = loads - loads.min()
+    joins, rest = gap // size, gap % size
+    levels = np.unique(joins)
+    active = np.searchsorted(np.sort(joins), levels, "right")
+    starts = np.concatenate([[0], np.cumsum(np.diff(levels) * active[:-1])])  # groups before each of these levels
+
+    def place(i):
+        at = np.searchsorted(starts, i, "right") - 1
+        out = np.zeros(len(i), dtype=np.int64)
+        for a in np.unique(at):
+            order = [f for f in np.lexsort((np.arange(len(loads)), rest)) if joins[f] <= levels[a]]
+            here = at == a
+            out[here] = np.array(order)[(i[here] - starts[a]) % active[a]]
+        return out
+
+    at = int(np.searchsorted(starts, items, "right") - 1)
+    whole, part = divmod(items - int(starts[at]), int(active[at]))
+    order = [f for f in np.lexsort((np.arange(len(loads)), rest)) if joins[f] <= levels[at]]
+    given = np.maximum(0, levels[at] + whole - joins)
+    given[order[:part]] += 1
+    return place, loads + given * size
+
+
+def lightest_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """(group, n_rows, fold): groups by size descending (equal ones by hash), each to the fold with the fewest rows so far.
+
+    Folds' loads are carried over the distinct sizes, at most sqrt(2 rows) of them, in one pass; where a group of a size goes follows
+    from the loads before that size and the group's place among its equals, so groups are never walked one by one.
+    """
+    dealt = group_folds(df, group, k).drop("fold")
+    sizes = dealt.groupBy("n_rows").agg(F.count(F.lit(1)).alias("_c"), F.min("position").alias("_first"))
+
+    def carry(batches):
+        loads = np.zeros(k, dtype=np.int64)
+        for pdf in batches:
+            before = []
+            for size, count in zip(pdf["n_rows"].tolist(), pdf["_c"].tolist()):
+                before.append(loads.tolist())
+                loads = _dealt(loads, size, count)[1]
+            yield pdf.assign(_loads=before)[["n_rows", "_first", "_loads"]]
+
+    states = sizes.repartition(1).sortWithinPartitions(F.desc("n_rows")).mapInPandas(carry, "n_rows long, _first long, _loads array<long>")
+    placed = attach(dealt, states, ["n_rows"], count_rows=True)
+    kind = dict(df.dtypes)[group]
+
+    def choose(batches):
+        for pdf in batches:
+            fold = np.zeros(len(pdf), dtype=np.int64)
+            for size, at in pdf.groupby("n_rows").indices.items():
+                part = pdf.iloc[at]
+                fold[at] = _dealt(np.asarray(part["_loads"].iloc[0], dtype=np.int64), int(size), 0)[0]((part["position"] - part["_first"]).to_numpy())
+            yield pdf.assign(fold=fold)[[group, "n_rows", "fold"]]
+
+    return placed.select(group, "n_rows", "position", "_first", "_loads").mapInPandas(choose, f"`{group}` {kind}, n_rows long, fold long")
+
+
 def row_folds(df: DataFrame, row_id: str, k: int, seed: int) -> DataFrame:
     """Shuffled k-fold by row hash."""
     return df.withColumn("fold", F.pmod(hash_number(F.col(row_id), seed), F.lit(k)))

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,21 @@ def test_chosen_columns_become_one_vector(spark):
     assert all(r["c_onehot"].numNonzeros() == 1 for i, r in got.items() if i != "new")
     assert len({int(r["c_onehot"].indices[0]) for i, r in got.items() if i != "new"}) == 9
     assert len(E.train_categories(df, ["c"])["c"]) == 10
+
+
+def test_lightest_fold_equals_the_walk_over_groups(spark):
+    import hashlib
+
+    rng = np.random.default_rng(6)
+    for k, draws in ((3, rng.integers(1, 6, 200)), (5, np.concatenate([[300, 90, 90, 7], rng.integers(1, 40, 120)])), (4, np.ones(50, dtype=int)), (7, np.array([5, 5]))):
+        rows = [(f"g{i}",) for i, n in enumerate(draws) for _ in range(int(n))] + [(None,)] * 3
+        df = spark.createDataFrame(rows, "g string")
+        got = {r["g"]: (r["n_rows"], r["fold"]) for r in S.lightest_folds(df, "g", k).collect()}
+        sizes = {f"g{i}": int(n) for i, n in enumerate(draws)} | {None: 3}
+        loads, want = [0] * k, {}
+        for g in sorted(sizes, key=lambda g: (-sizes[g], hashlib.md5((g or "").encode()).hexdigest(), g or "")):
+            fold = loads.index(min(loads))
+            want[g] = (sizes[g], fold)
+            loads[fold] += sizes[g]
+        assert got == want
+    assert S.lightest_folds(df.limit(0), "g", 3).count() == 0
