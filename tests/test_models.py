@@ -152,3 +152,31 @@ def test_polynomial_powers_match_mllib(spark):
         terms = E.expand_polynomial(df, ["a", "b", "c"], degree).first().poly.toArray()
         powers = E.polynomial_powers(3, degree)
         assert np.allclose(terms, [2.0**p * 3.0**q * 5.0**r for p, q, r in powers])
+
+
+def test_searches_compare_clearly_fewer_than_all_pairs(spark, monkeypatch):
+    """On clustered rows the pairs compared inside cells grow well below rows x rows, and the search stays exact."""
+    from tabcal.operators import kernels, neighbors as N
+
+    rng = np.random.default_rng(9)
+    shares = []
+    for n in (1_000, 8_000):
+        centres = rng.normal(0, 40, (60, 4))
+        v = centres[rng.integers(0, 60, n)] + rng.normal(size=(n, 4))
+        df = spark.createDataFrame([(i, [float(x) for x in row], float(i)) for i, row in enumerate(v)], "i long, v array<double>, y double")
+        met = spark.sparkContext.accumulator(0)
+        plain = kernels.block_top_k
+
+        def counted(query_ids, query, train_ids, *rest, **more):
+            met.add(len(query_ids) * len(train_ids))
+            return plain(query_ids, query, train_ids, *rest, **more)
+
+        monkeypatch.setattr(N.kernels, "block_top_k", counted)
+        found = N.nearest(df, df, query_id="i", train_id="i", vector="v", value="y", k=3, exclude_self=True).toPandas()
+        monkeypatch.setattr(N.kernels, "block_top_k", plain)
+        shares.append(met.value / n ** 2)
+        for i in (0, 17, n - 1):
+            d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
+            d[i] = np.inf
+            assert set(found[found.i == i].neighbor_id) == set(np.argsort(d)[:3])
+    assert 0 < shares[1] < 0.1 and shares[1] < shares[0]
