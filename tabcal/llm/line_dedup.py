@@ -30,7 +30,7 @@ def dedup_lines(
     sits in every document is combined before the shuffle, and frequent lines meet their places without one. The rows return by (id, text hash), so that only the
     places of dropped lines, not the lines, are shuffled and sorted back to their document.
     """
-    lines, places, ident, h1, h2 = unused(docs, "_lines", "_places", "_id", "_t1", "_t2")
+    lines, places, ident, h1, h2, own1, own2 = unused(docs, "_lines", "_places", "_id", "_t1", "_t2", "_own1", "_own2")
     text = F.coalesce(F.col(text_col), F.lit(""))
     t1, t2 = hash128(text)
     hashes = F.transform(line_keys(text), lambda key: _key_hash(key, min_chars))
@@ -45,9 +45,9 @@ def dedup_lines(
     lost = lost.groupBy("id", "t1", "t2").agg(F.collect_set("place").alias(places))
     lost = lost.withColumnsRenamed({"id": ident, "t1": h1, "t2": h2})
 
-    split = docs.withColumn(lines, F.split(text, "\n", -1)).withColumn("_a" + h1, t1).withColumn("_b" + h2, t2)
+    split = docs.withColumn(lines, F.split(text, "\n", -1)).withColumn(own1, t1).withColumn(own2, t2)
     joined = split.join(
-        lost, F.col(id_col).eqNullSafe(F.col(ident)) & (F.col("_a" + h1) == F.col(h1)) & (F.col("_b" + h2) == F.col(h2)), "left")
+        lost, F.col(id_col).eqNullSafe(F.col(ident)) & (F.col(own1) == F.col(h1)) & (F.col(own2) == F.col(h2)), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
     kept = F.when(F.col(places).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
     return joined.select(

@@ -73,7 +73,8 @@ def mix_sources(
     Keys are counted in bins per source; only the bin in which a source's target ends is sorted. The result is one
     row per source, so the decision on a row needs no shuffle.
     """
-    n, key, tie, bin_, s, first, tk, tt, full = unused(docs, "_n", "_key", "_tie", "_bin", "_source", "_first", "_tk", "_tt", "_full")
+    n, key, tie, bin_, s, first, tk, tt, full, whole, aim = unused(
+        docs, "_n", "_key", "_tie", "_bin", "_source", "_first", "_tk", "_tt", "_full", "_whole", "_aim")
     rows = docs.withColumns({n: F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long"), key: sampling_key(F.col(id_col), weight, seed), tie: _digest_number(F.col(id_col), seed, 14)})
     slim = stored(rows.select(F.col(source_col).alias(s), n, key, tie))
     bins = max(LEAST_BINS, -(-slim.count() // BIN_ROWS))
@@ -95,14 +96,14 @@ def mix_sources(
         F.max(F.struct(key, tie)).alias("last"))
     plan = targets.alias("t").join(ends.alias("e"), F.col(f"t.{s}").eqNullSafe(F.col(f"e.{s}")), "left").join(
         last.alias("l"), F.col(f"t.{s}").eqNullSafe(F.col(f"l.{s}")), "left").select(
-        F.col(f"t.{s}").alias(s), F.col("source_size").alias("_" + s), F.col("target").alias("__" + s), full,
+        F.col(f"t.{s}").alias(s), F.col("source_size").alias(whole), F.col("target").alias(aim), full,
         F.col(bin_).alias(first), F.col(f"last.{key}").alias(tk), F.col(f"last.{tie}").alias(tt))
     chosen = (bin_of < F.col(first)) | (bin_of == F.col(first)) & (
         (F.col(key) < F.col(tk)) | (F.col(key) == F.col(tk)) & (F.col(tie) <= F.col(tt)))
     copies = F.col(full) + F.when(chosen, 1).otherwise(0)
     return rows.join(sized(plan), F.col(f"`{source_col}`").eqNullSafe(F.col(s)), "left").select(
-        *[F.col(f"`{c}`") for c in others(docs, size_col, copies_col, source_size_col, target_col)], F.col(n).alias(size_col), F.col("_" + s).alias(source_size_col),
-        F.col("__" + s).alias(target_col), copies.cast("int").alias(copies_col))
+        *[F.col(f"`{c}`") for c in others(docs, size_col, copies_col, source_size_col, target_col)], F.col(n).alias(size_col), F.col(whole).alias(source_size_col),
+        F.col(aim).alias(target_col), copies.cast("int").alias(copies_col))
 
 
 def op3_source_mixing(spark, sf_dir: str) -> DataFrame:

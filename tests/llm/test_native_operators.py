@@ -173,3 +173,20 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_lines(empty).count() == 0
     assert sharding.assign_shards(empty).count() == 0
     assert source_mixing.mix_sources(empty, source_mixing.word_count(F.col("text")), source_mixing.letter_share(F.col("text"))).count() == 0
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    """Every name that the operators use inside is free for the input, and comes back as it was."""
+    helpers = ["_lines", "_places", "_id", "_t1", "_t2", "_own1", "_own2", "_a_t1", "_b_t2", "id", "t1", "t2", "hashes", "a", "b", "h", "place", "docs", "keeper"]
+    rows = [(i, f"a line that many documents hold here\nown line number {i} of this document", *[f"{c}{i}" for c in helpers]) for i in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *helpers])
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    for r in out.collect():
+        assert [r[c] for c in helpers] == [f"{c}{r['doc_id']}" for c in helpers] and r["n_dropped"] == int(r["doc_id"] < 3)
+    names = ["_n", "_key", "_tie", "_bin", "_source", "__source", "_first", "_tk", "_tt", "_full", "_whole", "_aim", "rest", "before", "end", "last"]
+    some = spark.createDataFrame([(i, "s", *[f"{c}{i}" for c in names]) for i in range(6)], ["doc_id", "source", *names])
+    mixed = source_mixing.mix_sources(some, F.lit(10), F.lit(0.5))
+    assert mixed.columns[:len(some.columns)] == some.columns
+    for r in mixed.collect():
+        assert [r[c] for c in names] == [f"{c}{r['doc_id']}" for c in names] and r["copies"] in (1, 2)
