@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabcal.operators import kernels
+from tabcal.operators.gram import correlations, pair_moments
 from tabcal.operators.scale import attach, with_scalars
 
 cloudpickle.register_pickle_by_value(kernels)
@@ -203,10 +204,7 @@ def vif_table(train: DataFrame, features: Sequence[str]) -> DataFrame:
         rows.append((kept[0], "kept", "", None, None, "not_enough_features"))
     elif kept:
         filled = impute(train.select(*[F.col(c).cast("double").alias(c) for c in kept]), train, kept, "median")
-        sums = cross_products(filled, [], kept).first()  # one d x d matrix
-        cross, _ = kernels.unpack(sums["n"], sums["s"], sums["q"])
-        sd = np.sqrt(np.diag(cross))
-        for c, v in zip(kept, kernels.vif_from_correlation(cross / np.outer(sd, sd))):
+        for c, v in zip(kept, kernels.vif_from_correlation(correlations(pair_moments(filled, kept)))):  # one d x d matrix
             label = (
                 "near-perfect multicollinearity" if np.isinf(v) else "acceptable" if v < 5 else "high" if v < 10 else "severe"
             )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabcal.operators.columns import null_shares
+from tabcal.operators.gram import correlations, pair_moments
 from tabcal.operators.scale import attach, exact_quantiles, safe_corr, unpivot_numeric, unpivot_text, with_scalars
 
 LOW_CARDINALITY_MAX = 10  # fixed value
@@ -166,15 +167,9 @@ def value_counts(df: DataFrame, column: str, *, with_null: bool = True) -> DataF
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair, each pair on the rows where both are known."""
-    pairs = list(combinations(columns, 2))
-    aggregates = [safe_corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)]
-    ones = [F.when(F.stddev_pop(c) > 0, F.lit(1.0)).alias(f"_d{i}") for i, c in enumerate(columns)]
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(*aggregates, *ones)
-    cell = lambda a, b, v: F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), v.alias("r"))
-    cells = [cell(a, b, F.col(f"_c{i}")) for i, (a, b) in enumerate(pairs)]
-    cells += [cell(b, a, F.col(f"_c{i}")) for i, (a, b) in enumerate(pairs)]
-    cells += [cell(c, c, F.col(f"_d{i}")) for i, c in enumerate(columns)]
-    return wide.select(F.inline(F.array(*cells)))
+    r = correlations(pair_moments(df, columns))
+    cells = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    return df.sparkSession.createDataFrame(cells, "left_column string, right_column string, r double")
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
