@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tabcal.llm.token_alignment import TOKENIZER_A, TOKENIZER_B, Postings, align_tokenizers, byte_letters
+from tabcal.llm.token_alignment import COMMON, TOKENIZER_A, TOKENIZER_B, Postings, Tokenizers, align_tokenizers, byte_letters
 
 
 def spans(pieces):
@@ -109,3 +109,31 @@ def test_postings_equal_plain_counters(seed):
     for (d, p), n in entries.items():
         want[d] += np.array(values[p]) * n
     assert (made.scores(np.array([values[p] for p in made.pairs.tolist()])) == want).all()
+
+
+def test_merging_by_rank_equals_the_tokenizer():
+    with open(TOKENIZER_A, encoding="utf-8") as f, open(TOKENIZER_B, "rb") as g:
+        model_a, model_b = f.read(), g.read()
+    both = Tokenizers(model_a, model_b)
+    assert both.merging is not None
+    rng = random.Random(2)
+    letters = "aaeeiinnstthrEA  \t\n.,;'!?$&0123456789-_éèüßñÀž’—…¿"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for _ in range(300)]
+    texts += [" ".join(rng.choice(["the", "don't", "we'LL", "naïve", "x" * 40, "  ", "\n\n", "3.14", "<|endoftext|>"]) for _ in range(50)) for _ in range(100)]
+    assert all(COMMON.fullmatch(t) for t in texts)
+    want = [x.ids for x in both.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    assert [list(map(int, x)) for x in both._ids_a(texts)] == want
+    both.merging = None
+    assert [list(x) for x in both._ids_a(texts)] == want
+    odd = ["日本", "a\u00a0b", "x\u2028y", "\x85", "\x1c"]
+    assert not any(COMMON.fullmatch(t) for t in odd)
+
+
+def test_a_model_that_might_differ_is_not_merged_by_rank():
+    import json
+
+    with open(TOKENIZER_A, encoding="utf-8") as f, open(TOKENIZER_B, "rb") as g:
+        model, model_b = json.load(f), g.read()
+    merges = model["model"]["merges"]
+    model["model"]["merges"] = [merges[1], merges[0], *merges[2:]]
+    assert Tokenizers(json.dumps(model), model_b).merging is None
