@@ -252,18 +252,6 @@ class Postings:
         return cls(pairs, n_docs, planes)
 
 
-_loaded: dict[bytes, Tokenizers] = {}
-
-
-def _tokenizers(model_a: str, model_b: bytes) -> Tokenizers:
-    """One per worker and pair of models."""
-    key = hashlib.sha256(model_a.encode() + model_b).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Tokenizers(model_a, model_b)
-    return _loaded[key]
-
-
 @dataclass
 class Alignment:
     """documents: the columns of docs kept, and their numbers; pairs: (id_a, id_b, links, documents, best) of the whole corpus."""
@@ -293,8 +281,10 @@ def _blocks(docs: DataFrame, names: list[str], text: str, model_a: str, model_b:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        coder, arrow, number = _tokenizers(*models.value), to_arrow_schema(schema), TaskContext.get().partitionId() << 32
+        # A task loads both tokenizers and gives their memory back: workers are used again by stages that need none.
+        coder, arrow, number = None, to_arrow_schema(schema), TaskContext.get().partitionId() << 32
         for batch in batches:
+            coder = coder or Tokenizers(*models.value)
             sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(0)), 0), dtype=np.int64) + 64
             ends = np.cumsum(sizes)
             at = 0
@@ -321,6 +311,8 @@ def _blocks(docs: DataFrame, names: list[str], text: str, model_a: str, model_b:
                 }
                 yield pa.RecordBatch.from_arrays([row[f.name].cast(f.type) if f.name != "rows" else row["rows"] for f in arrow], schema=arrow)
                 number, at = number + 1, stop
+                del made, entries, postings, row
+        del coder
         give_back()
 
     source = docs.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)])
