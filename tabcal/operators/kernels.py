@@ -108,13 +108,13 @@ def sum_squared_error(coef, intercept_gap, n, cross, mean):
 
 
 def vif_from_correlation(r):
-    """Variance inflation = diagonal of the inverse correlation matrix; infinite when singular."""
-    try:
-        vif = np.diag(np.linalg.inv(r)).copy()
-    except np.linalg.LinAlgError:
-        vif = np.full(len(r), np.inf)
-    r2 = 1 - 1 / vif
-    vif[(r2 >= 1 - 1e-12) | ~np.isfinite(vif) | (vif < 0)] = np.inf
+    """Variance inflation = diagonal of the inverse correlation matrix; infinite for columns that take part in an exact dependence."""
+    values, vectors = np.linalg.eigh((r + r.T) / 2)
+    share = vectors ** 2
+    none = values <= 1e-12 * values.max()
+    vif = (share[:, ~none] / values[~none]).sum(axis=1)
+    vif[share[:, none].sum(axis=1) > 1e-9] = np.inf
+    vif[1 - 1 / vif >= 1 - 1e-12] = np.inf
     return vif
 
 
