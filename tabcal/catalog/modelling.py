@@ -17,7 +17,7 @@ from tabcal.functions.features import safe_ratio
 from tabcal.operators.columns import repair_types
 from tabcal.operators import bootstrap as B, encode as E, evaluate as V, grouped as G, linear as L, models as M, neighbors as N, preprocess as PP, splits as S
 from tabcal.plans import calibration as CP, clean_split as CS, compare as TC
-from tabcal.session import durable
+from tabcal.session import durable, written
 from tabcal.sources import readers as RD, writers as WR
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query("tree_models_m5")
 def _(spark, sf):
-    d = assembled(table_of_models(spark, sf)).cache()
+    d = written(assembled(table_of_models(spark, sf)))
     train = d.where("split = 'train'")
     return rounded(metrics_by_split({
         "decision_tree": M.decision_tree("features", "y", maxDepth=5, seed=1).fit(train),
@@ -124,7 +124,7 @@ def _(spark, sf):
 
 @query("gradient_boosting_m7")
 def _(spark, sf):
-    d = assembled(table_of_models(spark, sf)).cache()
+    d = written(assembled(table_of_models(spark, sf)))
     return rounded(metrics_by_split({"gbt": M.gradient_boosting("features", "y", maxIter=10, maxDepth=3, seed=1).fit(d.where("split = 'train'"))}, d), 4)
 
 
@@ -177,7 +177,7 @@ def _(spark, sf):
 
 @query("grid_search_trees_m9")
 def _(spark, sf):
-    d = assembled(folded(spark, sf)).where("split = 'train'").select("features", "y", "fold").cache()
+    d = written(assembled(folded(spark, sf)).where("split = 'train'").select("features", "y", "fold"))
     tree = M.decision_tree("features", "y", seed=1)
     grid = ParamGridBuilder().addGrid(tree.maxDepth, [2, 4]).build()
     return rounded(M.tune(tree, grid, d, "y", "fold", 3)[1], 4)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabcal.functions.text import nan_to_null
+from tabcal.session import written
 
 RECORD_BYTES = 64 << 20  # files up to this size are hashed as one record, larger ones as a stream
 
@@ -72,8 +73,11 @@ def read_multi_header(
 
 
 def promote_first_row(df: DataFrame, order: str) -> DataFrame:
-    """Use the first row (by ``order``, then by its place in the input) as column names and drop that row only."""
-    placed = df.withColumn("_line", F.monotonically_increasing_id())
+    """Use the first row (by ``order``, then by its place in the input) as column names and drop that row only.
+
+    The numbered rows are written once, so the row that is read is the row that is dropped, whatever is computed again.
+    """
+    placed = written(df.withColumn("_line", F.monotonically_increasing_id()))
     first = placed.orderBy(order, "_line").first()
     names = [c if c == order else clean_header_part(first[c]) or c for c in df.columns]
     return placed.where(F.col("_line") != first["_line"]).drop("_line").toDF(*names)
