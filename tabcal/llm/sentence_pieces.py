@@ -22,6 +22,17 @@ _SHIFT = 22  # a pair of piece numbers as one integer; characters without a piec
 _NONE = (1 << _SHIFT) - 1
 
 
+class _Packed(dict):
+    """Ids (32-bit, native order) by piece number; a character that is no piece gives the ids of its UTF-8 bytes."""
+
+    def __init__(self, n_names: int, bytes_from: int):
+        super().__init__((i, array("i", [i]).tobytes()) for i in range(n_names))
+        self.n_names, self.bytes_from = n_names, bytes_from
+
+    def __missing__(self, number: int) -> bytes:
+        return array("i", [self.bytes_from + b for b in chr(number - self.n_names).encode()]).tobytes()
+
+
 class Pieces:
     """Vocabulary of a SentencePiece model with byte fallback, and the forward pass over words.
 
@@ -48,6 +59,7 @@ class Pieces:
         self._older: dict[str, bytes] = {}
         self._known_bytes = 0
         self._apart: dict[int, bool] = {}
+        self._packed = _Packed(len(names), bytes_from)
         self.next: list[dict[str, int]] = []
         table = list(names)
         for b in range(256):
@@ -126,34 +138,41 @@ class Pieces:
 
     def _encode_bpe(self, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        following, fail, ending, known, count = self.next, self.fail, self.ending, self._apart.get, len(self.names)
-        states, last, sizes, previous = [0], [_NONE], [0], ""  # per prefix: automaton state, last piece and its length
+        following, fail, ending, known, count, packed = self.next, self.fail, self.ending, self._apart.get, len(self.names), self._packed
+        longest = max(map(len, words), default=0) + 1
+        states, last, sizes, previous = [0] * longest, [_NONE] * longest, [0] * longest, ""  # per prefix: automaton state, last piece, its length
         for word in words:
-            shared = 0
+            at = 0
             for x, y in zip(word, previous):
                 if x != y:
                     break
-                shared += 1
-            del states[shared + 1:], last[shared + 1:], sizes[shared + 1:]
-            state = states[shared]
-            for i in range(shared, len(word)):
-                c = word[i]
-                while state and c not in following[state]:
+                at += 1
+            state = states[at]
+            for c in word[at:]:
+                after = following[state].get(c)
+                while after is None:
+                    if not state:
+                        after = 0
+                        break
                     state = fail[state]
-                state = following[state].get(c, 0)
+                    after = following[state].get(c)
+                state = after
+                at += 1
                 for size, number in ending[state]:
-                    left = last[i + 1 - size]
+                    left = last[at - size]
                     fits = known(left << _SHIFT | number)
                     if fits or fits is None and self.apart(left, number):
                         break
                 else:  # a character that is no piece stands for itself
                     size, number = 1, count + ord(c)
-                    if not self.apart(last[i], number):
-                        raise ValueError(f"no encoding of {word[:i + 1]!r}")
-                states.append(state)
-                last.append(number)
-                sizes.append(size)
-            out[word] = self._path(last, sizes, len(word))
+                    if not self.apart(last[at - 1], number):
+                        raise ValueError(f"no encoding of {word[:at]!r}")
+                states[at], last[at], sizes[at] = state, number, size
+            path = []
+            while at:
+                path.append(packed[last[at]])
+                at -= sizes[at]
+            out[word] = b"".join(path[::-1])
             previous = word
         return out
 
@@ -190,13 +209,10 @@ class Pieces:
         while at:
             numbers.append(last[at])
             at -= sizes[at]
-        numbers.reverse()
-        return self._bytes(numbers)
+        return self._bytes(numbers[::-1])
 
     def _bytes(self, numbers: list[int]) -> bytes:
-        if max(numbers) >= len(self.names):
-            numbers = [x for n in numbers for x in ([n] if n < len(self.names) else [self.bytes_from + b for b in self._name(n).encode()])]
-        return array("i", numbers).tobytes()
+        return b"".join([self._packed[n] for n in numbers])
 
     def mark(self, text: str) -> list[str]:
         """The marked words of a text, which has a mark put before it: marks and what follows them, cut at characters that no
@@ -208,26 +224,44 @@ class Pieces:
         self.known, self._older, self._known_bytes = {}, {}, 0
         self._apart.clear()
 
-    def _remember(self, words: set[str]) -> None:
-        """Have all words in `known`. Words that were not asked for while it was filled to its bound twice are forgotten."""
+    def _remember(self, parts: set[str]) -> None:
+        """Have the ids of all marked parts of texts in `known`. Parts that were not asked for while it was filled to its bound twice
+        are forgotten."""
         if self._known_bytes > REMEMBERED_BYTES // 2:
             self.known, self._older, self._known_bytes = {}, self.known, 0
-        older = self._older
-        words = words - self.known.keys()
-        coded = {w: older[w] for w in words & older.keys()}
-        coded |= self.encode_words(words - coded.keys())
-        self._known_bytes += sum([WORD_BYTES + 4 * len(w) + len(ids) for w, ids in coded.items()])
-        self.known |= coded
+        older, known, find = self._older, self.known, self.word.findall
+        fresh, cut = [], {}
+        added = 0
+        for part in parts.difference(known):
+            ids = older.get(part)
+            if ids is None:
+                words = find(part)
+                if len(words) > 1:
+                    cut[part] = words
+                else:
+                    fresh.append(part)
+                continue
+            known[part] = ids
+            added += WORD_BYTES + 4 * len(part) + len(ids)
+        coded = self.encode_words(set(fresh).union(*cut.values()) if cut else fresh)
+        for part in fresh:
+            ids = known[part] = coded[part]
+            added += WORD_BYTES + 4 * len(part) + len(ids)
+        for part, words in cut.items():
+            ids = known[part] = b"".join([coded[w] for w in words])
+            added += WORD_BYTES + 4 * len(part) + len(ids)
+        self._known_bytes += added
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. Texts with single spaces are split at these; a part stands for its mark and itself."""
-        plain = [t.split(" ") if t and MARK not in t and "  " not in t and t[0] != " " else None for t in texts]
-        odd = [self.mark(t or "") if p is None else None for t, p in zip(texts, plain, strict=True)]
-        parts = {w: self.word.findall(MARK + w) for w in set().union(*[p for p in plain if p])}
-        self._remember(set().union(*parts.values(), *[m for m in odd if m]))
+        """Ids of each text. Texts with single spaces are split before these; a part is a mark and what follows it."""
+        parts = [
+            (MARK + t.replace(" ", " " + MARK)).split(" ") if t and MARK not in t and "  " not in t and t[0] != " " else self.mark(t or "")
+            for t in texts]
+        self._remember(set().union(*parts))
         known = self.known
-        coded = {w: known[m[0]] if len(m) == 1 else b"".join([known[x] for x in m]) for w, m in parts.items()}
-        return [b"".join(map(coded.__getitem__, p) if p else map(known.__getitem__, o)) for p, o in zip(plain, odd, strict=True)]
+        if self._known_bytes > REMEMBERED_BYTES:  # one slice may be a single very long text
+            self.known, self._known_bytes = {}, 0
+        return [b"".join([known[x] for x in p]) for p in parts]
 
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, runs of byte pieces read as UTF-8 (what is not valid becomes U+FFFD), marks to spaces,
