@@ -8,6 +8,7 @@ from tabcal.catalog.base import FRACTIONS, LINES, SEED, SPLIT_LINES, lines, md5_
 from tabcal.catalog.cleaning import PAIRS, RECODED, blanked
 from tabcal.catalog.columns import POLICY_COLUMNS, share_rows, spiked, split_lines, IQR_SQL
 from tabcal.operators import audit as A, columns as C, joins as J, ordering as O, profile as P, recode as K, splits as S
+from tabcal.operators.information import neighbor_mutual_information
 from tabcal.operators.scale import with_scalars
 
 TRAIN = "split = 'train'"
@@ -142,6 +143,11 @@ def _(spark, sf):
     return rounded(P.mutual_information(lines(spark, sf), ["l_quantity", "amount", "discount"], "l_extendedprice"))
 
 
+@query("neighbor_mutual_information_a15")
+def _(spark, sf):
+    return rounded(neighbor_mutual_information(lines(spark, sf), ["l_quantity", "amount", "discount"], "l_extendedprice", "row_id"))
+
+
 @query("histogram_a16", """SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 30)), 29)::BIGINT AS bin, count(*) AS n FROM orders, (SELECT min(o_totalprice) lo, max(o_totalprice) hi FROM orders) GROUP BY 1""")
 def _(spark, sf):
     return P.histogram(table(spark, sf, "orders"), "o_totalprice", 30)

@@ -135,8 +135,12 @@ def distances(query, train, metric, order=2.0):
             seen += both
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(seen > 0, np.sqrt(gaps * d / seen), np.inf)
-    power = 1.0 if metric == "manhattan" else order
     gaps = np.zeros((len(query), len(train)))
+    if metric == "chebyshev":
+        for j in range(query.shape[1]):
+            np.maximum(gaps, np.abs(query[:, j : j + 1] - train[:, j]), out=gaps)
+        return gaps
+    power = 1.0 if metric == "manhattan" else order
     for j in range(query.shape[1]):
         gaps += np.abs(query[:, j : j + 1] - train[:, j]) ** power
     return gaps ** (1.0 / power)

@@ -4,6 +4,7 @@
 * ``exact_quantiles``  exact interpolated quantiles without buffering a group anywhere
 * ``order_statistics`` exact k-th smallest value per group
 * ``value_ranks``      exact ranks per group without putting a group into one task
+* ``running_weights``  exact running sums per group along a value, by range partitions
 """
 
 from __future__ import annotations
@@ -299,6 +300,24 @@ def value_ranks(
     )
 
 
+def running_weights(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
+    """(keys, value, own, before): the weight on each value and the weight strictly below it in its group, one path for every group size.
+
+    Weights of equal values are added first.  The distinct values are range-partitioned by (keys, value) and written once, so a large
+    group spans several partitions and small ones share one; only totals per (keys, partition) cross between partitions.
+    """
+    keys = list(keys)
+    distinct = df.select(*keys, value, weight).where(usable(value)).groupBy(*keys, value).agg(F.sum(weight).alias("own"))
+    placed = written(distinct.repartitionByRange(*keys, value).withColumn("_b", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "_b").agg(F.sum("own").alias("_bw"))
+    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_bw").over(earlier), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return attach(placed, offsets, [*keys, "_b"]).select(
+        *keys, value, "own", (F.col("_off") + F.coalesce(F.sum("own").over(inside), F.lit(0))).alias("before")
+    )
+
+
 def average_rank() -> Column:
     """Average rank of tied values, from the columns of ``value_ranks``."""
     return F.col("before") + (F.col("ties") + 1) / F.lit(2.0)
