@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabcal.operators.evaluate import medians, point_aggregates
 from tabcal.operators.scale import (
-    LARGE_GROUP_ROWS, attach, average_rank, exact_quantiles, has_large_group, order_statistics, safe_corr, value_ranks,
+    attach, exact_quantiles, order_statistics, running_weights, safe_corr, usable,
 )
+from tabcal.session import written
 
 WIDTH_TOLERANCE = 1e-8  # fixed value: relative width spread that still counts as constant
 ERROR_FLOOR = 1e-8  # fixed value: smallest half-width when standardising an error
@@ -124,19 +125,23 @@ def interval_table(df: DataFrame, *, labels: dict[str, Column], carry: Sequence[
     )
 
 
-def spearman(
-    df: DataFrame, keys: Sequence[str], left: str, right: str, out: str, *, bounded: bool = False, large_rows: int = LARGE_GROUP_ROWS
-) -> DataFrame:
-    """Average-rank correlation per group; large groups are ranked without one task per group."""
-    rows = df.select(*keys, left, right).where(F.col(left).isNotNull() & F.col(right).isNotNull())
-    if not has_large_group(rows, keys, large_rows):
-        for column, rank in ((left, "_rl"), (right, "_rr")):
-            tied = F.count(F.lit(1)).over(W.partitionBy(*keys, column))
-            rows = rows.withColumn(rank, F.rank().over(W.partitionBy(*keys).orderBy(column)) + (tied - 1) / F.lit(2.0))
-        return rows.groupBy(*keys).agg(safe_corr("_rl", "_rr").alias(out))
-    for column, rank in ((left, "_rl"), (right, "_rr")):
-        ranked = value_ranks(rows, keys, column, bounded=bounded).select(*keys, column, "ties", average_rank().alias(rank))
-        rows = attach(rows, ranked, [*keys, column], size_col="ties").drop("ties")
+def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str, out: str, *, bounded: bool = False) -> DataFrame:
+    """Average-rank correlation per group, on rows where both are known (NaN is not).
+
+    Both columns of all groups are ranked in one range-partitioned pass, whatever the groups' sizes; ranks return to rows by value, those of
+    frequent values by broadcast.  ``bounded`` is accepted as elsewhere; the path does not depend on it.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, left, right).where(usable(left) & usable(right))
+    sides = F.inline(F.array(*[
+        F.struct(F.lit(side).alias("_side"), F.col(c).cast("double").alias("_v"), F.lit(1).alias("_w")) for side, c in enumerate((left, right))
+    ]))
+    ranks = written(running_weights(rows.select(*keys, sides), [*keys, "_side"], "_v", "_w"))
+    for side, (column, rank) in enumerate(((left, "_rl"), (right, "_rr"))):
+        mean_rank = (F.col("before") + (F.col("own") + 1) / F.lit(2.0)).alias(rank)
+        one = ranks.where(F.col("_side") == side).select(*keys, F.col("_v").alias(f"_v{side}"), mean_rank, F.col("own").alias(f"_own{side}"))
+        rows = attach(
+            rows.withColumn(f"_v{side}", F.col(column).cast("double")), one, [*keys, f"_v{side}"], size_col=f"_own{side}")
     return rows.groupBy(*keys).agg(safe_corr("_rl", "_rr").alias(out))
 
 

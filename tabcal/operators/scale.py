@@ -258,46 +258,10 @@ def _bracketed_statistics(clean, keys, value, ranks, bounded, count_as):
     )
 
 
-def has_large_group(df: DataFrame, keys: Sequence[str], rows: int = LARGE_GROUP_ROWS) -> bool:
-    """One counting job that decides whether per-group windows are safe."""
-    return len(large_groups(df, keys, rows).take(1)) > 0
-
-
-def _points_below(points: Column, value: Column, buckets: int) -> Column:
-    """How many of the buckets-1 sorted points are below the value, by bisection (buckets a power of 2)."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length() - 1))])
-    return F.aggregate(
-        steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) < value, at + step).otherwise(at)
-    )
-
-
-def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, *, bounded: bool = False, buckets: int = 512
-) -> DataFrame:
-    """(keys, value, ties, before): copies of each value and rows strictly below it in its group.
-
-    Copies are counted first; the distinct values are range-bucketed by split points that
-    are written to reliable storage once; only counts cross between buckets.
-    """
-    keys = list(keys)
-    clean = df.select(*keys, value).where(usable(value))
-    points = [i / buckets for i in range(1, buckets)]
-    splits = durable(
-        clean.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, points, SKETCH_ACCURACY).alias("_sp")
-        )
-    )
-    distinct = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    placed = attach(distinct, splits, keys, size_col="_n", bounded=bounded).select(
-        *keys, value, "ties", _points_below(F.col("_sp"), F.col(value), buckets).alias("_b")
-    )
-    per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("ties").alias("_bc"))
-    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, "_b", F.coalesce(F.sum("_bc").over(earlier), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*keys, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return attach(placed, offsets, [*keys, "_b"]).select(
-        *keys, value, "ties", (F.col("_off") + F.coalesce(F.sum("ties").over(inside), F.lit(0))).alias("before")
-    )
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, ties, before): copies of each value and rows strictly below it in its group."""
+    counted = df.select(*keys, value, F.lit(1).alias("_one"))
+    return running_weights(counted, keys, value, "_one").withColumnRenamed("own", "ties")
 
 
 def running_weights(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:

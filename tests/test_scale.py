@@ -53,21 +53,24 @@ def test_order_statistics(skewed, small_limits, large_rows):
 
 def test_value_ranks_match_pandas(skewed):
     df, pdf = skewed
-    got = S.value_ranks(df, ["k"], "v", buckets=8).withColumn("r", S.average_rank()).toPandas()
+    got = S.value_ranks(df, ["k"], "v").withColumn("r", S.average_rank()).toPandas()
     pdf = pdf.assign(k=pdf.k.fillna("none"))
     want = pdf.assign(r=pdf.groupby("k").v.rank())[["k", "v", "r"]].drop_duplicates().sort_values(["k", "v"])
     got = got.assign(k=got.k.fillna("none")).sort_values(["k", "v"])
     assert np.allclose(got.r.to_numpy(), want.r.to_numpy())
 
 
-def test_spearman_paths_agree(spark):
+def test_spearman_matches_pandas_with_a_hot_group_and_value(spark):
     rng = np.random.default_rng(2)
-    pdf = pd.DataFrame({"g": rng.choice(["x", "y"], 900), "a": rng.integers(0, 30, 900).astype(float), "b": rng.normal(size=900)})
-    df = spark.createDataFrame(pdf)
-    want = {g: d.a.rank().corr(d.b.rank()) for g, d in pdf.groupby("g")}
-    for large in (10, 10**6):
-        got = {r.g: r.rho for r in K.spearman(df, ["g"], "a", "b", "rho", large_rows=large).collect()}
-        assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    pdf = pd.DataFrame({"g": rng.choice(["x", "x", "x", "y", "z"], 3000), "a": rng.integers(0, 30, 3000).astype(float), "b": rng.normal(size=3000)})
+    pdf.loc[rng.random(3000) < 0.4, "a"] = 7.0
+    pdf.loc[:40, "b"] = np.nan
+    pdf.loc[50, "g"] = "single"
+    df = spark.createDataFrame(pdf).repartition(6)
+    known = pdf.dropna()
+    want = {g: d.a.rank().corr(d.b.rank()) for g, d in known.groupby("g") if len(d) > 1}
+    got = {r.g: r.rho for r in K.spearman(df, ["g"], "a", "b", "rho").collect()}
+    assert all(abs(got[g] - want[g]) < 1e-9 for g in want) and got["single"] is None
 
 
 def test_attach_keeps_every_row_once_with_hot_and_null_keys(skewed):
