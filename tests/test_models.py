@@ -180,3 +180,27 @@ def test_searches_compare_clearly_fewer_than_all_pairs(spark, monkeypatch):
             d[i] = np.inf
             assert set(found[found.i == i].neighbor_id) == set(np.argsort(d)[:3])
     assert 0 < shares[1] < 0.1 and shares[1] < shares[0]
+
+
+def test_a_query_goes_once_to_a_tile_and_wide_vectors_stay_exact(spark, monkeypatch):
+    """In wide space no cell can be left out; a query's vector is sent once per tile of cells, not once per cell."""
+    from tabcal.operators import neighbors as N
+
+    rng = np.random.default_rng(21)
+    n = 600
+    v = rng.normal(size=(n, 24)) + 1e4  # far from the origin, so a careless product would lose digits
+    v[5] = v[400]
+    df = spark.createDataFrame([(i, [float(x) for x in row], float(i)) for i, row in enumerate(v)], "i long, v array<double>, y double")
+    sent, plain = [], N.written
+
+    def counted(table):
+        out = plain(table)
+        if "cells" in out.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "written", counted)
+    got = N.nearest(df, df, query_id="i", train_id="i", vector="v", value="y", k=5, exclude_self=True, block_rows=200).orderBy("i", "rank").toPandas()
+    assert n <= sent[0] <= 6 * n  # 64 pivots, at most 6 tiles
+    want_ids, want_d = brute(v, np.arange(n), np.arange(n), 5)
+    assert (got.neighbor_id.to_numpy().reshape(n, 5) == want_ids).all() and np.allclose(got.distance.to_numpy().reshape(n, 5), want_d)
