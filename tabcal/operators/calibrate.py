@@ -28,6 +28,11 @@ def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+def conformal_rank(n: Column, alpha: float) -> Column:
+    """The finite-sample rank min(n, ceil((n + 1)(1 - alpha)))."""
+    return F.least(n, F.ceil((n + 1).cast("double") * F.lit(1 - alpha)))
+
+
 def conformal_quantiles(
     scores: DataFrame, keys: Sequence[str], score: str, alphas: Sequence[float], *, bounded: bool = False
 ) -> DataFrame:
@@ -38,7 +43,7 @@ def conformal_quantiles(
     for alpha in alphas:
         if not 0 < alpha < 1:
             raise ValueError("alpha must be strictly between 0 and 1")
-    rank = lambda n, a: F.least(n, F.ceil((n + 1).cast("double") * F.lit(1 - a)))
+    rank = conformal_rank
     wanted = {f"_q{i}": (1 - a, rank(F.col("_n"), a)) for i, a in enumerate(alphas)}
     wide = order_statistics(scores.where(_finite(score)), keys, score, wanted, bounded=bounded, count_as="_rows")
     levels = F.inline(F.array(*[

@@ -154,9 +154,14 @@ def fold_tables(
     return mine.groupBy("_g").applyInPandas(solve, f"_g {kind}, _table array<double>").withColumnRenamed("_g", group)
 
 
-def table_prediction(features: Sequence[str], edges, table: Column) -> Column:
+def table_cells(features: Sequence[str], edges) -> list[Column]:
+    """The entries of a fold's table that a row's prediction adds up."""
     width = _width(edges)
-    return sum((F.get(table, bin_number(F.col(c), edges[i]) + i * width) for i, c in enumerate(features)), F.lit(0.0))
+    return [bin_number(F.col(c), edges[i]) + i * width for i, c in enumerate(features)]
+
+
+def table_prediction(features: Sequence[str], edges, table: Column) -> Column:
+    return sum((F.get(table, cell) for cell in table_cells(features, edges)), F.lit(0.0))
 
 
 def leave_group_out_boosting(

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabcal.operators import bootstrap as B, calibrate as K, grouped as G, linear as L
+from tabcal.operators import bootstrap as B, calibrate as K, grouped as G, kernels, linear as L
 from tabcal.operators.scale import attach, pin, with_scalars
 from tabcal.session import durable, written
 
+cloudpickle.register_pickle_by_value(kernels)
+
 SD_FLOOR = 1e-8
-FOLD_BATCH = 1000
+FOLD_BATCH = 1000  # models that meet a chunk of calibration rows in one task
+CHUNK_ROWS = 50_000  # calibration rows in a chunk
+ERRORS = 1 << 20  # errors worked out at once
 
 
 def _frame(df, method, model, scheme, coverage, carry, uncertainty=None):
@@ -100,13 +107,14 @@ def coverage_curve(intervals: DataFrame) -> DataFrame:
 
 
 def _linear_folds(pool, group, features, target, kind, minimum_rows, params):
-    """(group, _model) of the models without each eligible group, and how a model predicts."""
+    """(group, _model, _numbers) of the models without each eligible group, how a model predicts, and what it reads of a row."""
     sums = L.cross_products(pool, [group], [*features, target])
     folds = L.without_each(sums, [group], len(features) + 1)
     eligible = sums.where(F.col("n") >= minimum_rows).select(group, F.lit(1).alias("_ok"))
     models = attach(L.fit(folds, [group], features, kind, **params), eligible, [group]).where("_ok = 1")
     predict = lambda m: sum((F.col(c).cast("double") * m.coef[i] for i, c in enumerate(features)), m.intercept)
-    return written(models.select(group, F.struct("coef", "intercept").alias("_model"))), predict
+    numbers = F.concat(F.array(F.col("intercept").cast("double")), "coef")
+    return models.select(group, F.struct("coef", "intercept").alias("_model"), numbers.alias("_numbers")), predict, [F.col(c).cast("double") for c in features]
 
 
 def _stump_folds(pool, group, features, target, kind, minimum_rows, params):
@@ -115,7 +123,55 @@ def _stump_folds(pool, group, features, target, kind, minimum_rows, params):
     edges = G.bin_edges(pool, features, bins)
     tables = G.fold_tables(
         pool, group, features, target, rounds=params.get("rounds", 100), rate=params.get("rate", 0.1), minimum_rows=minimum_rows, bins=bins, edges=edges)
-    return written(tables.withColumnRenamed("_table", "_model")), lambda m: G.table_prediction(features, edges, m)
+    models = tables.withColumnRenamed("_table", "_model").withColumn("_numbers", F.col("_model"))
+    return models, lambda m: G.table_prediction(features, edges, m), G.table_cells(features, edges)
+
+
+def _fold_quantiles(folds, cal, inputs, target, linear, coverage):
+    """(_f, q_hat): per fold (_f, _numbers) the finite-sample conformal quantile of its absolute errors on all calibration rows.
+
+    Batches of folds meet chunks of rows twice: the first time each chunk brackets its own quantile, and the fold's quantile lies between
+    the smallest and the largest of these; the second time errors below are counted and only those inside are returned.  So the errors
+    themselves are never shuffled.
+    """
+    rows = written(cal.select(F.col(target).cast("double").alias("y"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(inputs)]))
+    batches, chunks = max(1, -(-folds.count() // FOLD_BATCH)), max(1, -(-rows.count() // CHUNK_ROWS))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    salt = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id(), "y")
+    rows = written(rows.withColumn("chunk", F.pmod(salt, F.lit(chunks)).cast("int"))).withColumn("batch", spread(batches))
+    batch = F.pmod(F.xxhash64("_f"), F.lit(batches)).cast("int").alias("batch")
+    names = [f"x{i}" for i in range(len(inputs))]
+
+    def met(models, run, schema):
+        def cell(some, chunk):
+            parts = []
+            if len(some) and len(chunk):
+                y, x, step = chunk["y"].to_numpy(float), chunk[names].to_numpy(float), max(1, ERRORS // len(chunk))
+                for at in range(0, len(some), step):
+                    part = some.iloc[at : at + step]
+                    parts.append(run(part, kernels.fold_errors(kernels.stack(part["_numbers"]), x, y, linear)))
+            return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+        left = models.withColumn("chunk", spread(chunks))
+        return left.groupBy("batch", "chunk").cogroup(rows.groupBy("batch", "chunk")).applyInPandas(cell, schema)
+
+    def bracket(part, errors):
+        ends = kernels.error_bracket(errors, coverage)
+        return pd.DataFrame({"_f": part["_f"].to_numpy(), "low": ends[:, 0], "high": ends[:, 1]})
+
+    def inside(part, errors):
+        found = list(kernels.errors_inside(errors, part["low"], part["high"]))
+        return pd.DataFrame(list(zip(part["_f"], *zip(*found))), columns=["_f", "n", "below", "value", "count"])
+
+    models = folds.select("_f", "_numbers", batch)
+    known = met(models, bracket, "_f long, low double, high double").where(~F.isnan("low"))
+    ends = known.groupBy("_f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    parts = written(met(models.join(ends, "_f"), inside, "_f long, n long, below long, value array<double>, count array<long>"))
+    totals = parts.groupBy("_f").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+    values = parts.select("_f", F.explode(F.arrays_zip("value", "count")).alias("z")).groupBy("_f", F.col("z.value").alias("value")).agg(F.sum("z.count").alias("c"))
+    running = F.sum("c").over(W.partitionBy("_f").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    upto = values.withColumn("upto", running).join(totals, "_f")
+    return upto.where(F.col("below") + F.col("upto") >= K.conformal_rank(F.col("n"), 1 - coverage)).groupBy("_f").agg(F.min("value").alias("q_hat"))
 
 
 def held_out_conformal(
@@ -127,26 +183,17 @@ def held_out_conformal(
     ``calibration`` is a condition marking the fixed calibration groups.  Fold g trains on all
     groups but g and the calibration groups, so its statistics are the training total minus g's own:
     cross products of a linear model, counts of bin pairs of boosted ``stumps``.  Calibration scores are
-    needed per fold, so the folds' models (one row each) meet the calibration rows.
+    needed per fold, so the folds' models (one row each) meet the calibration rows in blocks.
     """
     marked = df.withColumn("_cal", F.expr(calibration))
     pool = marked.where(~F.col("_cal"))
-    fitted, predict = (_stump_folds if kind == "stumps" else _linear_folds)(pool, group, features, target, kind, minimum_rows, params)
+    models, predict, inputs = (_stump_folds if kind == "stumps" else _linear_folds)(pool, group, features, target, kind, minimum_rows, params)
+    fitted = written(models.withColumn("_f", F.monotonically_increasing_id()))
+    q = _fold_quantiles(fitted.select("_f", "_numbers"), marked.where("_cal"), inputs, target, kind != "stumps", coverage)
+    q = fitted.select(group, "_f").join(q, "_f", "left").drop("_f")
+    fitted = fitted.select(group, "_model")
     scored = attach(pool, fitted, [group], count_rows=True).where(F.col("_model").isNotNull()).withColumn("prediction", predict(F.col("_model"))).drop("_model")
     scored = scored.where("prediction IS NOT NULL")
-    cal = marked.where("_cal").select(target, *features)
-    batches = -(-fitted.count() // FOLD_BATCH)
-    q = None
-    for batch in range(batches):
-        # every fold scores the calibration rows; a bounded batch of models is broadcast at a time
-        part = fitted.where(F.pmod(F.xxhash64(group), F.lit(batches)) == batch) if batches > 1 else fitted
-        one = part.agg(F.collect_list(F.struct(group, "_model")).alias("_folds"))
-        errors = with_scalars(cal, one).select(target, *features, F.explode("_folds").alias("_f")).select(
-            F.col(f"_f.{group}").alias(group), F.abs(F.col(target) - predict(F.col("_f._model"))).alias("_s"))
-        found = K.conformal_quantiles(errors, [group], "_s", [1 - coverage]).select(group, "q_hat")
-        q = found if q is None else q.unionByName(found)
-    if q is None:
-        q = fitted.select(group, F.lit(None).cast("double").alias("q_hat"))
     rows = attach(scored, q, [group], count_rows=True).select(
         F.col(row_id).cast("string").alias("row_id"), F.lit("heldout").alias("role"), F.col(target).alias("Actual"),
         F.col("prediction").alias("Predicted"), "q_hat", group, *[c for c in carry if c != group],

@@ -185,3 +185,23 @@ def test_draws_equal_plain_remainders():
                     high = fifth((x * 48271 + k // p * 16807 + r * 69621 + stream) % p)
                     low = fifth((high * 69621 + x) % p)
                     assert got[i, r] == (high * n + low * n // p) // p
+
+
+def test_fold_quantiles_equal_sorted_errors(spark, monkeypatch):
+    """Brackets of chunks and counts give each fold's order statistic exactly, with repeated errors, and rows without target or feature left out."""
+    from tabcal.plans import calibration as CP
+
+    monkeypatch.setattr(CP, "CHUNK_ROWS", 90)
+    monkeypatch.setattr(CP, "FOLD_BATCH", 4)
+    rng = np.random.default_rng(12)
+    x, y = rng.integers(0, 6, 700).astype(float), rng.integers(0, 9, 700).astype(float)
+    x[:20], y[20:50] = np.nan, np.nan
+    cal = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).replace(float("nan"), None)
+    models = rng.integers(-2, 3, (11, 2)).astype(float)
+    models[7:] += rng.normal(size=(4, 2))
+    folds = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(models)], "_f long, _numbers array<double>")
+    for coverage in (0.5, 0.9, 0.999):
+        got = {r._f: r.q_hat for r in CP._fold_quantiles(folds, cal, [F.col("x")], "y", True, coverage).collect()}
+        for i, (a, b) in enumerate(models):
+            e = np.sort(np.abs(y - (a + b * x))[~np.isnan(x + y)])
+            assert got[i] == e[min(len(e), int(np.ceil((len(e) + 1) * (1 - (1 - coverage))))) - 1]
