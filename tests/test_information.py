@@ -51,6 +51,21 @@ def test_estimate_equals_all_pairs(rows):
     assert got["apart"].mutual_information < 0.1 < got["steps"].mutual_information
 
 
+def test_radius_across_boxes_equals_all_pairs(spark):
+    """Lines, a far point, copies and boxes far smaller than the data, so most squares leave their box."""
+    rng = np.random.default_rng(11)
+    x = np.r_[rng.integers(0, 5, 600) * 10**6 + rng.integers(0, 3, 600), rng.integers(0, 10**7, 600), 10**12]
+    y = np.r_[rng.integers(0, 10**4, 600), rng.integers(0, 10**7, 600), 5]
+    frame = pd.DataFrame({"x": x, "y": y}).drop_duplicates().reset_index(drop=True)
+    frame["m"] = rng.choice([1, 1, 1, 2, 3, 9], len(frame))
+    frame.insert(0, "id", np.arange(len(frame)))
+    got = I.plane_radius(spark.createDataFrame(frame), 3, box_rows=40).toPandas().set_index("id")["radius"]
+    at = np.repeat(frame[["x", "y"]].to_numpy(), frame["m"], axis=0)
+    for r in frame.itertuples():
+        d = np.sort(np.abs(at - np.array([r.x, r.y])).max(axis=1))
+        assert got[r.id] == d[3]
+
+
 def test_digamma(spark):
     got = spark.range(1, 60).select("id", I.digamma(F.col("id").cast("double")).alias("p")).collect()
     assert all(abs(r.p - psi(r.id)) < 1e-11 for r in got)
