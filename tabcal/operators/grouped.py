@@ -19,21 +19,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabcal.operators import group_kernels as GK
 from tabcal.operators.neighbors import knn_regression, nearest
-from tabcal.operators.scale import attach, exact_quantiles, usable
+from tabcal.operators.scale import attach, by_size, running_weights, unpivot_numeric, usable
 from tabcal.session import written
 
 cloudpickle.register_pickle_by_value(GK)
 
 BINS = 32
+SEARCHED_EDGES = 64  # up to so many edges a value's bin is found by nested comparisons, beyond by a list
+GROUP_ROWS = 200_000  # a group of at most so many rows may be counted in one task; at most rows / this many are larger
+SPLIT_ROWS = 2_000  # nodes whose splits are sought at once
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[list[float]]:
-    """Per feature the distinct exact quantiles at 1/bins, 2/bins, ...: at most features x bins numbers."""
-    probs = {f"_{i}": i / bins for i in range(1, bins)}
+    """Per feature the distinct exact quantiles at 1/bins, 2/bins, ...: at most features x bins numbers.
+
+    Equal values of all features are counted first and ranked in one range-partitioned pass; only values at wanted ranks return.
+    """
+    long = unpivot_numeric(df, [], features).withColumn("_one", F.lit(1))
+    ranks = written(running_weights(long, ["column"], "value", "_one"))
+    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.sum("own").alias("n")).collect()}
+    position = {c: [(n - 1) * (i / bins) for i in range(1, bins)] for c, n in sizes.items()}
+    wanted = {c: sorted({min(int(p) + up, sizes[c]) for p in at for up in (1, 2)}) for c, at in position.items()}
+    if not any(wanted.values()):
+        return [[] for _ in features]
+    asked = F.coalesce(*[F.when(F.col("column") == c, F.array(*[F.lit(k).cast("long") for k in at])) for c, at in wanted.items()])
+    held = ranks.withColumn("_k", F.explode(F.filter(asked, lambda k: (k > F.col("before")) & (k <= F.col("before") + F.col("own")))))
+    found = {(r["column"], r["_k"]): r["value"] for r in held.select("column", "_k", "value").collect()}
     out = []
     for c in features:
-        row = exact_quantiles(df.select(F.col(c).cast("double").alias(c)), [], c, probs).first()
-        out.append(sorted({row[p] for p in probs} - {None}))
+        edges = set()
+        for p in position.get(c, ()):
+            low, high = (found[c, min(int(p) + up, sizes[c])] for up in (1, 2))
+            edges.add(low + (high - low) * (p - int(p)) if p > int(p) else low)
+        out.append(sorted(edges))
     return out
 
 
@@ -42,8 +60,18 @@ def bin_number(feature: Column, edges: Sequence[float]) -> Column:
     value = feature.cast("double")
     if not edges:
         return F.lit(0)
-    return F.when(value.isNull() | F.isnan(value), F.lit(0)).otherwise(
-        F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < value)))
+
+    def below(low: int, high: int) -> Column:  # between low and high edges lie below the value
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(float(edges[middle])), below(middle + 1, high)).otherwise(below(low, middle))
+
+    if len(edges) <= SEARCHED_EDGES:
+        number = below(0, len(edges))
+    else:
+        number = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < value))
+    return F.when(value.isNull() | F.isnan(value), F.lit(0)).otherwise(number)
 
 
 def _binned(df: DataFrame, group: str, features: Sequence[str], target: str, edges) -> DataFrame:
@@ -78,7 +106,8 @@ def leave_group_out_tree(
     """
     edges = bin_edges(df, features, bins)
     width = _width(edges)
-    rows = _binned(df, group, features, target, edges).withColumn("_path", F.lit(""))
+    # Rows of a group lie together, a large group in several partitions, so each level adds most of a group's rows up before its shuffle.
+    rows = written(_binned(df, group, features, target, edges).repartitionByRange("_g", "_y")).withColumn("_path", F.lit(""))
     folds = written(_folds(rows, minimum_rows).withColumns({"_path": F.lit(""), "_node": F.lit("")}))
     kind = _group_type(df, group)
     centre = rows.agg(F.avg("_y").alias("m")).first()["m"] or 0.0
@@ -90,17 +119,20 @@ def leave_group_out_tree(
         total = own.groupBy("_path", "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).groupBy("_path").agg(packed.alias("_all"))
         mine = own.groupBy("_path", "_g").agg(packed.alias("_mine"))
         asked = attach(attach(folds, total, ["_path"], count_rows=True), mine, ["_path", "_g"])
+        lists = [F.col(f"_{w}.{c}").alias(f"{w}_{c}") for w in ("all", "mine") for c in ("cell", "n", "s")]
         last = level == depth
 
         def split(batches, last=last):
-            for pdf in batches:
-                found = [GK.best_split(a, m, len(features), width, minimum_leaf, last) for a, m in zip(pdf["_all"], pdf["_mine"])]
-                for i, name in enumerate(("value", "feature", "bin", "gains")):
-                    pdf[name] = [f[i] for f in found]
-                pdf["value"] += centre
-                yield pdf[["_g", "_path", "_node", "value", "feature", "bin", "gains"]]
-
-        nodes = written(asked.select("_g", "_path", "_node", "_all", "_mine").mapInPandas(
+            size = len(features) * width
+            for whole in batches:
+                for at in range(0, len(whole), SPLIT_ROWS):
+                    pdf = whole.iloc[at : at + SPLIT_ROWS]
+                    every, own = (GK.cell_sums(pdf[f"{w}_cell"], pdf[f"{w}_n"], pdf[f"{w}_s"], size) for w in ("all", "mine"))
+                    n, s = ((a - b).reshape(len(pdf), len(features), width) for a, b in zip(every, own))
+                    value, feature, place, gains = GK.best_splits(n, s, width, minimum_leaf, last)
+                    yield pdf[["_g", "_path", "_node"]].assign(value=value + centre, feature=feature, bin=place, gains=gains)
+
+        nodes = written(asked.select("_g", "_path", "_node", *lists).mapInPandas(
             split, f"_g {kind}, _path string, _node string, value double, feature int, bin int, gains boolean"))
         kept = nodes.select("_g", "_node", "value", "feature", "bin", "gains")
         trees = kept if trees is None else trees.unionByName(kept)
@@ -133,25 +165,45 @@ def fold_tables(
     """(group, _table): per eligible group the boosted model of all other groups, as one number per feature and bin; the mean of the
     target is spread over the features."""
     width, d = _width(edges), len(features)
-    rows = _binned(df, group, features, target, edges)
-    kind = _group_type(df, group)
-    # Per group and pair of cells the number of rows; the pair of a cell with itself also carries the sum of the target.
-    pairs = rows.select("_g", "_y", F.explode(F.transform("_cells", lambda a: F.struct(
-        a.alias("a"), F.filter("_cells", lambda b: b >= a).alias("others")))).alias("p")).select("_g", "_y", "p.a", F.explode("p.others").alias("b"))
-    own = written(pairs.groupBy("_g", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("_y"))).alias("s")))
+    kind, size = _group_type(df, group), d * width
+    rows = written(_binned(df, group, features, target, edges).select("_g", "_y", *[F.get("_cells", i).alias(f"_c{i}") for i in range(d)]))
+    numbers = lambda pdf: pdf[[f"_c{i}" for i in range(d)]].to_numpy(np.int64)
+
+    def count(batches):  # rows per pair of cells in a task, at most cells squared numbers; the pair of a cell with itself carries the target's sum
+        counts, sums = np.zeros((size, size)), np.zeros(size)
+        for pdf in batches:
+            a, b, n, s = GK.pair_counts(numbers(pdf), pdf["_y"].to_numpy(), size)
+            counts[a, b] += n
+            sums[a[a == b]] += s[a == b]
+        a, b = np.nonzero(counts)
+        yield pd.DataFrame({"a": a, "b": b, "n": counts[a, b], "s": np.where(a == b, sums[a], 0.0)})
+
     # Features x bins squared numbers at most: fixed by the parameters.
-    total = own.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
-    counts, sums = GK.matrices(total, d * width)
-    shared = df.sparkSession.sparkContext.broadcast((counts, sums))
-    eligible = _folds(rows, minimum_rows).select(F.col("_g").alias("_e"))
-    mine = own.join(eligible, own["_g"].eqNullSafe(F.col("_e")), "left_semi")
+    total = rows.mapInPandas(count, "a int, b int, n double, s double").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
+    shared = df.sparkSession.sparkContext.broadcast(GK.matrices(total, size))
 
-    def solve(key, pdf):
-        n, s = GK.matrices(pdf, d * width)
+    def solve(g, n, s):
         table = GK.boost_stumps(shared.value[0] - n, shared.value[1] - s, d, width, rounds, rate)
-        return pd.DataFrame({"_g": [key[0]], "_table": [table]})
-
-    return mine.groupBy("_g").applyInPandas(solve, f"_g {kind}, _table array<double>").withColumnRenamed("_g", group)
+        return pd.DataFrame({"_g": [g], "_table": [table]})
+
+    def from_rows(key, pdf):
+        if len(pdf) < minimum_rows:
+            return pd.DataFrame({"_g": [], "_table": []})
+        a, b, n, s = GK.pair_counts(numbers(pdf), pdf["_y"].to_numpy(), size)
+        return solve(key[0], *GK.matrices({"a": a, "b": b, "n": n, "s": s}, size))
+
+    # A group's rows are shuffled once and counted in its task; of a large group only the counts of its pairs are.
+    small, large = by_size(rows, ["_g"], GROUP_ROWS)
+    out = f"_g {kind}, _table array<double>"
+    direct = small.groupBy("_g").applyInPandas(from_rows, out)
+    cells = F.array(*[f"_c{i}" for i in range(d)])
+    pairs = large.withColumn("_cells", cells).select("_g", "_y", F.explode(F.transform("_cells", lambda a: F.struct(
+        a.alias("a"), F.filter("_cells", lambda b: b >= a).alias("others")))).alias("p")).select("_g", "_y", "p.a", F.explode("p.others").alias("b"))
+    own = pairs.groupBy("_g", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("_y"))).alias("s"))
+    eligible = _folds(large, minimum_rows).select(F.col("_g").alias("_e"))
+    mine = own.join(eligible, own["_g"].eqNullSafe(F.col("_e")), "left_semi")
+    summed = mine.groupBy("_g").applyInPandas(lambda key, pdf: solve(key[0], *GK.matrices(pdf, size)), out)
+    return direct.unionByName(summed).withColumnRenamed("_g", group)
 
 
 def table_cells(features: Sequence[str], edges) -> list[Column]:
@@ -170,8 +222,8 @@ def leave_group_out_boosting(
 ) -> DataFrame:
     """Rows of every eligible group with the prediction of boosted stumps (squared error) fitted on all other groups' rows.
 
-    Counts of bin pairs per group are gathered in one pass; each fold subtracts its own and boosts on the matrix alone, so the number
-    of rounds and of folds costs no pass over rows.  Splits and ties as in ``leave_group_out_tree``.
+    Counts of bin pairs are gathered in one pass and per group in its task; each fold subtracts its own and boosts on the matrix alone, so
+    the number of rounds and of folds costs no pass over rows.  Splits and ties as in ``leave_group_out_tree``.
     """
     edges = bin_edges(df, features, bins)
     tables = fold_tables(df, group, features, target, rounds=rounds, rate=rate, minimum_rows=minimum_rows, bins=bins, edges=edges)
