@@ -10,7 +10,7 @@ from tabcal.functions.features import right_closed_bin
 from tabcal.functions.rules import usage_group
 from tabcal.operators import calibrate as K, encode as E, evaluate as V
 from tabcal.operators.scale import attach
-from tabcal.session import durable
+from tabcal.session import written
 
 TRAIN = "split = 'train'"
 
@@ -336,8 +336,9 @@ IV = Q_SQL + """, mi AS (SELECT 'split_conformal' AS method, pr.*, Predicted - q
 
 
 def intervals(spark, sf):
-    """Two conformal methods on the test rows; their quantiles come from one job over the validation rows."""
-    p = predictions(spark, sf)
+    """Two conformal methods on the test rows; their quantiles come from one job over the validation rows.  Both splits are written once."""
+    p = written(predictions(spark, sf).where("split IN ('validation', 'test')").select(
+        "model", "split", "row_id", "Actual", "Predicted", "AbsoluteError", "l_suppkey", "l_quantity"))
     spread = F.greatest(100 * (1 + F.col("l_quantity")), F.lit(1e-8))
     widths = {"split_conformal": F.lit(1.0), "normalised_conformal": spread}
     option = lambda m, w: F.struct(F.lit(m).alias("method"), w.alias("unit"))
@@ -352,7 +353,7 @@ def intervals(spark, sf):
 
 def stored_intervals(spark, sf):
     """The interval table as a job would keep it: written once, then summarised several times."""
-    return durable(intervals(spark, sf))
+    return written(intervals(spark, sf))
 
 
 @query("normalised_conformal_c12", Q_SQL + "SELECT model, round(q_norm, 9) AS q_hat FROM qn")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabcal.operators.evaluate import medians, point_aggregates
 from tabcal.operators.scale import (
-    attach, exact_quantiles, order_statistics, running_weights, safe_corr, usable,
+    LARGE_GROUP_ROWS, attach, by_size, exact_quantiles, null_safe, order_statistics, running_weights, safe_corr, usable,
 )
 from tabcal.session import written
 
@@ -133,11 +133,23 @@ def interval_table(df: DataFrame, *, labels: dict[str, Column], carry: Sequence[
 def spearman(df: DataFrame, keys: Sequence[str], left: str, right: str, out: str, *, bounded: bool = False) -> DataFrame:
     """Average-rank correlation per group, on rows where both are known (NaN is not).
 
-    Both columns of all groups are ranked in one range-partitioned pass, whatever the groups' sizes; ranks return to rows by value, those of
-    frequent values by broadcast.  ``bounded`` is accepted as elsewhere; the path does not depend on it.
+    Groups of at most ``LARGE_GROUP_ROWS`` rows are ranked in the task that holds them.  Both columns of larger groups, and of all where the
+    keys are ``bounded`` or none, are ranked in one range-partitioned pass; ranks return to rows by value, those of frequent values by broadcast.
     """
     keys = list(keys)
-    rows = df.select(*keys, left, right).where(usable(left) & usable(right))
+    rows = df.select(*keys, F.col(left).cast("double").alias(left), F.col(right).cast("double").alias(right)).where(usable(left) & usable(right))
+    if keys and not bounded:
+        rows = written(rows)
+        small, rows = by_size(rows, keys, LARGE_GROUP_ROWS)
+        group = W.partitionBy(*keys)
+        mean_rank = lambda c: F.rank().over(group.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, c)) - 1) / F.lit(2.0)
+        ranked = small.select(*keys, right, mean_rank(left).alias("_rl")).select(*keys, "_rl", mean_rank(right).alias("_rr"))
+        direct = ranked.groupBy(*keys).agg(safe_corr("_rl", "_rr").alias(out))
+        return direct.unionByName(_spread_spearman(rows, keys, left, right, out))
+    return _spread_spearman(rows, keys, left, right, out)
+
+
+def _spread_spearman(rows, keys, left, right, out):
     sides = F.inline(F.array(*[
         F.struct(F.lit(side).alias("_side"), F.col(c).cast("double").alias("_v"), F.lit(1).alias("_w")) for side, c in enumerate((left, right))
     ]))
@@ -176,7 +188,12 @@ def interval_metrics(
     out = attach(base, middle, keys, bounded=bounded)
     varying = F.col("_range") > F.greatest(F.lit(WIDTH_TOLERANCE), F.abs("MedianIntervalWidth") * WIDTH_TOLERANCE)
     if with_spearman:
-        ranked = spearman(intervals, keys, "IntervalWidth", "AbsoluteError", "_rho", bounded=bounded)
+        rows = intervals
+        if bounded:  # widths that do not vary have no rank correlation, so their rows need no ranks
+            out = written(out)
+            asked = out.where(varying).select(*[F.col(k).alias(f"_vk{i}") for i, k in enumerate(keys)])
+            rows = intervals.join(F.broadcast(asked), null_safe(keys, "_vk"), "left_semi")
+        ranked = spearman(rows, keys, "IntervalWidth", "AbsoluteError", "_rho", bounded=bounded)
         out = attach(out, ranked, keys, bounded=bounded)
         rho = F.when(varying, F.col("_rho"))
     else:
