@@ -205,3 +205,22 @@ def test_fold_quantiles_equal_sorted_errors(spark, monkeypatch):
         for i, (a, b) in enumerate(models):
             e = np.sort(np.abs(y - (a + b * x))[~np.isnan(x + y)])
             assert got[i] == e[min(len(e), int(np.ceil((len(e) + 1) * (1 - (1 - coverage))))) - 1]
+
+
+def test_rank_correlation_of_small_and_large_groups(spark, monkeypatch):
+    """Small groups are ranked in their task, large ones across tasks; both equal pandas, ties, NULL keys and unknown values included."""
+    from tabcal.operators import calibrate
+
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"k": np.where(np.arange(400) < 250, "big", rng.choice(["a", "b", "c"], 400)), "u": rng.integers(0, 9, 400) * 1.0, "v": rng.normal(size=400).round(1)})
+    frame.loc[300:330, "k"] = None
+    frame.loc[5:9, "u"] = np.nan
+    spread = []
+    monkeypatch.setattr(calibrate, "LARGE_GROUP_ROWS", 100)
+    monkeypatch.setattr(calibrate, "_spread_spearman", lambda rows, *a, run=calibrate._spread_spearman: spread.append(rows) or run(rows, *a))
+    got = {r.k: r.rho for r in calibrate.spearman(spark.createDataFrame(frame), ["k"], "u", "v", "rho").collect()}
+    assert {r.k for r in spread[0].select("k").distinct().collect()} == {"big"}
+    known = frame.dropna(subset=["u", "v"])
+    for k, part in known.groupby("k", dropna=False):
+        want = part["u"].rank().corr(part["v"].rank())
+        assert abs(got[None if pd.isna(k) else k] - want) < 1e-9

@@ -133,3 +133,34 @@ def test_ties_go_to_the_first_feature_and_the_smallest_edge():
     n, s = np.ones((2, 4)), np.array([[-1.0, -1.0, 1.0, 1.0]] * 2)
     assert GK.first_best(n, s, 4, 1)[1:] == (0, 1)
     assert GK.first_best(n, np.zeros((2, 4)), 4, 1)[0] == 0.0
+
+
+def test_splits_of_many_nodes_equal_those_of_each():
+    rng = np.random.default_rng(4)
+    n = rng.integers(0, 4, (60, 3, 5)).astype(float)
+    s = rng.normal(size=n.shape) * (n > 0)
+    n[:, 1:], s[0] = 0, 0.0
+    n[3] = 0
+    value, feature, place, gains = GK.best_splits(n, s, 5, 1, False)
+    for i in range(60):
+        gain, f, b = GK.first_best(n[i], s[i], 5, 1)
+        rows = n[i, 0].sum()
+        assert gains[i] == bool(rows > 0 and gain > 1e-12 * max(1.0, rows))
+        assert not gains[i] or (feature[i], place[i]) == (f, b)
+        assert np.isnan(value[i]) if rows == 0 else value[i] == s[i, 0].sum() / rows
+
+
+def test_a_large_groups_pairs_give_the_same_table_as_its_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": np.where(np.arange(300) < 200, 0, rng.integers(1, 6, 300)), "a": rng.normal(size=300), "b": rng.integers(0, 4, 300) * 1.0})
+    frame["y"] = frame["a"] + frame["b"]
+    df = spark.createDataFrame(frame)
+    edges = G.bin_edges(df, ["a", "b"], 6)
+    want = [sorted(set(np.quantile(frame[c], np.arange(1, 6) / 6))) for c in ("a", "b")]
+    assert all(np.allclose(e, w) for e, w in zip(edges, want))
+    tables = lambda: {r.g: r["_table"] for r in G.fold_tables(
+        df, "g", ["a", "b"], "y", rounds=5, rate=0.3, minimum_rows=3, bins=6, edges=edges).collect()}
+    whole = tables()
+    monkeypatch.setattr(G, "GROUP_ROWS", 50)
+    cut = tables()
+    assert set(whole) == set(cut) and all(np.allclose(whole[g], cut[g], atol=1e-9) for g in whole)

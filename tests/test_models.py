@@ -225,3 +225,19 @@ def test_quantile_forest_reads_a_row_once(spark, data):
         mass = sum(np.bincount(bins[leaf[:, t] == leaf[i, t]], minlength=11) / (leaf[:, t] == leaf[i, t]).sum() for t in range(4)).cumsum()
         for name, p in (("lo", 0.2), ("hi", 0.7)):
             assert got.loc[pdf.id[i], name] == pytest.approx(edges[min(int((mass >= p * mass[-1] - 1e-12).argmax()), 9)])
+
+
+def test_metrics_read_written_predictions_and_weights(spark, monkeypatch):
+    """No pass of the metrics runs a model again, and no AdaBoost round the trees before it."""
+    from tabcal.catalog import modelling
+
+    rows = spark.range(200).selectExpr("id AS row_id", "CASE WHEN id % 3 = 0 THEN 'test' ELSE 'train' END AS split", "id * 1.5D AS y", "id * 1D AS x", "id % 7 * 1D AS z")
+    d = modelling.assembled(rows, ["x", "z"])
+    tables = []
+    monkeypatch.setattr(M, "written", lambda df, keep=M.written: tables.append(df) or keep(df))
+    score = M.adaboost_r2(d.where("split = 'train'"), row_id="row_id", features="features", label="y", rounds=2, maxDepth=2)
+    assert len(tables) == 2
+    tree = M.decision_tree("features", "y", maxDepth=2, seed=1).fit(d)
+    out = modelling.metrics_by_split({"ada": score, "tree": tree}, d)
+    assert "UDF(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.model, r.split, r.n_rows) for r in out.collect()} == {(m, s, n) for m in ("ada", "tree") for s, n in (("test", 67), ("train", 133))}
