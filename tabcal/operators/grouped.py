@@ -188,7 +188,7 @@ def fold_tables(
 
     def from_rows(key, pdf):
         if len(pdf) < minimum_rows:
-            return pd.DataFrame({"_g": [], "_table": []})
+            return pd.DataFrame({"_g": [], "_table": []}, dtype=object)
         a, b, n, s = GK.pair_counts(numbers(pdf), pdf["_y"].to_numpy(), size)
         return solve(key[0], *GK.matrices({"a": a, "b": b, "n": n, "s": s}, size))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +20,9 @@ SD_FLOOR = 1e-8
 FOLD_BATCH = 1000  # models that meet a chunk of calibration rows in one task
 CHUNK_ROWS = 50_000  # calibration rows in a chunk
 ERRORS = 1 << 20  # errors worked out at once
+DRAWN_FOLDS = 20_000  # folds among which centres are sought; they decide which rows are met, never a result
+CENTRES = 16  # folds at most that others are compared with
+CLOSE = 1e-3  # gap between a fold and its centre, in standard deviations of the target, below which no more centres are sought
 
 
 def _frame(df, method, model, scheme, coverage, carry, uncertainty=None):
@@ -130,17 +134,73 @@ def _stump_folds(pool, group, features, target, kind, minimum_rows, params):
 def _fold_quantiles(folds, cal, inputs, target, linear, coverage):
     """(_f, q_hat): per fold (_f, _numbers) the finite-sample conformal quantile of its absolute errors on all calibration rows.
 
-    Batches of folds meet chunks of rows twice: the first time each chunk brackets its own quantile, and the fold's quantile lies between
+    Folds are alike, so few rows can decide a fold's quantile: where the predictions of fold and centre (one of a few folds) differ by at most
+    ``gap`` on every row, both quantiles do too, and a row whose error around the centre is further than two gaps from the centre's
+    quantile lies on the same side of the fold's.  Folds of one centre and about one gap are a class; only the rows in the class's band meet its
+    folds, those below it are counted.  A wide gap makes a wide band, up to all rows.
+
+    Batches of folds meet chunks of the band twice: the first time each chunk brackets its own quantile, and the fold's quantile lies between
     the smallest and the largest of these; the second time errors below are counted and only those inside are returned.  So the errors
     themselves are never shuffled.
     """
-    rows = written(cal.select(F.col(target).cast("double").alias("y"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(inputs)]))
-    batches, chunks = max(1, -(-folds.count() // FOLD_BATCH)), max(1, -(-rows.count() // CHUNK_ROWS))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    salt = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id(), "y")
-    rows = written(rows.withColumn("chunk", F.pmod(salt, F.lit(chunks)).cast("int"))).withColumn("batch", spread(batches))
-    batch = F.pmod(F.xxhash64("_f"), F.lit(batches)).cast("int").alias("batch")
+    spark = folds.sparkSession
     names = [f"x{i}" for i in range(len(inputs))]
+    rows = cal.select(F.col(target).cast("double").alias("y"), *[c.cast("double").alias(name) for c, name in zip(inputs, names)])
+    for c in ["y", *names]:  # a row without a finite error for any model
+        rows = rows.where(F.abs(c) < float("inf"))
+    rows = written(rows)
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("y")).alias("y"), F.array(*[F.min(c) for c in names]).alias("low"), F.array(*[F.max(c) for c in names]).alias("high"),
+                     F.stddev_pop("y").alias("sd")).first()
+    sound = folds.where(F.forall("_numbers", lambda v: F.abs(v) < float("inf")))
+    some = sound.orderBy(F.xxhash64("_f")).limit(DRAWN_FOLDS).select("_numbers").toPandas()
+    if not facts.n or not len(some):
+        return spark.createDataFrame([], "_f long, q_hat double")
+    low, high, largest = np.array(facts.low), np.array(facts.high), facts.y
+    centres = kernels.centres(kernels.stack(some["_numbers"]), low, high, linear, CENTRES, CLOSE * facts.sd)
+
+    def around(batches):
+        for pdf in batches:
+            errors = kernels.fold_errors(centres, pdf[names].to_numpy(float), pdf["y"].to_numpy(float), linear)
+            yield pd.DataFrame({"centre": np.repeat(np.arange(len(centres)), len(pdf)), "e": errors.ravel()})
+
+    # one row per centre
+    middle = {r.centre: r.q_hat for r in K.conformal_quantiles(rows.mapInPandas(around, "centre int, e double"), ["centre"], "e", [1 - coverage], bounded=True).collect()}
+
+    def assign(batches):
+        for pdf in batches:
+            centre, gap = kernels.nearest_centre(kernels.stack(pdf["_numbers"]), centres, low, high, largest, linear)
+            with np.errstate(divide="ignore"):
+                level = np.clip(np.log2(gap), -2_000, 2_000).astype(int)
+            yield pdf.assign(centre=centre, gap=gap, level=level)
+
+    assigned = written(sound.select("_f", "_numbers").mapInPandas(assign, "_f long, _numbers array<double>, centre int, gap double, level int"))
+    classes = [(i, r.centre, r.level, r.gap, max(1, -(-r.n // FOLD_BATCH))) for i, r in enumerate(  # at most centres x powers of two
+        assigned.groupBy("centre", "level").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).collect())]
+
+    def band(batches):
+        below, at = np.zeros(len(classes), dtype=np.int64), 0
+        for pdf in batches:
+            errors = kernels.fold_errors(centres, pdf[names].to_numpy(float), pdf["y"].to_numpy(float), linear)
+            for i, centre, _, gap, _ in classes:
+                e, q = errors[centre], middle[centre]
+                below[i] += (e < q - 2 * gap).sum()
+                held = pdf[~(e < q - 2 * gap) & ~(e > q + 2 * gap)]
+                yield held.assign(cls=i, below=-1, salt=np.arange(at, at + len(held)))
+            at += len(pdf)
+        yield pd.DataFrame({"y": 0.0, **{c: 0.0 for c in names}, "cls": np.arange(len(classes)), "below": below, "salt": 0})
+
+    found = written(rows.mapInPandas(band, ", ".join(f"{c} double" for c in ["y", *names]) + ", cls int, below long, salt long"))
+    sizes = {r.cls: r for r in found.groupBy("cls").agg(F.sum(F.greatest("below", F.lit(0))).alias("below"), F.count_if(F.col("below") < 0).alias("n")).collect()}
+    rank = min(facts.n, math.ceil((facts.n + 1) * (1 - (1 - coverage))))  # as K.conformal_rank
+    plan = spark.createDataFrame(
+        [(i, centre, level, batches, -(-sizes[i].n // CHUNK_ROWS), sizes[i].below, (rank - sizes[i].below) / sizes[i].n) for i, centre, level, _, batches in classes],
+        "cls int, centre int, level int, batches int, chunks int, base long, share double")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    models = assigned.join(F.broadcast(plan), ["centre", "level"]).withColumn("batch", F.pmod(F.xxhash64("_f"), F.col("batches")).cast("int"))
+    models = models.select("_f", "_numbers", "cls", "batch", "chunks", "base", "share")
+    right = found.where("below < 0").drop("below").join(F.broadcast(plan.select("cls", "batches", "chunks")), "cls").withColumn(
+        "chunk", F.pmod("salt", F.col("chunks")).cast("int")).withColumn("batch", spread("batches"))
+    keys = ["cls", "batch", "chunk"]
 
     def met(models, run, schema):
         def cell(some, chunk):
@@ -150,28 +210,27 @@ def _fold_quantiles(folds, cal, inputs, target, linear, coverage):
                 for at in range(0, len(some), step):
                     part = some.iloc[at : at + step]
                     parts.append(run(part, kernels.fold_errors(kernels.stack(part["_numbers"]), x, y, linear)))
-            return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}, dtype=object)
 
-        left = models.withColumn("chunk", spread(chunks))
-        return left.groupBy("batch", "chunk").cogroup(rows.groupBy("batch", "chunk")).applyInPandas(cell, schema)
+        left = models.withColumn("chunk", spread("chunks"))
+        return left.groupBy(*keys).cogroup(right.select(*keys, "y", *names).groupBy(*keys)).applyInPandas(cell, schema)
 
     def bracket(part, errors):
-        ends = kernels.error_bracket(errors, coverage)
+        ends = kernels.error_bracket(errors, part["share"].iloc[0])
         return pd.DataFrame({"_f": part["_f"].to_numpy(), "low": ends[:, 0], "high": ends[:, 1]})
 
     def inside(part, errors):
         found = list(kernels.errors_inside(errors, part["low"], part["high"]))
         return pd.DataFrame(list(zip(part["_f"], *zip(*found))), columns=["_f", "n", "below", "value", "count"])
 
-    models = folds.select("_f", "_numbers", batch)
     known = met(models, bracket, "_f long, low double, high double").where(~F.isnan("low"))
     ends = known.groupBy("_f").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     parts = written(met(models.join(ends, "_f"), inside, "_f long, n long, below long, value array<double>, count array<long>"))
-    totals = parts.groupBy("_f").agg(F.sum("n").alias("n"), F.sum("below").alias("below"))
+    totals = parts.groupBy("_f").agg(F.sum("below").alias("below"))
     values = parts.select("_f", F.explode(F.arrays_zip("value", "count")).alias("z")).groupBy("_f", F.col("z.value").alias("value")).agg(F.sum("z.count").alias("c"))
     running = F.sum("c").over(W.partitionBy("_f").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
-    upto = values.withColumn("upto", running).join(totals, "_f")
-    return upto.where(F.col("below") + F.col("upto") >= K.conformal_rank(F.col("n"), 1 - coverage)).groupBy("_f").agg(F.min("value").alias("q_hat"))
+    upto = values.withColumn("upto", running).join(totals, "_f").join(models.select("_f", "base"), "_f")
+    return upto.where(F.col("base") + F.col("below") + F.col("upto") >= F.lit(rank)).groupBy("_f").agg(F.min("value").alias("q_hat"))
 
 
 def held_out_conformal(

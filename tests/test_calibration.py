@@ -224,3 +224,27 @@ def test_rank_correlation_of_small_and_large_groups(spark, monkeypatch):
     for k, part in known.groupby("k", dropna=False):
         want = part["u"].rank().corr(part["v"].rank())
         assert abs(got[None if pd.isna(k) else k] - want) < 1e-9
+
+
+@pytest.mark.parametrize("linear", [True, False])
+def test_few_rows_meet_folds_that_are_alike(spark, monkeypatch, linear):
+    """Of models that differ little only the rows near the quantile are met, and every fold's order statistic stays exact."""
+    from tabcal.plans import calibration as CP
+
+    monkeypatch.setattr(CP, "CHUNK_ROWS", 700)
+    monkeypatch.setattr(CP, "FOLD_BATCH", 9)
+    rng = np.random.default_rng(14)
+    n, folds = 6_000, 40
+    x, y = rng.integers(0, 4, n).astype(float), rng.normal(size=n)
+    models = np.array([0.3, 0.1] if linear else [0.5, -0.2, 0.1, 0.9]) + rng.normal(size=(folds, 2 if linear else 4)) * 1e-4
+    models[-1] += 3.0  # one far from all others
+    cal = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    frame = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(models)], "_f long, _numbers array<double>")
+    seen, keep = [], CP.written
+    monkeypatch.setattr(CP, "written", lambda df: seen.append(keep(df)) or seen[-1])
+    got = {r._f: r.q_hat for r in CP._fold_quantiles(frame, cal, [F.col("x")], "y", linear, 0.9).collect()}
+    for i, m in enumerate(models):
+        e = np.sort(np.abs(y - (m[0] + m[1] * x if linear else m[x.astype(int)])))
+        assert got[i] == e[int(np.ceil((n + 1) * (1 - (1 - 0.9)))) - 1]
+    band = next(df for df in seen if "salt" in df.columns).where("below < 0")
+    assert band.count() < n / 10
