@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabcal.operators import bootstrap as B, calibrate as K, grouped as G, kernels, linear as L
 from tabcal.operators.scale import attach, pin, with_scalars
-from tabcal.session import durable, written
+from tabcal.session import written
 
 cloudpickle.register_pickle_by_value(kernels)
 
@@ -48,7 +48,7 @@ def interval_methods(
     sd conformalised; residual-bootstrap percentiles; those percentiles conformalised.
     """
     # read about eight times below, so the needed columns are stored once
-    df = durable(df.select(row_id, "role", target, *[c for c in features if c != target], *[c for c in carry if c not in features]))
+    df = written(df.select(row_id, "role", target, *[c for c in features if c != target], *[c for c in carry if c not in features]))
     train, others = df.where("role = 'train'"), df.where("role <> 'train'")
     sums = pin(L.cross_products(train, [], [*features, target]))
     net = L.fit_all(sums, "elastic_net", **elastic_net)
@@ -57,7 +57,7 @@ def interval_methods(
     spread = boot.bounds(others, coverages, "row_id").drop("mean")
     first = L.score(others, net, [], features).drop("prediction_sd").withColumnRenamed("prediction", "net")
     both = L.score(first, bayes, [], features)
-    scored = durable(both.select(
+    scored = written(both.select(
         F.col(row_id).cast("string").alias("row_id"), "role", F.col(target).alias("Actual"), "net", F.col("prediction").alias("bayes"),
         F.greatest("prediction_sd", F.lit(SD_FLOOR)).alias("sd"), *carry,
     ).join(spread, "row_id"))  # used for the quantiles and for the tables
